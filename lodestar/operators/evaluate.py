@@ -162,8 +162,10 @@ def group_stats(results: DataFrame) -> DataFrame:
 
 
 def _spread(score: str) -> list[Column]:
+    # Scores carry six digits: summed as whole millionths the mean does not depend on row order.
+    millionths = F.round(F.col(score) * 1e6).cast("bigint")
     return [
-        F.round(F.avg(score), 6).alias("avg_similarity"),
+        (F.round(F.avg(millionths)) / 1e6).alias("avg_similarity"),
         F.round(F.min(score), 6).alias("min_similarity"),
         F.round(F.max(score), 6).alias("max_similarity"),
     ]

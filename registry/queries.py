@@ -87,7 +87,7 @@ def normalize_vectors(spark, sf):
         "embedding", F.transform("embedding", lambda x: x.cast("double") * F.col("label"))
     )
     unit = vectors.normalize(scaled)
-    return unit.select("chunk_id", F.posexplode("embedding").alias("at", "value")).withColumn(
+    return unit.select("chunk_id", F.posexplode("embedding").alias("dim", "value")).withColumn(
         "value", F.round("value", 6)
     )
 
@@ -426,7 +426,7 @@ def _corpus(spark, sf):
 @query
 def embed_texts(spark, sf):
     rows = letter_embed(inputs.paragraphs(spark, sf), text="content", out="embedding")
-    return rows.select("paragraph_id", F.posexplode("embedding").alias("at", "value"))
+    return rows.select("paragraph_id", F.posexplode("embedding").alias("dim", "value"))
 
 
 @query
