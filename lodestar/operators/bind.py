@@ -4,16 +4,15 @@ A node has two keywords, its class name and the last part of its package; a para
 a keyword when it contains it, ignoring case.  A node keeps at most ``limit`` paragraphs:
 all matches if they fit, otherwise those holding both keywords first.
 
-Paragraph texts are read once, in place.  Each task walks its texts with one automaton over
-all distinct keywords and keeps, per keyword and per keyword pair, only the smallest
-``limit + 1`` paragraph ids; what is shuffled is that short list, never a text and never the
+Paragraph texts are read once, in place.  Each task walks its texts in id order with one
+automaton over all distinct keywords and keeps, per keyword and per keyword pair, only the
+first ``limit + 1`` paragraph ids; what is shuffled is that short list, never a text and never the
 full set of matches.  That is enough to rebuild the exact answer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heappush, heappushpop
 
 import ahocorasick
 import pyarrow as pa
@@ -97,11 +96,12 @@ def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_ship
                 matcher.read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield from matcher.table().to_batches()
 
-        found = texts.mapInArrow(scan, schema)
+        found = texts.sortWithinPartitions("paragraph_id").mapInArrow(scan, schema)
     else:
 
         def pair(left: pa.Table, right: pa.Table) -> pa.Table:
             matcher = _Matcher(right.column("a").to_pylist(), right.column("b").to_pylist(), keep)
+            left = left.sort_by("paragraph_id")
             matcher.read(left.column("paragraph_id").to_pylist(), left.column("content").to_pylist())
             return matcher.table()
 
@@ -121,61 +121,72 @@ def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_ship
 
 
 class _Matcher:
-    """Keywords found in lower-cased texts; per keyword and per pair the smallest ids."""
+    """Keywords found in lower-cased texts; per keyword and per pair the first ids.
+
+    Texts must come in id order, so a key is settled once it has ``keep`` ids.  A keyword
+    without white space can only occur inside a token, so the automaton runs once per distinct
+    token and its finds are remembered; other keywords are looked for in the whole text.
+    """
+
+    TOKENS_HELD = 200_000
 
     def __init__(self, firsts: list[str], seconds: list[str], keep: int):
         self.keep = keep
+        # What is still wanted: ids of single keywords, and of pairs by their first keyword.
+        self.words = set(firsts) | set(seconds)
         self.partners: dict[str, set[str]] = {}
         for a, b in zip(firsts, seconds):
             self.partners.setdefault(a, set()).add(b)
-        words = set(firsts) | set(seconds)
-        self.always = {""} & words
+        self.always = {""} & self.words
+        self.spaced = [w for w in self.words if w and w.split() != [w]]
         self.automaton = ahocorasick.Automaton()
-        for word in words - {""}:
+        for word in self.words.difference(self.always, self.spaced):
             self.automaton.add_word(word, word)
-        if words - {""}:
+        if len(self.automaton):
             self.automaton.make_automaton()
+        self.tokens: dict[str, frozenset[str]] = {}
         self.found: dict[tuple[str, str | None], list] = {}
 
     def read(self, ids: list, texts: list[str | None]) -> None:
-        scan = len(self.automaton) > 0
         for pid, text in zip(ids, texts):
-            words = {word for _, word in self.automaton.iter(text)} if scan and text else set()
-            if text is not None:
-                words |= self.always
-            for word in words:
-                self._note((word, None), pid)
-                partners = self.partners.get(word)
-                if partners:
-                    for other in partners & words:
-                        self._note((word, other), pid)
-
-    def _note(self, key: tuple[str, str | None], pid) -> None:
-        heap = self.found.setdefault(key, [])
-        entry = _Descending(pid)
-        if len(heap) < self.keep:
-            heappush(heap, entry)
-        elif pid < heap[0].value:
-            heappushpop(heap, entry)
+            if text is None:
+                continue
+            words = self._words_in(text)
+            for word in words & self.words:
+                if self._settles((word, None), pid):
+                    self.words.discard(word)
+            for word in [w for w in words if w in self.partners]:
+                wanted = self.partners[word]
+                for other in wanted & words:
+                    if self._settles((word, other), pid):
+                        wanted.discard(other)
+                if not wanted:
+                    del self.partners[word]
+
+    def _words_in(self, text: str) -> set[str]:
+        words = set(self.always)
+        if len(self.automaton):
+            known = self.tokens
+            if len(known) > self.TOKENS_HELD:
+                known.clear()
+            tokens = set(text.split())
+            for token in [t for t in tokens if t not in known]:
+                known[token] = frozenset(word for _, word in self.automaton.iter(token))
+            words.update(*map(known.__getitem__, tokens))
+        words.update(w for w in self.spaced if w in text)
+        return words
+
+    def _settles(self, key: tuple[str, str | None], pid) -> bool:
+        ids = self.found.setdefault(key, [])
+        ids.append(pid)
+        return len(ids) == self.keep
 
     def table(self) -> pa.Table:
-        rows = [(a, b, e.value) for (a, b), heap in self.found.items() for e in heap]
+        rows = [(a, b, pid) for (a, b), ids in self.found.items() for pid in ids]
         a, b, ids = zip(*rows) if rows else ((), (), ())
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "paragraph_id": pa.array(ids)})
 
 
-class _Descending:
-    """Turns heapq's smallest-first heap into a largest-first one."""
-
-    __slots__ = ("value",)
-
-    def __init__(self, value):
-        self.value = value
-
-    def __lt__(self, other: _Descending) -> bool:
-        return other.value < self.value
-
-
 def _choose(pairs: DataFrame, first: DataFrame, limit: int, fill: str) -> DataFrame:
     """Per keyword pair the paragraphs to keep: (a, b, paragraph_id, pos, matches_all)."""
     single = first.filter(F.col("b").isNull()).select(F.col("a").alias("word"), "paragraph_id")

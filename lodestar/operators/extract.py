@@ -18,13 +18,16 @@ PARAGRAPH_CHARS = 3000  # fixed value: longest packed paragraph
 
 PACKAGE = r"(?m)^\s*package\s+([\w.]+)\s*;"
 
-# One scan over Java source: text that hides braces, brackets, statement ends, type heads.
+# One scan over Java source: text that hides brackets, brackets, statement ends, type heads.
+# The first part runs over everything of no interest without a match per word.
 _JAVA = re.compile(
     r"""
-      (?P<skip> //[^\n]* | /\*.*?\*/ | \"{3}(?:\\.|.)*?\"{3} | "(?:\\.|[^"\\\n])*" | '(?:\\.|[^'\\\n])*' )
-    | (?P<open> [({] ) | (?P<close> [)}] ) | (?P<end> ; )
-    | (?P<head> (?<![\w$.@]) (?: (?P<kind> class | interface | enum ) \s+ (?P<name> [^\W\d][\w$]* )
-                              | record \s+ (?P<record> [^\W\d][\w$]* ) \s* (?=[(<]) ) )
+    (?: [^\w"'/(){};]++ | (?! (?: class | interface | enum | record ) \b ) \w++ | / (?! [/*] ) )*+
+    (?: (?P<skip> //[^\n]*+ | /\*.*?\*/ | \"{3}(?:\\.|.)*?\"{3} | "(?:\\.|[^"\\\n])*" | '(?:\\.|[^'\\\n])*' )
+      | (?P<open> [({] ) | (?P<close> [)}] ) | (?P<end> ; )
+      | (?P<head> (?<![\w$.@]) (?: (?P<kind> class | interface | enum ) \s+ (?P<name> [^\W\d][\w$]* )
+                                | record \s+ (?P<record> [^\W\d][\w$]* ) \s* (?=[(<]) ) )
+      | \w+ | . )
     """,
     re.VERBOSE | re.DOTALL,
 )
@@ -55,7 +58,8 @@ def _declarations(text: str) -> tuple[list[tuple[int, int, str, str]], bool]:
         elif m["end"]:
             start = m.end()
         elif m["head"]:
-            begin = start + len(text[start : m.start()]) - len(text[start : m.start()].lstrip())
+            before = text[start : m.start("head")]
+            begin = start + len(before) - len(before.lstrip())
             pending = (_KIND_ORDER.get(m["kind"], 2), begin, m["name"] or m["record"], len(opened))
     found.sort(key=lambda d: d[:2])
     return found, not opened
@@ -74,18 +78,21 @@ def type_declarations(files: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for name, text, package in zip(*(c.to_pylist() for c in batch.columns)):
                 found, whole = _declarations(text or "")
-                if found:
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "source_name": [name] * len(found),
-                            "pos": pa.array(range(len(found)), pa.int32()),
-                            "signature": [f"{package}.{d[2]}" for d in found],
-                            "content": [d[3] for d in found],
-                            "parsed": [whole] * len(found),
-                        }
-                    )
+                rows.extend((name, pos, f"{package}.{d[2]}", d[3], whole) for pos, d in enumerate(found))
+            if rows:
+                name, pos, sign, code, whole = zip(*rows)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "source_name": pa.array(name, pa.string()),
+                        "pos": pa.array(pos, pa.int32()),
+                        "signature": pa.array(sign, pa.string()),
+                        "content": pa.array(code, pa.string()),
+                        "parsed": pa.array(whole, pa.bool_()),
+                    }
+                )
 
     return named.mapInArrow(scan, schema)
 
@@ -113,6 +120,7 @@ def _named(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sections
 
 # Delimited blocks: headings and blank lines inside them do not count.
+FENCES = ("----", "....", "++++", "////", "====", "****", "____", "```")
 FENCE = (
     r"(?msd)^(-{4,}|\.{4,}|\+{4,}|/{4,}|={4,}|\*{4,}|_{4,}|`{3})(?:(?<=`)\w+)?[ \t]*$"
     r".*?(?:^\1[ \t]*$|\z)"
@@ -120,13 +128,24 @@ FENCE = (
 FENCE_FIRST = r"\A[^\n]*\n?"
 FENCE_LAST = r"(?:\A|\n)(?:-{4,}|\.{4,}|\+{4,}|={4,}|\*{4,}|_{4,}|`{3})[ \t]*\z"
 TITLE = r"(?d)\A\s*=[ \t]+\S.*"
-NOT_CONTENT = r"(?md)^(?::[\w!-]+:.*|//(?!/).*|\[[^\]\n]*\][ \t]*)$\n?"
+NOT_CONTENT = r"\n(?::[\w!-]+:.*|//(?!/).*|\[[^\]\n]*\][ \t]*)(?=\n|\z)"
 MARKER = r"[ \t]*(?:[*-]{1,5}|\.{1,5}|\d+\.)[ \t]+"
 HELD = "\x01"  # stands for a newline inside a delimited block
 LEVELS = range(1, 6)  # heading levels: "==" to "======"
 
 
-def _hold_blocks(text: Column) -> Column:
+def _where(df: DataFrame, text: str, marks: tuple[str, ...], then: Column) -> DataFrame:
+    """Rewrite ``text`` by ``then``, but only in rows holding one of ``marks``.
+
+    The search for a fixed string is far cheaper than the regular expressions it spares.
+    """
+    there = F.lit(False)
+    for mark in marks:
+        there = there | F.col(text).contains(mark)
+    return df.withColumn(text, F.when(there, then).otherwise(F.col(text)))
+
+
+def _held(text: Column) -> Column:
     """Turn every delimited block into one line, so that it is opaque to line rules."""
     inner = lambda b: F.regexp_replace(F.regexp_replace(b, FENCE_FIRST, ""), FENCE_LAST, "")
     held = lambda b: F.when(b.startswith("/"), F.lit("\n\n")).otherwise(
@@ -143,38 +162,47 @@ def _subsections(df: DataFrame, text: str, pos: str, piece: str, nested: str) ->
     """Explode a section text into its child sections, in order, followed by its own text.
 
     A heading opens a child when no earlier heading in the text has a smaller level.
+    Texts start with a newline, so every heading follows one.
     """
-    own = F.col(text)
+    own = text
     for level in LEVELS:
-        df = df.withColumn(f"_s{level}", F.split(own, r"(?md)^(?=={%d}[ \t]+\S)" % (level + 1), -1))
-        own = F.col(f"_s{level}")[0]
+        mark = "=" * (level + 1)
+        here = F.col(own).contains(f"\n{mark} ") | F.col(own).contains(f"\n{mark}\t")
+        cut = F.split(F.col(own), rf"\n(?={mark}[ \t]+\S)", -1)
+        df = df.withColumn(f"_s{level}", F.when(here, cut).otherwise(F.array(own))).withColumn(
+            f"_own{level}", F.col(f"_s{level}")[0]
+        )
+        own = f"_own{level}"
     children = F.concat(*(F.slice(F.col(f"_s{lv}"), 2, F.size(f"_s{lv}")) for lv in reversed(LEVELS)))
     mark = lambda flag: lambda t: F.struct(t.alias("text"), F.lit(flag).alias("nested"))
-    parts = F.concat(F.transform(children, mark(True)), F.array(mark(False)(own)))
-    keep = [c for c in df.columns if c != text and not c.startswith("_s")]
+    parts = F.concat(F.transform(children, mark(True)), F.array(mark(False)(F.col(own))))
+    keep = [c for c in df.columns if c != text and not c.startswith(("_s", "_own"))]
     rows = explode_rows(df.select(*keep, parts.alias("_parts")), keep, "_parts", pos, "_part")
     return rows.select(*keep, pos, F.col("_part.text").alias(piece), F.col("_part.nested").alias(nested))
 
 
 def _open(df: DataFrame, piece: str, nested: str, title: str, body: str) -> DataFrame:
     """Split a child section into its title and the text below it."""
-    head = trim(F.regexp_extract(piece, r"(?d)\A=+[ \t]+(.*)", 1))
-    rest = F.regexp_replace(piece, r"(?d)\A=.*", "")
+    line = F.substring_index(piece, "\n", 1)
+    rest = F.when(F.col(piece).contains("\n"), F.substr(piece, F.length(line) + 1)).otherwise("")
     return (
-        df.withColumn(title, F.when(F.col(nested), head))
+        df.withColumn(title, F.when(F.col(nested), trim(F.ltrim(line, F.lit("=")))))
         .withColumn(body, F.when(F.col(nested), rest).otherwise(F.col(piece)))
         .drop(piece, nested)
     )
 
 
-def _blocks(body: Column) -> Column:
+def _blocks(df: DataFrame, body: str, out: str) -> DataFrame:
     """Blocks of a section text: paragraphs, list runs and delimited blocks; headings as text."""
-    text = F.regexp_replace(body, r"(?md)^={2,6}[ \t]+(\S.*)$", "\n\n$1\n\n")
-    text = F.regexp_replace(text, NOT_CONTENT, "")
-    text = F.regexp_replace(text, rf"(?md)^({MARKER}.*)\n(?:[ \t]*\n)+(?={MARKER})", "$1\n")
+    text = F.col(body)
+    df = _where(df, body, ("\n==",), F.regexp_replace(text, r"\n={2,6}[ \t]+(\S.*)(?=\n|\z)", "\n\n$1\n"))
+    df = _where(df, body, ("\n:", "\n//", "\n["), F.regexp_replace(text, NOT_CONTENT, ""))
+    df = df.withColumn(body, F.regexp_replace(text, rf"\n({MARKER}.*)(?:\n[ \t]*)+(?=\n{MARKER})", "\n$1"))
     listed = lambda b: F.concat(trim(F.regexp_replace(b, rf"(?md)^{MARKER}", "")), F.lit("\n"))
-    block = lambda b: F.when(b.rlike(rf"\A{MARKER}"), listed(b)).otherwise(F.translate(trim(b), HELD, "\n"))
-    return F.filter(F.transform(F.split(text, r"\n[ \t]*\n\s*", -1), block), lambda b: trim(b) != "")
+    plain = lambda b: F.when(b.contains(HELD), F.translate(trim(b), HELD, "\n")).otherwise(trim(b))
+    block = lambda b: F.when(b.rlike(rf"\A{MARKER}"), listed(b)).otherwise(plain(b))
+    blocks = F.transform(F.split(text, r"\n[ \t]*\n\s*", -1), lambda b: block(F.ltrim(b, F.lit("\n"))))
+    return df.withColumn(out, F.filter(blocks, lambda b: trim(b) != ""))
 
 
 def sections(docs: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:
@@ -185,18 +213,15 @@ def sections(docs: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:
     row, so no shuffle.  -> (source_name, section_1, section_2, ordinal, paragraph_name, content)
     with (section_1, section_2, ordinal) the order of emission.
     """
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    held = docs.select("source_name", F.concat(F.lit("\n"), _hold_blocks(text)).alias("_text"))
-    plain = held.withColumn("_text", F.regexp_replace("_text", TITLE, ""))
-    first = _open(_subsections(plain, "_text", "section_1", "_p1", "_n1"), "_p1", "_n1", "_t1", "_b1")
+    df = docs.select("source_name", F.coalesce("text", F.lit("")).alias("_text"))
+    df = _where(df, "_text", ("\r",), F.regexp_replace("_text", r"\r\n?", "\n"))
+    df = df.withColumn("_text", F.concat(F.lit("\n"), "_text"))
+    df = _where(df, "_text", tuple("\n" + f for f in FENCES), _held(F.col("_text")))
+    df = _where(df, "_text", ("\n=",), F.regexp_replace("_text", TITLE, ""))
+    first = _open(_subsections(df, "_text", "section_1", "_p1", "_n1"), "_p1", "_n1", "_t1", "_b1")
     second = _open(_subsections(first, "_b1", "section_2", "_p2", "_n2"), "_p2", "_n2", "_t2", "_b2")
-    blocks = second.select(
-        "source_name",
-        "section_1",
-        "section_2",
-        F.concat_ws("::", "source_name", "_t1", "_t2").alias("_context"),
-        _blocks(F.col("_b2")).alias("_blocks"),
-    )
+    context = F.concat_ws("::", "source_name", "_t1", "_t2").alias("_context")
+    blocks = _blocks(second.select("source_name", "section_1", "section_2", context, "_b2"), "_b2", "_blocks")
     packed = pack(blocks, "_blocks", "_texts", max_chars, "\n\n")
     keep = ["source_name", "section_1", "section_2", "_context"]
     return _named(explode_rows(packed, keep, "_texts", "ordinal", "content"))

@@ -31,38 +31,28 @@ def attach_sources(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.select("chunk_id", "source_id"), "chunk_id")
 
 
-def rollup(hits: DataFrame) -> DataFrame:
+def rollup(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """(query_id, source_id, chunk_ids, score): best chunk score per source, never below 0."""
-    return hits.groupBy("query_id", "source_id").agg(
+    return hits.groupBy(*by, "source_id").agg(
         F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"),
         F.greatest(F.lit(0.0), F.max("score")).alias("score"),
     )
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("source_id"))
+def _ranked(sources: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    w = W.partitionBy(*by).orderBy(F.desc("score"), F.asc("source_id"))
     return sources.withColumn("rank", F.row_number().over(w))
 
 
-def fixed_k(sources: DataFrame, k: int) -> DataFrame:
+def fixed_k(sources: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The ``k`` best sources per query (fewer if the roll-up left fewer)."""
-    return _ranked(sources).filter(F.col("rank") <= k)
+    return _ranked(sources, by).filter(F.col("rank") <= k)
 
 
-def adaptive_k(
-    sources: DataFrame,
-    k: int,
-    buffer: int = ADAPTIVE_BUFFER,
-    high: float = HIGH_CONFIDENCE,
-    low: float = LOW_CONFIDENCE,
-) -> DataFrame:
-    """Cut each ranked list at its largest score gap, then keep ``buffer`` more, at most ``k``.
-
-    Sources at or above ``high`` always count as relevant; gaps are looked for only among
-    scores in [low, high); the last source never opens a gap; the first largest gap wins.
-    """
-    by_rank = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("source_id"))
-    whole = W.partitionBy("query_id")
+def _with_optimal_k(sources: DataFrame, by: tuple[str, ...], high: float, low: float) -> DataFrame:
+    """Add ``rank``, ``optimal_k`` and the list length ``_n``."""
+    by_rank = W.partitionBy(*by).orderBy(F.desc("score"), F.asc("source_id"))
+    whole = W.partitionBy(*by)
     score, after = F.col("score"), F.col("_after")
     gapped = (
         sources.withColumn("rank", F.row_number().over(by_rank))
@@ -76,11 +66,24 @@ def adaptive_k(
     )
     at_gap = F.when((F.col("_gap") == F.col("_widest")) & (F.col("_widest") > 0), F.col("rank"))
     optimal = F.coalesce(F.min(at_gap).over(whole), F.col("_confident")).cast("int")
-    return (
-        measured.withColumn("optimal_k", optimal)
-        .filter(F.col("rank") <= F.least(F.col("optimal_k") + buffer, F.lit(k), F.col("_n")))
-        .drop("_after", "_gap", "_n", "_widest", "_confident")
-    )
+    return measured.withColumn("optimal_k", optimal).drop("_after", "_gap", "_widest", "_confident")
+
+
+def adaptive_k(
+    sources: DataFrame,
+    k: int,
+    by: tuple[str, ...] = ("query_id",),
+    buffer: int = ADAPTIVE_BUFFER,
+    high: float = HIGH_CONFIDENCE,
+    low: float = LOW_CONFIDENCE,
+) -> DataFrame:
+    """Cut each ranked list at its largest score gap, then keep ``buffer`` more, at most ``k``.
+
+    Sources at or above ``high`` always count as relevant; gaps are looked for only among
+    scores in [low, high); the last source never opens a gap; the first largest gap wins.
+    """
+    measured = _with_optimal_k(sources, by, high, low)
+    return measured.filter(F.col("rank") <= F.least(F.col("optimal_k") + buffer, F.lit(k), F.col("_n"))).drop("_n")
 
 
 # The cuts by name: (chunks to fetch for k sources, cut).
@@ -90,11 +93,47 @@ STRATEGIES = {
 }
 
 
-def retrieve(hits: DataFrame, chunks: DataFrame, strategy: str, k: int) -> DataFrame:
-    """Roll hits up to sources and cut; hits beyond the strategy's fetch size are ignored."""
+def retrieve(hits: DataFrame, chunks: DataFrame | None, strategy: str, k: int) -> DataFrame:
+    """Roll hits up to sources and cut; hits beyond the strategy's fetch size are ignored.
+
+    Hits that carry their ``source_id`` need no chunk table and stay partitioned by query
+    from the search to the cut: no further shuffle.
+    """
     fetch, cut = STRATEGIES[strategy]
     near = hits.filter(F.col("rank") <= fetch(k))
-    return cut(rollup(attach_sources(near.select("query_id", "chunk_id", "score"), chunks)), k)
+    if "source_id" not in near.columns:
+        near = attach_sources(near, chunks)
+    return cut(rollup(near.select("query_id", "chunk_id", "source_id", "score")), k)
+
+
+def retrieve_all(hits: DataFrame, groups: list[tuple[str, str, int]]) -> DataFrame:
+    """Roll up and cut the same hits under several (group, strategy, k) in one pass.
+
+    ``hits(query_id, chunk_id, source_id, score, rank)`` -> adds ``group`` and ``k``.
+    """
+    configs = F.array(
+        *(
+            F.struct(
+                F.lit(group).alias("group"),
+                F.lit(strategy).alias("strategy"),
+                F.lit(k).alias("k"),
+                F.lit(STRATEGIES[strategy][0](k)).alias("fetch"),
+            )
+            for group, strategy, k in groups
+        )
+    )
+    each = hits.select("query_id", "chunk_id", "source_id", "score", "rank", F.explode(configs).alias("_c"))
+    near = each.filter(F.col("rank") <= F.col("_c.fetch")).select(
+        "query_id", "chunk_id", "source_id", "score", "_c.group", "_c.strategy", "_c.k"
+    )
+    lists = rollup(near, ("query_id", "group", "strategy", "k"))
+    measured = _with_optimal_k(lists, ("query_id", "group"), HIGH_CONFIDENCE, LOW_CONFIDENCE)
+    cut = F.when(F.col("strategy") == "fixed", F.col("k")).otherwise(
+        F.least(F.col("optimal_k") + ADAPTIVE_BUFFER, F.col("k"), F.col("_n"))
+    )
+    return measured.filter(F.col("rank") <= cut).select(
+        "group", "query_id", "source_id", "chunk_ids", "score", "rank", "k"
+    )
 
 
 def attach_content(retrieved: DataFrame, sources: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from lodestar.plans.grid import blocks_for, paired_blocks
 MAX_SHIPPED_QUERIES = 8192
 # Rows of one block on either side of the grid.
 GRID_ROWS = 50_000
+GRID_MIN_ROWS = 1_000
 # Similarities held at once inside a task (8 bytes each).
 TILE = 4_000_000
 # Scores are compared after rounding, so that ties do not depend on summation order.
@@ -38,17 +39,17 @@ def knn(
     """The ``k`` most similar chunks of every query: (query_id, chunk_id, score, rank).
 
     ``queries(query_id, embedding)`` against ``vectors(chunk_id, embedding)``, exact, ranked
-    by rounded cosine and then by chunk id.  Up to ``max_shipped`` queries travel to the
+    by rounded cosine and then by chunk id.  A ``source_id`` kept with the vectors comes along,
+    which spares the later roll-up a join with the chunk table.  Up to ``max_shipped`` queries travel to the
     tasks and the vector table is scanned once without a shuffle, each task keeping only its
     own best ``k`` per query.  Beyond that both sides are cut into blocks and paired.
     ``queries`` should be a stored table: it is read here to see how large it is.
     """
     q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    v = vectors.select("chunk_id", "embedding")
-    schema = (
-        f"query_id {q.schema['query_id'].dataType.simpleString()}, "
-        f"chunk_id {v.schema['chunk_id'].dataType.simpleString()}, score double"
-    )
+    tags = [c for c in ("chunk_id", "source_id") if c in vectors.columns]
+    v = vectors.select("embedding", *tags)
+    types = [("query_id", q.schema["query_id"]), *((c, v.schema[c]) for c in tags)]
+    schema = ", ".join(f"{name} {field.dataType.simpleString()}" for name, field in types) + ", score double"
     head = q.limit(max_shipped + 1).toArrow()
     if head.num_rows <= max_shipped:
         found = _scan(head, v, k, schema)
@@ -58,39 +59,38 @@ def knn(
 
 
 def _scan(head: pa.Table, v: DataFrame, k: int, schema: str) -> DataFrame:
-    spark = v.sparkSession
-    ids, matrix = _unit_rows(head.column("query_id"), head.column("embedding"))
-    shipped = spark.sparkContext.broadcast((ids, matrix))
+    shipped = v.sparkSession.sparkContext.broadcast(_unit_rows(head.column("embedding"), [head.column("query_id")]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_rows = shipped.value
+        q_rows, (q_ids,) = shipped.value
         best = _BestK(len(q_rows), k)
+        names = []
         for batch in batches:
-            v_ids, v_rows = _unit_rows(batch.column(0), batch.column(1))
-            best.offer_all(q_rows, v_ids, v_rows)
-        yield from best.table(q_ids).to_batches(max_chunksize=100_000)
+            names = batch.schema.names[1:]
+            best.offer_all(q_rows, *_unit_rows(batch.column(0), batch.columns[1:]))
+        if best.parts:
+            yield from best.table(q_ids, names).to_batches(max_chunksize=100_000)
 
     return v.mapInArrow(scan, schema)
 
 
 def _grid(q: DataFrame, v: DataFrame, k: int, schema: str, grid_rows: int) -> DataFrame:
+    empty = v.select(F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "*").drop("embedding")
+    blank = empty.withColumn("score", F.lit(0.0)).limit(0).toArrow()
+
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, q_rows = _unit_rows(left.column("query_id"), left.column("embedding"))
-        v_ids, v_rows = _unit_rows(right.column("chunk_id"), right.column("embedding"))
+        names = blank.column_names[1:-1]
+        q_rows, (q_ids,) = _unit_rows(left.column("embedding"), [left.column("query_id")])
         best = _BestK(len(q_rows), k)
-        best.offer_all(q_rows, v_ids, v_rows)
-        return best.table(q_ids)
+        best.offer_all(q_rows, *_unit_rows(right.column("embedding"), [right.column(n) for n in names]))
+        return best.table(q_ids, names) if best.parts else blank
 
-    return paired_blocks(
-        q,
-        v,
-        "query_id",
-        "chunk_id",
-        blocks_for(q.count(), grid_rows),
-        blocks_for(v.count(), grid_rows),
-        pair,
-        schema,
-    )
+    # Small tables still get a query block per core; cutting the vectors instead would
+    # multiply the rows to merge.
+    n, cores = q.count(), q.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(blocks_for(n, grid_rows), min(cores, blocks_for(n, GRID_MIN_ROWS)))
+    v_blocks = blocks_for(v.count(), grid_rows)
+    return paired_blocks(q, v, "query_id", "chunk_id", q_blocks, v_blocks, pair, schema)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -105,23 +105,26 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _unit_rows(ids, vecs) -> tuple[np.ndarray, np.ndarray]:
-    """Arrow id and list columns -> ids and a matrix of unit-length rows (null vectors skipped)."""
+def _unit_rows(vecs, tags: list) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An Arrow list column as a matrix of unit-length rows, with the columns beside it.
+
+    Rows without a vector are left out.
+    """
     if isinstance(vecs, pa.ChunkedArray):
         vecs = vecs.combine_chunks()
-        ids = ids.combine_chunks()
-    if vecs.null_count:
-        keep = vecs.is_valid()
-        ids, vecs = ids.filter(keep), vecs.filter(keep)
-    names = ids.to_numpy(zero_copy_only=False)
-    if names.dtype == object:
-        names = names.astype(str)
+    keep = vecs.is_valid() if vecs.null_count else None
+    columns = []
+    for tag in tags:
+        kept = pa.chunked_array([tag]) if isinstance(tag, pa.Array) else tag
+        values = (kept if keep is None else kept.filter(keep)).to_numpy()
+        columns.append(values.astype(str) if values.dtype == object else values)
+    vecs = vecs if keep is None else vecs.filter(keep)
     flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(names), -1) if len(names) else flat.reshape(0, 0)
-    if len(names) and len(flat) and len(np.unique(np.diff(vecs.offsets.to_numpy()))) != 1:
+    if len(np.unique(vecs.value_lengths().to_numpy(zero_copy_only=False))) > 1:
         raise ValueError("vectors of one table must have the same dimension")
+    rows = flat.reshape(len(vecs), -1) if len(flat) else np.zeros((len(vecs), 0))
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return names, np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0), columns
 
 
 class _BestK:
@@ -130,50 +133,46 @@ class _BestK:
     def __init__(self, queries: int, k: int):
         self.k = k
         self.floor = np.full(queries, -np.inf)
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # Tuples of query number, score and the columns kept beside each vector, id first.
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def offer_all(self, q_rows: np.ndarray, v_ids: np.ndarray, v_rows: np.ndarray) -> None:
-        if not len(q_rows) or not len(v_ids):
+    def offer_all(self, q_rows: np.ndarray, v_rows: np.ndarray, tags: list[np.ndarray]) -> None:
+        if not len(q_rows) or not len(v_rows):
             return
         width = max(1, TILE // len(q_rows))
-        for at in range(0, len(v_ids), width):
+        for at in range(0, len(v_rows), width):
             scores = np.round(q_rows @ v_rows[at : at + width].T, SCORE_DIGITS)
-            self._offer(v_ids[at : at + width], scores)
+            self._offer(scores, [t[at : at + width] for t in tags])
 
-    def _offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
+    def _offer(self, scores: np.ndarray, tags: list[np.ndarray]) -> None:
         floor = self.floor
         if scores.shape[1] > self.k:
             cut = scores.shape[1] - self.k
             floor = np.maximum(floor, np.partition(scores, cut, axis=1)[:, cut])
         qi, vi = np.nonzero(scores >= floor[:, None])
-        self.parts.append((qi, scores[qi, vi], ids[vi]))
+        self.parts.append((qi, scores[qi, vi], *(t[vi] for t in tags)))
         self.held += len(qi)
         if self.held > 2 * self.k * len(self.floor) + TILE:
             self._compact()
 
-    def _compact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        qi, score, ids = (np.concatenate(c) for c in zip(*self.parts))
+    def _compact(self) -> tuple[np.ndarray, ...]:
+        qi, score, ids, *rest = (np.concatenate(c) for c in zip(*self.parts))
         order = np.lexsort((ids, -score, qi))
-        qi, score, ids = qi[order], score[order], ids[order]
+        qi = qi[order]
         place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        order = order[place < self.k]
         last = place == self.k - 1
-        self.floor[qi[last]] = score[last]
-        keep = place < self.k
-        self.parts = [(qi[keep], score[keep], ids[keep])]
-        self.held = int(keep.sum())
+        self.floor[qi[last]] = score[order][last[place < self.k]]
+        self.parts = [(qi[place < self.k], score[order], ids[order], *(r[order] for r in rest))]
+        self.held = len(order)
         return self.parts[0]
 
-    def table(self, q_ids: np.ndarray) -> pa.Table:
-        if not self.parts:
-            none = np.empty(0, dtype=int)
-            qi, score, ids = none, none.astype(float), none
-            q_out = q_ids[:0]
-            ids = pa.array([], type=pa.null())
-        else:
-            qi, score, ids = self._compact()
-            q_out = q_ids[qi]
-        return pa.table({"query_id": pa.array(q_out), "chunk_id": pa.array(ids), "score": pa.array(score)})
+    def table(self, q_ids: np.ndarray, names: list[str]) -> pa.Table:
+        qi, score, *tags = self._compact()
+        columns = {"query_id": pa.array(q_ids[qi])}
+        columns.update((name, pa.array(tag)) for name, tag in zip(names, tags))
+        return pa.table({**columns, "score": pa.array(score)})
 
 
 def select_types(chunks: DataFrame, types: tuple[str, ...] | list[str]) -> DataFrame:

@@ -86,10 +86,10 @@ def enrich_nodes(spark: SparkSession, nodes: DataFrame, paragraphs: DataFrame, o
 
 def load_index(spark: SparkSession, chunked: DataFrame, name: str, types: tuple[str, ...], path: str, embed: Embed) -> int:
     """Embed the chunks of the given types that index ``name`` lacks and add them to it."""
-    wanted = vectors.select_types(chunked, types).select("chunk_id", "content")
+    wanted = vectors.select_types(chunked, types).select("chunk_id", "source_id", "content")
     if readers.exists(spark, path):
         wanted = wanted.join(writers.read_vectors(spark, path, name).select("chunk_id"), "chunk_id", "left_anti")
-    embedded = cut_lineage(embed(wanted, text="content", out="embedding").select("chunk_id", "embedding"))
+    embedded = cut_lineage(embed(wanted, text="content", out="embedding").drop("content"))
     return writers.add_vectors(embedded.withColumn("index_name", F.lit(name)), path)
 
 
@@ -99,28 +99,29 @@ def embed_requests(requests: DataFrame, embed: Embed) -> DataFrame:
     return cut_lineage(embed(short, text="embedding_text", out="embedding").select("request_id", "query_no", "embedding"))
 
 
-def retrieve_groups(requests: DataFrame, index: DataFrame, chunked: DataFrame, groups: tuple[tuple, ...]) -> DataFrame:
+def retrieve_groups(requests: DataFrame, index: DataFrame, groups: tuple[tuple, ...]) -> DataFrame:
     """Answer all sub-queries under every configuration in one plan.
 
-    ``requests(request_id, query_no, embedding)``, ``index(index_name, chunk_id, embedding)``,
-    groups of (name, strategy, k, index name).  Configurations sharing an index share its scan.
+    ``requests(request_id, query_no, embedding)``, ``index(index_name, chunk_id, source_id,
+    embedding)``, groups of (name, strategy, k, index name).  Configurations sharing an index share its scan.
     -> (group, request_id, source_id, query_no, score, chunk_ids, rrf_score, position)
     """
     key = F.concat_ws("#", F.col("request_id").cast("string"), F.col("query_no").cast("string"))
     queries = requests.select(key.alias("query_id"), "embedding")
-    id_type = requests.schema["request_id"].dataType
-    hits = {}
+    lists = None
     for name in sorted({g[3] for g in groups}):
-        fetch = max(retrieval.STRATEGIES[g[1]][0](g[2]) for g in groups if g[3] == name)
-        hits[name] = vectors.knn(queries, index.filter(F.col("index_name") == name), fetch)
+        here = [g[:3] for g in groups if g[3] == name]
+        fetch = max(retrieval.STRATEGIES[strategy][0](k) for _, strategy, k in here)
+        hits = vectors.knn(queries, index.filter(F.col("index_name") == name), fetch)
+        found = retrieval.retrieve_all(hits, here)
+        lists = found if lists is None else lists.unionByName(found)
+    request = F.regexp_extract("query_id", r"(?s)\A(.*)#\d+\z", 1).cast(requests.schema["request_id"].dataType)
+    placed = lists.withColumn("request_id", request).withColumn(
+        "query_no", F.substring_index("query_id", "#", -1).cast("int")
+    )
     out = None
-    for group, strategy, k, name in groups:
-        found = retrieval.retrieve(hits[name], chunked, strategy, k)
-        request = F.regexp_extract("query_id", r"(?s)\A(.*)#\d+\z", 1).cast(id_type)
-        lists = found.withColumn("request_id", request).withColumn(
-            "query_no", F.substring_index("query_id", "#", -1).cast("int")
-        )
-        routed = fusion.route(lists, requests, k).withColumn("group", F.lit(group))
+    for k in sorted({g[2] for g in groups}):
+        routed = fusion.route(placed.filter(F.col("k") == k), requests, k, ("group", "request_id"))
         out = routed if out is None else out.unionByName(routed)
     return out
 
@@ -144,7 +145,6 @@ def documents(retrieved: DataFrame, sources: DataFrame) -> DataFrame:
 def run_evaluation(
     tasks: dict[str, DataFrame],
     index: DataFrame,
-    chunked: DataFrame,
     sources: DataFrame,
     embed: Embed,
     chat: inference.ChatModel,
@@ -159,7 +159,7 @@ def run_evaluation(
     for task, inputs in tasks.items():
         make_queries, render = prompts.TASKS[task]
         requests = embed_requests(make_queries(inputs), embed)
-        found = documents(retrieve_groups(requests, index, chunked, groups), sources)
+        found = documents(retrieve_groups(requests, index, groups), sources)
         rows = evaluate.matrix(inputs.select("request_id"), groups).select("request_id", "group")
         lists = rows.join(found, ["group", "request_id"], "left")
         context = F.coalesce(prompts.numbered(F.col("texts")), F.lit(""))

@@ -41,7 +41,7 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def add_vectors(vectors: DataFrame, path: str) -> int:
-    """Add ``vectors(index_name, chunk_id, embedding)`` at unit length; returns rows written.
+    """Add ``vectors(index_name, chunk_id, source_id, embedding)`` at unit length; returns rows written.
 
     The table is partitioned by index.  Ids not yet in an index are simply appended; if some
     are, the indexes concerned are rewritten with the new vectors in place of the old.  Give
@@ -49,7 +49,7 @@ def add_vectors(vectors: DataFrame, path: str) -> int:
     is read twice.
     """
     spark = vectors.sparkSession
-    unit = normalize(vectors.select("index_name", "chunk_id", "embedding"))
+    unit = normalize(vectors.select("index_name", "chunk_id", "source_id", "embedding"))
     fresh = unit.withColumn("embedding", F.col("embedding").cast("array<float>"))
     added = fresh.count()
     if not added:
@@ -73,7 +73,7 @@ def add_vectors(vectors: DataFrame, path: str) -> int:
 
 def read_vectors(spark: SparkSession, path: str, index_name: str | None = None) -> DataFrame:
     """The vector table, or one index of it (only its partition is read)."""
-    table = spark.read.schema("chunk_id string, embedding array<float>, index_name string").parquet(path)
+    table = spark.read.schema("chunk_id string, source_id string, embedding array<float>, index_name string").parquet(path)
     return table if index_name is None else table.filter(F.col("index_name") == index_name)
 
 

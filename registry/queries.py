@@ -417,10 +417,10 @@ def _corpus(spark, sf):
     kinds = F.when(F.col("source_id") % 3 == 0, F.lit("ENRICHMENT")).otherwise(F.lit("DOCUMENT"))
     cut = chunking.split_tokens(sources.select("source_id", "content"), 200)
     chunks = cut.withColumn("chunk_id", F.col("source_id") * 1000 + F.col("chunk_no")).withColumn("content_type", kinds)
-    embedded = letter_embed(chunks, text="content", out="embedding").select("chunk_id", "content_type", "embedding")
+    embedded = letter_embed(chunks, text="content", out="embedding").drop("content", "chunk_no")
     full = vectors.select_types(embedded, ["ENRICHMENT", "DOCUMENT"]).withColumn("index_name", F.lit("full"))
     plain = vectors.select_types(embedded, ["DOCUMENT"]).withColumn("index_name", F.lit("plain"))
-    return full.unionByName(plain), chunks.select("chunk_id", "source_id"), sources
+    return full.unionByName(plain), sources
 
 
 @query
@@ -432,9 +432,9 @@ def embed_texts(spark, sf):
 @query
 def answer_questions(spark, sf):
     """Questions through embedding, search, roll-up, cut, prompt and model."""
-    index, chunks, sources = _corpus(spark, sf)
+    index, sources = _corpus(spark, sf)
     runs = jobs.run_evaluation(
-        {"query_answer": _questions(spark, sf)}, index, chunks, sources, letter_embed, prompt_length,
+        {"query_answer": _questions(spark, sf)}, index, sources, letter_embed, prompt_length,
         (("adaptive_full", "adaptive", 20, "full"),),
     )
     return _flat(runs)
@@ -443,10 +443,10 @@ def answer_questions(spark, sf):
 @query
 def evaluation_runs(spark, sf):
     """Three tasks under three configurations, one plan."""
-    index, chunks, sources = _corpus(spark, sf)
+    index, sources = _corpus(spark, sf)
     prs = inputs.pull_requests(spark, sf)
     tasks = {"query_answer": _questions(spark, sf), "code_interpretation": prs, "code_review": prs}
-    return _flat(jobs.run_evaluation(tasks, index, chunks, sources, letter_embed, prompt_length))
+    return _flat(jobs.run_evaluation(tasks, index, sources, letter_embed, prompt_length))
 
 
 def _flat(runs):
@@ -475,12 +475,12 @@ def _results(spark, sf):
     """Three configurations over the vector table as result rows; every vector is a question.
 
     Questions labelled 0 lack one configuration, questions labelled 1 have one twice."""
-    chunks, sources = inputs.typed_chunks(spark, sf), inputs.chunk_sources(spark, sf)
+    chunks = inputs.typed_chunks(spark, sf).withColumn("source_id", F.floor(F.col("chunk_id") / 4))
     requests = inputs.queries(spark, sf).select(F.col("query_id").alias("request_id"), F.lit(0).alias("query_no"), "embedding")
     index = vectors.select_types(chunks, ["CODE", "ENRICHMENT", "DOCUMENT"]).withColumn("index_name", F.lit("full")).unionByName(
         vectors.select_types(chunks, ["CODE", "DOCUMENT"]).withColumn("index_name", F.lit("plain"))
     )
-    found = jobs.retrieve_groups(requests, index, sources, evaluate.GROUPS)
+    found = jobs.retrieve_groups(requests, index, evaluate.GROUPS)
     names = found.select(
         "group", "request_id", "position",
         F.concat(F.lit("s"), (F.col("source_id") % 60).cast("string")).alias("source_name"), "chunk_ids", "score",
@@ -595,12 +595,9 @@ def task_durations(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Search, roll-up, adaptive cut and fusion for all requests of the vector table."""
     requests = inputs.requests(spark, sf)
-    found = retrieval.retrieve(
-        vectors.knn(requests.select("query_id", "embedding"), inputs.vectors(spark, sf), retrieval.ADAPTIVE_FETCH),
-        inputs.chunk_sources(spark, sf),
-        "adaptive",
-        20,
-    )
+    index = inputs.vectors(spark, sf).withColumn("source_id", F.floor(F.col("chunk_id") / 4))
+    near = vectors.knn(requests.select("query_id", "embedding"), index, retrieval.ADAPTIVE_FETCH)
+    found = retrieval.retrieve(near, None, "adaptive", 20)
     lists = found.join(requests.select("query_id", "request_id", "query_no"), "query_id")
     return fusion.route(lists, requests, 20).withColumn("chunk_ids", _joined("chunk_ids"))
 
