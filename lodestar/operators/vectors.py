@@ -59,10 +59,11 @@ def knn(
 
 
 def _scan(head: pa.Table, v: DataFrame, k: int, schema: str) -> DataFrame:
-    shipped = v.sparkSession.sparkContext.broadcast(_unit_rows(head.column("embedding"), [head.column("query_id")]))
+    rows, ids = _unit_rows(head.column("embedding"), [head.column("query_id")])
+    shipped = v.sparkSession.sparkContext.broadcast((rows, pa.array(ids[0])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_rows, (q_ids,) = shipped.value
+        q_rows, q_ids = shipped.value
         best = _BestK(len(q_rows), k)
         names = []
         for batch in batches:
@@ -83,7 +84,7 @@ def _grid(q: DataFrame, v: DataFrame, k: int, schema: str, grid_rows: int) -> Da
         q_rows, (q_ids,) = _unit_rows(left.column("embedding"), [left.column("query_id")])
         best = _BestK(len(q_rows), k)
         best.offer_all(q_rows, *_unit_rows(right.column("embedding"), [right.column(n) for n in names]))
-        return best.table(q_ids, names) if best.parts else blank
+        return best.table(pa.array(q_ids), names) if best.parts else blank
 
     # Small tables still get a query block per core; cutting the vectors instead would
     # multiply the rows to merge.
@@ -168,9 +169,9 @@ class _BestK:
         self.held = len(order)
         return self.parts[0]
 
-    def table(self, q_ids: np.ndarray, names: list[str]) -> pa.Table:
+    def table(self, q_ids: pa.Array, names: list[str]) -> pa.Table:
         qi, score, *tags = self._compact()
-        columns = {"query_id": pa.array(q_ids[qi])}
+        columns = {"query_id": q_ids.take(pa.array(qi))}
         columns.update((name, pa.array(tag)) for name, tag in zip(names, tags))
         return pa.table({**columns, "score": pa.array(score)})
 
