@@ -38,10 +38,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 def _whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], "path string, text string")
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import fusion, retrieval, vectors
 
-# Published similarity lists of adaptive runs and the sizes they were cut to.
-GOLDEN = [([0.7, 0.65, 0.2], 2, 3), ([0.59, 0.58, 0.40, 0.39, 0.38, 0.37, 0.36, 0.35, 0.34], 2, 7)]
+# Published similarity lists of adaptive runs, already cut; the rule gives the
+# same size again.
+GOLDEN = [
+    [0.6591, 0.5928, 0.5692, 0.47, 0.4537, 0.4449, 0.4371, 0.4352],
+    [0.5692, 0.527, 0.4626, 0.4537, 0.4371, 0.4352, 0.4233],
+    [0.6506, 0.635, 0.6277, 0.6195, 0.6108, 0.603, 0.5953, 0.594, 0.5892, 0.5866, 0.5855, 0.5844, 0.5797, 0.5787,
+     0.5713, 0.5709, 0.5694, 0.5692, 0.5684],
+    [0.6506, 0.635, 0.6277, 0.6195, 0.6108, 0.603, 0.594, 0.5892, 0.5866, 0.5855, 0.5797, 0.5787, 0.5713, 0.5709,
+     0.5694, 0.5692, 0.5681],
+    [0.6617, 0.613, 0.6055, 0.5898, 0.578, 0.5767, 0.5681, 0.5653, 0.5647],
+    [0.6055, 0.5898, 0.5767, 0.5653, 0.5646, 0.5558, 0.555],
+    [0.658, 0.6399, 0.6296, 0.6231, 0.6229, 0.6194, 0.6134, 0.6052, 0.596, 0.5875, 0.5867, 0.5813, 0.5813, 0.5813],
+    [0.6399, 0.6296, 0.6231, 0.6229, 0.6194, 0.6134, 0.6052, 0.596, 0.5875, 0.5867, 0.5813, 0.5813, 0.5813],
+]
 CASES = [
     ([0.9], 0, 1),
-    *GOLDEN,
+    ([0.7, 0.65, 0.2], 2, 3),
+    ([0.59, 0.58, 0.40, 0.39, 0.38, 0.37, 0.36, 0.35, 0.34], 2, 7),
     ([0.25] * 8, 0, 5),
     ([0.5] * 30, 0, 5),
     ([0.9] * 30, 29, 20),
@@ -43,6 +56,11 @@ def test_adaptive_cases(spark):
     assert got == {q: (optimal, kept) for q, (_, optimal, kept) in enumerate(CASES)}
 
 
+def test_adaptive_keeps_published_lists_whole(spark):
+    found = retrieval.adaptive_k(lists(spark, GOLDEN), 20).groupBy("query_id").agg(F.max("optimal_k").alias("o"), F.count("*").alias("n"))
+    assert {r.query_id: (r.o + 5, r.n) for r in found.collect()} == {q: (len(x), len(x)) for q, x in enumerate(GOLDEN)}
+
+
 def test_adaptive_equals_fold_on_random_lists(spark):
     rng = random.Random(7)
     many = [sorted((round(rng.random(), rng.choice([1, 2, 6])) for _ in range(rng.randint(1, 40))), reverse=True) for _ in range(300)]
