@@ -123,13 +123,9 @@ def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_ship
 class _Matcher:
     """Keywords found in lower-cased texts; per keyword and per pair the first ids.
 
-    Texts must come in id order, so a key is settled once it has ``keep`` ids.  A keyword
-    without white space can only occur inside a token, so the automaton runs once per distinct
-    token and its finds are remembered; other keywords are looked for in the whole text.
+    Texts must come in id order, so a key is settled once it has ``keep`` ids.
     """
 
-    TOKENS_HELD = 200_000
-
     def __init__(self, firsts: list[str], seconds: list[str], keep: int):
         self.keep = keep
         # What is still wanted: ids of single keywords, and of pairs by their first keyword.
@@ -138,13 +134,11 @@ class _Matcher:
         for a, b in zip(firsts, seconds):
             self.partners.setdefault(a, set()).add(b)
         self.always = {""} & self.words
-        self.spaced = [w for w in self.words if w and w.split() != [w]]
         self.automaton = ahocorasick.Automaton()
-        for word in self.words.difference(self.always, self.spaced):
+        for word in self.words - self.always:
             self.automaton.add_word(word, word)
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.tokens: dict[str, frozenset[str]] = {}
         self.found: dict[tuple[str, str | None], list] = {}
 
     def read(self, ids: list, texts: list[str | None]) -> None:
@@ -164,17 +158,8 @@ class _Matcher:
                     del self.partners[word]
 
     def _words_in(self, text: str) -> set[str]:
-        words = set(self.always)
-        if len(self.automaton):
-            known = self.tokens
-            if len(known) > self.TOKENS_HELD:
-                known.clear()
-            tokens = set(text.split())
-            for token in [t for t in tokens if t not in known]:
-                known[token] = frozenset(word for _, word in self.automaton.iter(token))
-            words.update(*map(known.__getitem__, tokens))
-        words.update(w for w in self.spaced if w in text)
-        return words
+        found = {word for _, word in self.automaton.iter(text)} if len(self.automaton) else set()
+        return found | self.always
 
     def _settles(self, key: tuple[str, str | None], pid) -> bool:
         ids = self.found.setdefault(key, [])

@@ -229,10 +229,9 @@ FROM (SELECT url || (['.md', '.ADOC', '.pdf', '.txt', ''])[page_id % 5 + 1] AS p
 
 # ------------------------------------------------------------------ chunking
 
-ORACLES["clean_text"] = f"""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE
-  regexp_replace(regexp_replace(chr(7) || replace(text, ' ', ' ' || chr(31)) || chr(9) || '_serializedATN =' || {NL} || '  "' || text ||
+ORACLES["clean_text"] = f"""SELECT doc_id, regexp_replace(regexp_replace(chr(7) || replace(text, ' ', ' ' || chr(31)) || chr(9) || '_serializedATN =' || {NL} || '  "' || text ||
     '";' || chr(13) || {NL} || 'end' || chr(127), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'),
-    '_serializedATN\\s*=\\s*"(?s:.*?)";', '_serializedATN = "<ANTLR_SERIALIZED_ATN>";', 'g') END AS content FROM documents"""
+    '_serializedATN\\s*=\\s*"(?s:.*?)";', '_serializedATN = "<ANTLR_SERIALIZED_ATN>";', 'g') AS content FROM documents"""
 ORACLES["content_type"] = """SELECT doc_id, CASE WHEN source = 'src1' THEN 'CODE' WHEN source = 'src2' THEN 'DOCUMENT'
   ELSE 'UNDEFINED' END AS content_type FROM documents"""
 UNPIVOTED = """SELECT 'n' || doc_id AS source_id, text_no, content_type, content FROM documents JOIN labels USING (doc_id),
