@@ -221,8 +221,8 @@ def parse_judgements(judge_lines: DataFrame, block: int = 100_000) -> DataFrame:
     return headed.filter(F.col("line").rlike(JUDGE_LINE)).select(
         "file",
         "judge",
-        part(1).cast("bigint").alias("pair_id"),
-        part(2).cast("int").alias("score"),
+        part(1).try_cast("bigint").alias("pair_id"),
+        part(2).try_cast("int").alias("score"),
         part(3).alias("reason"),
     )
 

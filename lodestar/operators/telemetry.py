@@ -27,7 +27,7 @@ def parse_log(log_lines: DataFrame) -> DataFrame:
         F.col("_p")[1].alias("level"),
         F.col("_p")[2].alias("service"),
         F.col("_p")[3].alias("operation"),
-        F.col("_p")[4].cast("bigint").alias("duration_ms"),
+        F.col("_p")[4].try_cast("bigint").alias("duration_ms"),
     )
 
 

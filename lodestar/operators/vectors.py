@@ -15,6 +15,8 @@ from lodestar.plans.grid import blocks_for, paired_blocks
 
 # Query rows shipped to every task at most; more queries go through the block grid.
 MAX_SHIPPED_QUERIES = 8192
+# Winners (queries times k) a task may hold at most, a few dozen bytes each.
+MAX_KEPT = 4_000_000
 # Rows of one block on either side of the grid.
 GRID_ROWS = 50_000
 GRID_MIN_ROWS = 1_000
@@ -50,8 +52,9 @@ def knn(
     v = vectors.select("embedding", *tags)
     types = [("query_id", q.schema["query_id"]), *((c, v.schema[c]) for c in tags)]
     schema = ", ".join(f"{name} {field.dataType.simpleString()}" for name, field in types) + ", score double"
-    head = q.limit(max_shipped + 1).toArrow()
-    if head.num_rows <= max_shipped:
+    shipped = min(max_shipped, MAX_KEPT // k)
+    head = q.limit(shipped + 1).toArrow()
+    if head.num_rows <= shipped:
         found = _scan(head, v, k, schema)
     else:
         found = _grid(q, v, k, schema, grid_rows)
@@ -89,7 +92,8 @@ def _grid(q: DataFrame, v: DataFrame, k: int, schema: str, grid_rows: int) -> Da
     # Small tables still get a query block per core; cutting the vectors instead would
     # multiply the rows to merge.
     n, cores = q.count(), q.sparkSession.sparkContext.defaultParallelism
-    q_blocks = max(blocks_for(n, grid_rows), min(cores, blocks_for(n, GRID_MIN_ROWS)))
+    q_rows = max(1, min(grid_rows, MAX_KEPT // k))
+    q_blocks = max(blocks_for(n, q_rows), min(cores, blocks_for(n, GRID_MIN_ROWS)))
     v_blocks = blocks_for(v.count(), grid_rows)
     return paired_blocks(q, v, "query_id", "chunk_id", q_blocks, v_blocks, pair, schema)
 
@@ -154,7 +158,7 @@ class _BestK:
         qi, vi = np.nonzero(scores >= floor[:, None])
         self.parts.append((qi, scores[qi, vi], *(t[vi] for t in tags)))
         self.held += len(qi)
-        if self.held > 2 * self.k * len(self.floor) + TILE:
+        if self.held > self.k * len(self.floor) + TILE:
             self._compact()
 
     def _compact(self) -> tuple[np.ndarray, ...]:

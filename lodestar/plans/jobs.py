@@ -84,13 +84,13 @@ def enrich_nodes(spark: SparkSession, nodes: DataFrame, paragraphs: DataFrame, o
     return spark.read.parquet(path)
 
 
-def load_index(spark: SparkSession, chunked: DataFrame, name: str, types: tuple[str, ...], path: str, embed: Embed) -> int:
-    """Embed the chunks of the given types that index ``name`` lacks and add them to it."""
+def load_index(spark: SparkSession, chunked: DataFrame, name: str, types: tuple[str, ...], path: str, embed: Embed) -> None:
+    """Embed the chunks of the given types that index ``name`` lacks and append them to it."""
     wanted = vectors.select_types(chunked, types).select("chunk_id", "source_id", "content")
     if readers.exists(spark, path):
         wanted = wanted.join(writers.read_vectors(spark, path, name).select("chunk_id"), "chunk_id", "left_anti")
-    embedded = cut_lineage(embed(wanted, text="content", out="embedding").drop("content"))
-    return writers.add_vectors(embedded.withColumn("index_name", F.lit(name)), path)
+    embedded = embed(wanted, text="content", out="embedding").withColumn("index_name", F.lit(name))
+    writers.append_vectors(embedded, path)
 
 
 def embed_requests(requests: DataFrame, embed: Embed) -> DataFrame:

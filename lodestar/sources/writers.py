@@ -40,35 +40,41 @@ def save_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     return df.sparkSession.read.parquet(path)
 
 
-def add_vectors(vectors: DataFrame, path: str) -> int:
-    """Add ``vectors(index_name, chunk_id, source_id, embedding)`` at unit length; returns rows written.
+def _unit_vectors(vectors: DataFrame) -> DataFrame:
+    unit = normalize(vectors.select("index_name", "chunk_id", "source_id", "embedding"))
+    return unit.withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+
+def append_vectors(vectors: DataFrame, path: str) -> None:
+    """Append ``vectors(index_name, chunk_id, source_id, embedding)`` at unit length, in one pass.
+
+    For ids the table is known to lack; the table is partitioned by index.
+    """
+    _unit_vectors(vectors).write.mode("append").partitionBy("index_name").parquet(path)
+
 
-    The table is partitioned by index.  Ids not yet in an index are simply appended; if some
-    are, the indexes concerned are rewritten with the new vectors in place of the old.  Give
-    at most one row per (index_name, chunk_id); ``vectors`` should be a stored table, as it
-    is read twice.
+def add_vectors(vectors: DataFrame, path: str) -> None:
+    """Add vectors, replacing those whose (index_name, chunk_id) is there already.
+
+    Without such ids this is an append; otherwise the indexes concerned are rewritten.  Give
+    at most one row per id; ``vectors`` should be a stored table, as it is read twice.
     """
     spark = vectors.sparkSession
-    unit = normalize(vectors.select("index_name", "chunk_id", "source_id", "embedding"))
-    fresh = unit.withColumn("embedding", F.col("embedding").cast("array<float>"))
-    added = fresh.count()
-    if not added:
-        return 0
+    if vectors.isEmpty():
+        return
     if not exists(spark, path):
-        fresh.write.partitionBy("index_name").parquet(path)
-        return added
+        return append_vectors(vectors, path)
     key = ["index_name", "chunk_id"]
     stored = read_vectors(spark, path)
-    clash = stored.join(fresh.select(*key), key, "left_semi").select("index_name").distinct()
+    clash = stored.join(vectors.select(*key), key, "left_semi")
     if clash.isEmpty():
-        fresh.write.mode("append").partitionBy("index_name").parquet(path)
-        return added
-    touched = fresh.select("index_name").distinct()
-    kept = stored.join(touched, "index_name", "left_semi").join(fresh.select(*key), key, "left_anti")
+        return append_vectors(vectors, path)
+    touched = vectors.select("index_name").distinct()
+    kept = stored.join(touched, "index_name", "left_semi").join(vectors.select(*key), key, "left_anti")
     # The merged rows are complete on storage before the first old file is replaced.
-    staged = save_table(kept.unionByName(fresh), f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}")
+    merged = kept.unionByName(_unit_vectors(vectors))
+    staged = save_table(merged, f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}")
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("index_name").parquet(path)
-    return added
 
 
 def read_vectors(spark: SparkSession, path: str, index_name: str | None = None) -> DataFrame:
