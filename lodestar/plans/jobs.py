@@ -152,8 +152,9 @@ def run_evaluation(
 ) -> DataFrame:
     """Every task input under every configuration: retrieve, prompt, generate.
 
-    ``tasks`` maps a task name to its inputs.  -> (task, group, request_id, prompt, documents,
-    response, error); write it out before using it more than once, as the model answers anew.
+    ``tasks`` maps a task name to its inputs.  -> (task, group, request_id, input, prompt,
+    documents, response, error, duration, timestamp); ``input`` is the question or the pull
+    request as JSON.  Write it out before using it more than once, as the model answers anew.
     """
     out = None
     for task, inputs in tasks.items():
@@ -168,10 +169,28 @@ def run_evaluation(
         per_group = rows.join(inputs, "request_id").withColumn("request_id", keyed).drop("group")
         asked = render(per_group, contexts).select("request_id.group", "request_id.request_id", "prompt")
         answered = asked.join(lists.select("group", "request_id", "documents"), ["group", "request_id"])
-        named = answered.withColumn("task", F.lit(task))
+        named = answered.join(_inputs(inputs), "request_id").withColumn("task", F.lit(task))
         out = named if out is None else out.unionByName(named)
     done = inference.generate(out, chat)
-    return done.select("task", "group", "request_id", "prompt", "documents", "response", "error")
+    return done.select(
+        "task",
+        "group",
+        "request_id",
+        "input",
+        "prompt",
+        "documents",
+        "response",
+        "error",
+        F.col("duration_ms").alias("duration"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
+    )
+
+
+def _inputs(inputs: DataFrame) -> DataFrame:
+    if "query" in inputs.columns:
+        return inputs.select("request_id", F.col("query").alias("input"))
+    pr = F.struct(F.col("request_id").alias("id"), "title", "description", "hunks")
+    return inputs.select("request_id", F.to_json(pr).alias("input"))
 
 
 def overlap_report(results: DataFrame) -> dict[str, DataFrame]:

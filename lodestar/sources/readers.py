@@ -71,10 +71,10 @@ def read_pull_requests(spark: SparkSession, path: str, multi_line: bool = True)
 
 
 def read_eval_results(spark: SparkSession, path: str, task: str, multi_line: bool = True) -> DataFrame:
-    """Results of one task: (task, group, item_id, query, pr, response, duration_ms, documents).
+    """Results of one task: (result_no, task, group, item_id, query, pr, response, duration_ms, documents).
 
     ``input`` is a question or a pull-request object.  Chunk ids are taken from either of
-    the two field names in use.
+    the two field names in use.  ``result_no`` grows in file order.
     """
     rows = spark.read.schema(RESULT_FILE).option("multiLine", multi_line).json(path).filter(F.col("task") == task)
     pr = F.when(F.ltrim("input").startswith("{"), F.from_json("input", PULL_REQUEST))
@@ -87,6 +87,7 @@ def read_eval_results(spark: SparkSession, path: str, task: str, multi_line: boo
         ),
     )
     return rows.withColumn("pr", pr).select(
+        F.monotonically_increasing_id().alias("result_no"),
         "task",
         "group",
         F.coalesce("pr.id", "input").alias("item_id"),

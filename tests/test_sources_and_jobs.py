@@ -145,9 +145,10 @@ def test_build_answer_and_evaluate(spark, tree):
     assert all(d.rrf_score is None for r in single for d in r.documents)
     fused = [r for r in rows if r.task == "code_review" and r.request_id == "9"]
     assert all(d.rrf_score > 0 for r in fused for d in r.documents)
-    results = runs.select(
-        "task", "group", F.col("request_id").alias("item_id"), F.lit(0).alias("result_no"), F.coalesce("documents", F.array()).alias("documents")
-    )
+    read = lambda task: readers.read_eval_results(spark, f"{out}/results", task, multi_line=False)
+    results = read("query_answer").unionByName(read("code_review"))
+    assert {r.title for r in results.filter("task = 'code_review'").select("pr.title").collect()} == {"t"}
+    assert results.filter("item_id = 'nothing' and duration_ms >= 0").count() == 3
     report = jobs.overlap_report(results)
     assert {r.n_groups for r in report["items"].collect()} == {3}
-    assert report["jaccard"].filter("missing is null and jaccard is not null").count() == 12
+    assert report["jaccard"].filter("missing is null and jaccard is not null").count() == 8
