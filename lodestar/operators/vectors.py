@@ -121,8 +121,7 @@ def _unit_rows(vecs, tags: list) -> tuple[np.ndarray, list[np.ndarray]]:
     columns = []
     for tag in tags:
         kept = pa.chunked_array([tag]) if isinstance(tag, pa.Array) else tag
-        values = (kept if keep is None else kept.filter(keep)).to_numpy()
-        columns.append(values.astype(str) if values.dtype == object else values)
+        columns.append((kept if keep is None else kept.filter(keep)).to_numpy())
     vecs = vecs if keep is None else vecs.filter(keep)
     flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(np.unique(vecs.value_lengths().to_numpy(zero_copy_only=False))) > 1:

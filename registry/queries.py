@@ -23,6 +23,7 @@ from lodestar.operators import (
     vectors,
 )
 from lodestar.plans import jobs
+from lodestar.plans.ordering import cut_lineage
 from lodestar.sources import readers
 from registry import inputs
 
@@ -414,7 +415,8 @@ def _corpus(spark, sf):
     kinds = F.when(F.col("source_id") % 3 == 0, F.lit("ENRICHMENT")).otherwise(F.lit("DOCUMENT"))
     cut = chunking.split_tokens(sources.select("source_id", "content"), 200)
     chunks = cut.withColumn("chunk_id", F.col("source_id") * 1000 + F.col("chunk_no")).withColumn("content_type", kinds)
-    embedded = letter_embed(chunks, text="content", out="embedding").drop("content", "chunk_no")
+    # The vector table is stored once and then searched under several configurations.
+    embedded = cut_lineage(letter_embed(chunks, text="content", out="embedding").drop("content", "chunk_no"))
     full = vectors.select_types(embedded, ["ENRICHMENT", "DOCUMENT"]).withColumn("index_name", F.lit("full"))
     plain = vectors.select_types(embedded, ["DOCUMENT"]).withColumn("index_name", F.lit("plain"))
     return full.unionByName(plain), sources
