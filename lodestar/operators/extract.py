@@ -69,7 +69,8 @@ def type_declarations(files: DataFrame) -> DataFrame:
     """One row per class or interface, then enum, then record, nested types included.
 
     ``files(source_name, text)`` -> (source_name, pos, signature, content, parsed).  A file
-    whose brackets do not match yields what was complete, with ``parsed`` false.
+    whose brackets do not match yields what was complete, with ``parsed`` false, and one row
+    without a signature that marks it as broken.
     """
     named = files.select(
         "source_name", "text", F.regexp_extract(F.coalesce("text", F.lit("")), PACKAGE, 1).alias("package")
@@ -82,6 +83,8 @@ def type_declarations(files: DataFrame) -> DataFrame:
             for name, text, package in zip(*(c.to_pylist() for c in batch.columns)):
                 found, whole = _declarations(text or "")
                 rows.extend((name, pos, f"{package}.{d[2]}", d[3], whole) for pos, d in enumerate(found))
+                if not whole:
+                    rows.append((name, None, None, None, False))
             if rows:
                 name, pos, sign, code, whole = zip(*rows)
                 yield pa.RecordBatch.from_pydict(
@@ -230,11 +233,17 @@ def sections(docs: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:
 # ---------------------------------------------------------------- per-type dispatch
 
 
-def class_nodes(files: DataFrame) -> DataFrame:
-    """Type declarations of the Java files, keyed by source, signature and position."""
-    found = type_declarations(files.filter(F.col("source_type") == "java"))
+def class_nodes(declared: DataFrame) -> DataFrame:
+    """Type declarations as sources, keyed by file, signature and position."""
     key = F.sha2(F.concat_ws("\x1f", F.lit("type"), "source_name", "signature", F.col("pos").cast("string")), 256)
-    return found.select(key.alias("source_id"), "source_name", "signature", "content", "parsed")
+    found = declared.filter(F.col("signature").isNotNull())
+    return found.select(key.alias("source_id"), "source_name", "signature", "content")
+
+
+def broken_files(declared: DataFrame) -> DataFrame:
+    """Rejects (path, reason) for files whose brackets do not match."""
+    marks = declared.filter(F.col("signature").isNull())
+    return marks.select(F.col("source_name").alias("path"), F.lit("brackets do not match").alias("reason"))
 
 
 def paragraphs(files: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:

@@ -37,13 +37,12 @@ def build_corpus(
         files = files.unionByName(readers.scan_docs(spark, path))
     taken, rejects = readers.route(files)
 
+    java = taken.filter(F.col("source_type") == "java")
+    declared = writers.save_table(extract.type_declarations(java), f"{out}/declarations")
     nodes = writers.save_table(
-        extract.class_nodes(taken).withColumnRenamed("source_id", "node_id"), f"{out}/class_nodes"
-    )
-    broken = nodes.filter(~F.col("parsed")).select(F.col("source_name").alias("path")).distinct()
-    writers.save_table(
-        rejects.unionByName(broken.withColumn("reason", F.lit("brackets do not match"))), f"{out}/rejects"
+        extract.class_nodes(declared).withColumnRenamed("source_id", "node_id"), f"{out}/class_nodes"
     )
+    writers.save_table(rejects.unionByName(extract.broken_files(declared)), f"{out}/rejects")
     paragraphs = writers.save_table(extract.paragraphs(taken), f"{out}/paragraphs")
 
     enriched = enrich_nodes(spark, nodes, paragraphs, out, chat)

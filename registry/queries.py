@@ -223,9 +223,8 @@ def type_signature(spark, sf):
 
 @query
 def extract_counts(spark, sf):
-    return extract.counts(
-        extract.type_declarations(inputs.java_files(spark, sf)), extract.pack_lines(inputs.plain_docs(spark, sf))
-    )
+    nodes = extract.class_nodes(extract.type_declarations(inputs.java_files(spark, sf)))
+    return extract.counts(nodes, extract.pack_lines(inputs.plain_docs(spark, sf)))
 
 
 @query

@@ -63,20 +63,20 @@ def test_number_rows(spark):
 
 def test_log_parse_and_stats(spark):
     text = [
-        "[2026-01-23 15:36:24] [INFO] RAGService: Retrieval completed in 3168ms",
-        "prefix [2026-01-23 15:36:25] [INFO] RAGService: Retrieval completed in 3170ms trailing",
+        "[2026-01-23 15:36:24] [INFO] Answers: Retrieval completed in 3168ms",
+        "prefix [2026-01-23 15:36:25] [INFO] Answers: Retrieval completed in 3170ms trailing",
         "[2026-01-23 15:36:24] [INFO] Store: Similarity search completed in 1578ms",
         "[2026-01-23 15:36:24] [INFO] Store: started",
         "completed in a hurry",
     ]
     events = telemetry.parse_log(spark.createDataFrame([(x,) for x in text], "line string"))
     assert {(r.timestamp, r.service, r.operation, r.duration_ms) for r in events.collect()} == {
-        ("2026-01-23 15:36:24", "RAGService", "Retrieval", 3168),
-        ("2026-01-23 15:36:25", "RAGService", "Retrieval", 3170),
+        ("2026-01-23 15:36:24", "Answers", "Retrieval", 3168),
+        ("2026-01-23 15:36:25", "Answers", "Retrieval", 3170),
         ("2026-01-23 15:36:24", "Store", "Similarity search", 1578),
     }
     stats = {r.operation_key: r for r in telemetry.latency_stats(events).collect()}
-    assert stats["RAGService:Retrieval"].median_ms == 3169.0
+    assert stats["Answers:Retrieval"].median_ms == 3169.0
     assert stats["Store:Similarity search"].stdev_ms == 0.0
 
 

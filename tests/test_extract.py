@@ -141,9 +141,10 @@ def test_type_declarations(spark):
     files = spark.createDataFrame([("cu::Foo.java", JAVA), ("cu::B.java", "class B { class C { }")], "source_name string, text string")
     rows = extract.type_declarations(files).orderBy("source_name", "pos").collect()
     assert [(r.signature, r.parsed) for r in rows] == [
-        (".C", False),
+        (None, False), (".C", False),
         ("a.b.Foo", True), ("a.b.Local", True), ("a.b.Builder", True), ("a.b.I", True), ("a.b.E", True), ("a.b.Pt", True),
     ]
+    assert [r.path for r in extract.broken_files(extract.type_declarations(files)).collect()] == ["cu::B.java"]
     code = {r.signature: r.content for r in rows}
     assert code["a.b.Foo"].startswith("/** doc { */\n@Ann({1,2})\npublic class Foo") and code["a.b.Foo"].endswith("} }\n}")
     assert code["a.b.Builder"] == "static class Builder { enum E { A { }, B; } }"

@@ -113,7 +113,8 @@ def test_build_answer_and_evaluate(spark, tree):
     tables = build(reply)
     assert {r.signature for r in tables["class_nodes"].collect()} == {"a.util.Foo", "a.util.Kind"}
     assert tables["paragraphs"].count() == 3
-    assert spark.read.parquet(f"{out}/rejects").count() == 1
+    rejects = {r.path.split("/")[-1]: r.reason for r in spark.read.parquet(f"{out}/rejects").collect()}
+    assert rejects == {"data.bin": "unsupported file type", "cu::Broken.java": "brackets do not match"}
     bindings = spark.read.parquet(f"{out}/bindings").join(tables["class_nodes"], "node_id")
     assert {(r.signature, r.n) for r in bindings.groupBy("signature").agg(F.count("*").alias("n")).collect()} == {
         ("a.util.Foo", 2), ("a.util.Kind", 1),
