@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import exact_dedup, near_dedup, quality
+from lodestar.llm import byte_bpe, exact_dedup, near_dedup, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,23 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("row")
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    return packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumn(
+        "ids_crc32", F.crc32("ids")
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    digests = byte_bpe.decoded(ids.withColumn("ids_sha256", F.sha2("ids", 256)), ranks)
+    return digests.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -28,5 +47,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_packing": op5_packing,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
 }
