@@ -98,3 +98,22 @@ def with_group_size(df: DataFrame, key: str, out: str = "group_size") -> DataFra
         .withColumn(out, F.coalesce("_hot_size", "_size"))
         .drop("_key", "_size", "_hot_size", "_own")
     )
+
+
+def text_digest(name: str = "text") -> Column:
+    return F.md5(missing_as_empty(name))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` and ``digest`` are in ``chosen``; one row for each id and digest."""
+    own, wanted_id, wanted, rank = (fresh(docs, c) for c in ("_own", "_wanted_id", "_wanted", "_rank"))
+    chosen = chosen.select(F.col("doc_id").alias(wanted_id), F.col("digest").alias(wanted))
+    same = F.col("doc_id").eqNullSafe(F.col(wanted_id)) & (F.col(own) == F.col(wanted))
+    once = Window.partitionBy("doc_id", own).orderBy(*docs.columns)
+    return (
+        docs.withColumn(own, digest)
+        .join(chosen, same, "left_semi")
+        .withColumn(rank, F.row_number().over(once))
+        .where(F.col(rank) == 1)
+        .drop(own, rank)
+    )

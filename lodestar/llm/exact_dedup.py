@@ -8,10 +8,10 @@ equal names mean equal texts.  DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import LAST_ID, SPACE, first_place, fresh, missing_as_empty, staged, with_group_size
+from lodestar.llm.common import LAST_ID, SPACE, first_place, missing_as_empty, rows_of, staged, with_group_size
 
 #: Code points of a block.  Most documents are one block; the rounds of pair naming grow with the log of the longest.
 BLOCK_CHARS = 4096
@@ -91,16 +91,5 @@ def exact_groups(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
 def keep_first(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows that ``exact_groups`` keeps, with all their columns; one row per kept id and text."""
-    sha, doc, digest = (fresh(docs, c) for c in ("_sha", "_kept_id", "_kept_sha"))
-    kept = exact_groups(docs, block_chars).where("kept")
-    kept = kept.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(digest))
-    marked = docs.withColumn(sha, F.sha2(normalised(), 256))
-    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(sha) == F.col(digest))
-    rank = fresh(docs, "_rank")
-    once = Window.partitionBy("doc_id", sha).orderBy(*docs.columns)
-    return (
-        marked.join(kept, same, "left_semi")
-        .withColumn(rank, F.row_number().over(once))
-        .where(F.col(rank) == 1)
-        .drop(sha, rank)
-    )
+    kept = exact_groups(docs, block_chars).where("kept").withColumnRenamed("text_sha256", "digest")
+    return rows_of(docs, kept, F.sha2(normalised(), 256))

@@ -1,6 +1,6 @@
 """MinHash near-duplicate groups with odd sketches.
 
-A document is the set of its distinct two-word shingles.  MinHash samples of the set give band keys, and are folded
+A document is the set of its distinct word shingles.  MinHash samples of the set give band keys, and are folded
 into a parity bitmap (odd sketch): each sample flips one bit, so the XOR of two bitmaps has few bits where the sets
 are alike, and its population count estimates high similarities well.  Documents that share a band key are candidates;
 the bitmaps sort out those far below the threshold and the full sets decide.
@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import HOT_KEYS, LAST_ID, first_place, partitions, staged
+from lodestar.llm.common import HOT_KEYS, LAST_ID, first_place, partitions, rows_of, staged, text_digest
 from lodestar.llm.components import components
 from lodestar.llm.text_arrays import as_bytes, lower_words, mix, packed, slices, small_binary
 
-SHINGLE_WORDS = 2
+SHINGLE_WORDS = 5
 #: Linked are sets with PERCENT * union <= 100 * intersection.
 PERCENT = 80
 #: A pair at the threshold shares no band with probability (1 - 0.8**5)**32, 3 in a million; pairs above it rarer.
@@ -104,11 +104,11 @@ def most_bits(estimate: float = LEAST_ESTIMATE) -> int:
     return int(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "row", "n_shingles", "key", "bands", "sketch"]
+def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "row", "digest", "n_shingles", "key", "bands", "sketch"]
     for batch in batches:
         for part in slices(batch, "text"):
-            values, begins = shingle_sets(part.column("text"))
+            values, begins = shingle_sets(part.column("text"), words)
             n = np.diff(begins)
             some = np.flatnonzero(n)
             found = samples(values, np.append(begins[some], begins[-1]))
@@ -124,6 +124,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     part.column("doc_id"),
                     part.column("row"),
+                    part.column("digest"),
                     pa.array(n.astype(np.int64)),
                     pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(at * keys.shape[1], pa.int32()), pa.array(keys.ravel())),
@@ -133,17 +134,24 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``row``, ``n_shingles``, ``key`` (a digest of the set), ``bands`` and ``sketch`` of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
-        _describe, "doc_id long, row long, n_shingles long, key binary, bands array<long>, sketch array<long>"
+def described(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id``, ``row``, ``digest`` (of the text), ``n_shingles``, ``key`` (a digest of the set), ``bands`` and ``sketch`` of every row."""
+
+    def describe(batches):
+        return _describe(batches, words)
+
+    return docs.select(
+        F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), text_digest().alias("digest"), "text"
+    ).mapInArrow(
+        describe,
+        "doc_id long, row long, digest string, n_shingles long, key binary, bands array<long>, sketch array<long>",
     )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            values, begins = shingle_sets(part.column("text"))
+            values, begins = shingle_sets(part.column("text"), words)
             sets = small_binary(packed(values, begins))
             right = [
                 hashlib.md5(values[a:b].tobytes()).digest() == k
@@ -170,7 +178,7 @@ def _alike(n: Column, m: Column, s: Column, t: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (bits <= most_bits())
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Those pairs (u, v) of nodes whose full sets are similar enough, stored."""
     u, v = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "uv")
     likely = staged(
@@ -179,7 +187,11 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame
     ends = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
     wanted = nodes.join(ends, "node").select("doc_id", "node", "key")
     text = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text").join(wanted, "doc_id")
-    sets = staged(text.select("node", "key", "text").mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]))
+
+    def sets_of(batches):
+        return _sets(batches, words)
+
+    sets = staged(text.select("node", "key", "text").mapInArrow(sets_of, "node long, items binary").dropDuplicates(["node"]))
     full = likely.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(
         sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v"
     )
@@ -209,8 +221,8 @@ def _band_members(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _tiles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(rows))
+def _tiles(table: pa.Table) -> pa.Table:
+    """Likely pairs of a tile's seeking and other members."""
     cols = {c: table.column(c).to_numpy() for c in ("node", "component", "size")}
     sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(_U64)
     seeking = table.column("seeking").to_numpy()
@@ -228,7 +240,7 @@ def _tiles(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us.append(np.maximum(found, cols["node"][i]))
         vs.append(np.minimum(found, cols["node"][i]))
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def _left_over(nodes: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame:
@@ -259,14 +271,16 @@ def _left_over(nodes: DataFrame, members: DataFrame, linked: DataFrame) -> DataF
     return tiles.groupBy("band", "i", "j").applyInArrow(_tiles, "u long, v long").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """Group near-duplicates: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``row`` for every row.
+def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Group near-duplicates: ``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``digest`` for every row.
+
+    Words are runs without white space, A-Z in lower case; a text with fewer words than a shingle is one shingle.
 
     A null or blank text has no shingles and is linked with nothing.  ``component_id`` is the smallest id reachable;
     ``kept`` marks the row with that id (of repeated rows one).  Rows without id are told apart but come last, and
     their component has a null id if no row in it has one.  Other columns are ignored; an empty table gives none.
     """
-    rows = staged(described(docs))
+    rows = staged(described(docs, words))
     ids = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), "row")
     keyed = rows.where("n_shingles > 0").select("doc_id", "row", "key", ids.alias("place"))
     classes = staged(first_place(keyed, ["key"], "place", "first").select("doc_id", "row", F.col("first.row").alias("node"), "first"))
@@ -281,9 +295,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     first = tops.select(
         F.col("node").alias("u"), F.min("node").over(Window.partitionBy("band")).alias("v")
     ).where("u <> v")
-    links = _confirmed(docs, nodes, stars.union(first).distinct())
+    links = _confirmed(docs, nodes, stars.union(first).distinct(), words)
     linked = staged(components(links))
-    more = _confirmed(docs, nodes, _left_over(nodes, members, linked))
+    more = _confirmed(docs, nodes, _left_over(nodes, members, linked), words)
     if more.take(1):
         linked = staged(components(links.union(more)))
     joined = classes.join(linked, "node", "left").withColumn("top", F.coalesce("component", "node"))
@@ -296,7 +310,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     tops = tops.withColumnRenamed("component", "top")
     grouped = joined.join(tops, "top", "left").select("row", F.coalesce("lowest", "first").alias("lowest"))
     return (
-        rows.select("doc_id", "row", "n_shingles")
+        rows.select("doc_id", "row", "n_shingles", "digest")
         .join(grouped, "row", "left")
         .select(
             "doc_id",
@@ -305,6 +319,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
             .when(F.col("lowest.doc") != LAST_ID, F.col("lowest.doc"))
             .alias("component_id"),
             F.coalesce(F.col("lowest.row") == F.col("row"), F.lit(True)).alias("kept"),
-            "row",
+            "digest",
         )
     )
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows that ``near_groups`` keeps, with all their columns; of rows alike in id and text one stays."""
+    return rows_of(docs, near_groups(docs, words).where("kept"), text_digest())

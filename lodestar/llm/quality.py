@@ -37,11 +37,12 @@ def _rest(pattern: str) -> Column:
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """Words, short words and character classes of each row; a null text has none."""
+    """Words, short words and character classes of each row, and the row itself; a null text has no words."""
     split = docs.select(
-        "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), missing_as_empty().alias("_text")
+        F.struct(*docs.columns).alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), missing_as_empty().alias("_text")
     ).withColumn("_words", F.filter(F.split("_text", f"[{SPACE}]+"), lambda w: w != ""))
     counted = split.select(
+        "row",
         "doc_id",
         "lang",
         "_text",
@@ -155,7 +156,7 @@ def quality_verdicts(
     max_class_distance: float = MAX_CLASS_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
 ) -> DataFrame:
-    """Judge every row: the base figures, ``base_failed``, both distances and ``kept``.
+    """Judge every row: the base figures, ``base_failed``, both distances, ``kept``, and ``row`` with all its columns.
 
     A null text has no words and fails; a missing ``lang`` is a language of its own.  Repeated rows are judged alike,
     each for itself; other columns are ignored, and an empty table gives an empty result.
@@ -163,11 +164,12 @@ def quality_verdicts(
     refs = references(docs).select(F.col("lang").alias("_lang"), "words", "word_share", "class_share")
     own = refs.where(F.col("_lang").isNotNull())
     pooled = refs.where(F.col("_lang").isNull()).select(
-        F.lit(1).alias("_one"), *(F.col(c).alias(f"all_{c}") for c in ("words", "word_share", "class_share"))
+        F.col("_lang").alias("_other"), *(F.col(c).alias(f"all_{c}") for c in ("words", "word_share", "class_share"))
     )
     rows = base_figures(docs)
-    rows = rows.join(F.broadcast(own), rows["lang"] == own["_lang"], "left").withColumn("_key", F.lit(1))
-    rows = rows.join(F.broadcast(pooled), F.col("_key") == F.col("_one"), "left")
+    rows = rows.join(F.broadcast(own), rows["lang"] == own["_lang"], "left")
+    # languages without a reference have a null here, and so has the pooled one
+    rows = rows.join(F.broadcast(pooled), F.col("_lang").eqNullSafe(F.col("_other")), "left")
     for c in ("words", "word_share", "class_share"):
         rows = rows.withColumn(c, F.coalesce(c, f"all_{c}"))
     found = F.transform("_short", lambda w: F.array_position("words", w))
@@ -180,6 +182,7 @@ def quality_verdicts(
     )
     class_share = F.array(*(F.col(c) / F.greatest("word_chars", F.lit(1)) for c in CLASSES))
     judged = rows.select(
+        "row",
         "doc_id",
         "n_words",
         "word_chars",
@@ -198,3 +201,13 @@ def quality_verdicts(
         F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance
     )
     return judged.withColumn("kept", ~F.col("base_failed") & near)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows that ``quality_verdicts`` keeps.
+
+    The row number keeps the optimizer from moving the filter below the figures, where it would work them out anew at
+    each use.
+    """
+    judged = quality_verdicts(docs).withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0))
+    return judged.where("kept").select("row.*")

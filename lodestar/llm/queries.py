@@ -20,7 +20,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("row")
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2).drop("digest")
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    return quality.quality_verdicts(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

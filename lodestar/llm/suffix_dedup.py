@@ -364,7 +364,7 @@ def _judge(table: pa.Table, window: int, block_bytes: int) -> pa.Table:
 # ---- step 5: cutting
 
 
-def _cut(table: pa.Table, side: pa.Table, window: int, buckets: int, extra: list[str]) -> pa.Table:
+def _cut(table: pa.Table, side: pa.Table, window: int, buckets: int, extra: list[str], as_text: bool) -> pa.Table:
     """Remove from the texts of a shard what smaller documents have; ``side`` has the answers of both kinds."""
     shard = Shard(table, window)
     gone = np.zeros(len(shard.data) + 1, np.int32)
@@ -396,6 +396,8 @@ def _cut(table: pa.Table, side: pa.Table, window: int, buckets: int, extra: list
     stays = np.concatenate([[0], np.cumsum(~gone)])
     n_edges = np.concatenate([[0], np.cumsum(edge)])
     kept = binary_array(shard.data[~gone], stays[shard.offsets]).cast(pa.binary())
+    if as_text:
+        kept = pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
     first = np.flatnonzero(edge)
     stop = np.flatnonzero(gone & np.append(~gone[1:], True)) + 1 if len(gone) else first
     # spans never go on into the next text
@@ -417,9 +419,12 @@ def _cut(table: pa.Table, side: pa.Table, window: int, buckets: int, extra: list
     )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, as_text: bool = False
+) -> DataFrame:
     """Cut repeated passages: every row with all its columns but ``text``, and ``n_bytes``, ``n_removed``, ``spans``
-    (start and length of each removed run, in bytes) and ``kept`` (the remaining bytes).
+    (start and length of each removed run, in bytes) and ``kept`` (the remaining bytes; ``as_text`` a string, in which
+    characters that a cut has split are left out).
 
     Texts are taken as UTF-8 bytes, a null text as empty; texts shorter than a window stay whole.  Rows with the same
     ``doc_id`` do not count as repeats of each other; a missing id counts as the largest.  Strings are judged on the
@@ -450,7 +455,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
         return _judge(table, window, block_bytes)
 
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
-        return _cut(table, side, window, buckets, names)
+        return _cut(table, side, window, buckets, names, as_text)
 
     side = "shard long, bucket long, payload binary, kind int"
     heard = by_shard.applyInArrow(announce, "bucket long, shard long, hashes binary, several binary")
@@ -463,8 +468,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
     done = by_shard.cogroup(shared.unionByName(judged).groupBy("shard")).applyInArrow(
         cut,
         (carried + ", " if carried else "")
-        + "n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept binary",
+        + "n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, "
+        + ("kept string" if as_text else "kept binary"),
     )
     return done.select(
         *(F.col(n).alias(f.name) for f, n in zip(extra, names, strict=True)), "n_bytes", "n_removed", "spans", "kept"
     )
+
+
+def cut_texts(docs: DataFrame) -> DataFrame:
+    """The same rows and columns with what ``without_repeats`` leaves as ``text`` (and ``n_chars`` counted anew)."""
+    cut = without_repeats(docs, as_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
