@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from registry.oracles import ORACLES
+from registry.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,13 +14,13 @@ def con(sf):
     return compare.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, sf, name):
-    assert compare.difference(spark, con, sf, entry.queries()[name], entry.oracle_sql()[name]) is None
+    assert compare.difference(spark, con, sf, QUERIES[name], ORACLES[name]) is None
 
 
 def test_every_query_has_sql_or_a_test_here():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"hashed_embedding_search"}
+    assert set(QUERIES) - set(ORACLES) == {"hashed_embedding_search"}
 
 
 def test_hashed_embedding_search(spark, sf):
