@@ -13,6 +13,24 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM t WINDOW same AS (PARTITION BY body)
 """
 
+ORACLES["op8_line_dedup"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(source, '') AS host, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), told AS (
+  SELECT r, host, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM p
+), n AS (
+  SELECT host, line, count(*) AS n FROM told GROUP BY host, line HAVING count(*) >= 5
+), dropped AS (
+  SELECT n.host, list(line) AS gone
+  FROM n JOIN (SELECT host, count(*) AS pages FROM p GROUP BY host) h ON n.host = h.host AND n > 0.02 * pages GROUP BY n.host
+), kept AS (
+  SELECT doc_id, source, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS stay
+  FROM p LEFT JOIN dropped USING (host)
+)
+SELECT doc_id, source, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped, array_to_string(stay, chr(10)) AS text FROM kept
+"""
+
 ORACLES["op9_quality_rules"] = r"""
 WITH t AS (
   SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS body,

@@ -8,17 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import byte_bpe, exact_dedup, near_dedup, packing, quality, suffix_dedup
+from lodestar.llm import (
+    byte_bpe,
+    chat,
+    exact_dedup,
+    html_extract,
+    language,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    suffix_dedup,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predicted(docs, language.learned(docs.where(~language.held_out())))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=2).drop("digest")
 
@@ -33,6 +53,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.formatted(turns, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = byte_bpe.encoded(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -40,6 +69,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents")).drop("row")
 
@@ -52,10 +85,17 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_exact_dedup": op2_exact_dedup,
-    "op4_near_dedup": op4_near_dedup,
-    "op5_packing": op5_packing,
-    "op7_byte_bpe": op7_byte_bpe,
-    "op9_quality_rules": op9_quality_rules,
-    "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    f.__name__: f
+    for f in (
+        op1_html_extract,
+        op2_exact_dedup,
+        op3_language_id,
+        op4_near_dedup,
+        op5_packing,
+        op6_chat_format,
+        op7_byte_bpe,
+        op8_line_dedup,
+        op9_quality_rules,
+        op10_suffix_array_dedup,
+    )
 }
