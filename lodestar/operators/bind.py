@@ -4,14 +4,15 @@ A node has two keywords, its class name and the last part of its package; a para
 a keyword when it contains it, ignoring case.  A node keeps at most ``limit`` paragraphs:
 all matches if they fit, otherwise those holding both keywords first.
 
-Paragraph texts are read once, in place.  Each task walks its texts in id order with one
-automaton over all distinct keywords and keeps, per keyword and per keyword pair, only the
-first ``limit + 1`` paragraph ids; what is shuffled is that short list, never a text and never the
+Paragraph texts are read once, in place.  Each task walks its texts with one automaton over
+all distinct keywords and keeps, per keyword and per keyword pair, only the ``limit + 1``
+smallest paragraph ids; what is shuffled is that short list, never a text and never the
 full set of matches.  That is enough to rebuild the exact answer.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -96,12 +97,11 @@ def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_ship
                 matcher.read(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             yield from matcher.table().to_batches()
 
-        found = texts.sortWithinPartitions("paragraph_id").mapInArrow(scan, schema)
+        found = texts.mapInArrow(scan, schema)
     else:
 
         def pair(left: pa.Table, right: pa.Table) -> pa.Table:
             matcher = _Matcher(right.column("a").to_pylist(), right.column("b").to_pylist(), keep)
-            left = left.sort_by("paragraph_id")
             matcher.read(left.column("paragraph_id").to_pylist(), left.column("content").to_pylist())
             return matcher.table()
 
@@ -121,14 +121,10 @@ def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_ship
 
 
 class _Matcher:
-    """Keywords found in lower-cased texts; per keyword and per pair the first ids.
-
-    Texts must come in id order, so a key is settled once it has ``keep`` ids.
-    """
+    """Keywords found in lower-cased texts; per keyword and per pair the ``keep`` smallest ids."""
 
     def __init__(self, firsts: list[str], seconds: list[str], keep: int):
         self.keep = keep
-        # What is still wanted: ids of single keywords, and of pairs by their first keyword.
         self.words = set(firsts) | set(seconds)
         self.partners: dict[str, set[str]] = {}
         for a, b in zip(firsts, seconds):
@@ -146,25 +142,22 @@ class _Matcher:
             if text is None:
                 continue
             words = self._words_in(text)
-            for word in words & self.words:
-                if self._settles((word, None), pid):
-                    self.words.discard(word)
-            for word in [w for w in words if w in self.partners]:
-                wanted = self.partners[word]
-                for other in wanted & words:
-                    if self._settles((word, other), pid):
-                        wanted.discard(other)
-                if not wanted:
-                    del self.partners[word]
+            for word in words:
+                self._offer((word, None), pid)
+                for other in self.partners.get(word, set()) & words:
+                    self._offer((word, other), pid)
 
     def _words_in(self, text: str) -> set[str]:
         found = {word for _, word in self.automaton.iter(text)} if len(self.automaton) else set()
         return found | self.always
 
-    def _settles(self, key: tuple[str, str | None], pid) -> bool:
+    def _offer(self, key: tuple[str, str | None], pid) -> None:
         ids = self.found.setdefault(key, [])
-        ids.append(pid)
-        return len(ids) == self.keep
+        if len(ids) < self.keep:
+            insort(ids, pid)
+        elif pid < ids[-1]:
+            ids.pop()
+            insort(ids, pid)
 
     def table(self) -> pa.Table:
         rows = [(a, b, pid) for (a, b), ids in self.found.items() for pid in ids]
@@ -174,15 +167,15 @@ class _Matcher:
 
 def _choose(pairs: DataFrame, first: DataFrame, limit: int, fill: str) -> DataFrame:
     """Per keyword pair the paragraphs to keep: (a, b, paragraph_id, pos, matches_all)."""
-    single = first.filter(F.col("b").isNull()).select(F.col("a").alias("word"), "paragraph_id")
-    both = first.filter(F.col("b").isNotNull()).withColumn("matches_all", F.lit(True))
-    words = pairs.withColumn("word", F.explode(F.array_distinct(F.array("a", "b"))))
-    either = words.join(single, "word").select("a", "b", "paragraph_id", F.lit(False).alias("matches_all"))
-    merged = (
-        either.unionByName(both)
-        .groupBy("a", "b", "paragraph_id")
-        .agg(F.max("matches_all").alias("matches_all"))
-    )
+    # Each pair looks up its keywords and itself; one join, so the texts are matched once.
+    none = F.lit(None).cast("string")
+    key = lambda k1, k2, both: F.struct(k1.alias("k1"), k2.alias("k2"), F.lit(both).alias("matches_all"))
+    a, b = F.col("a"), F.col("b")
+    keys = F.array_distinct(F.array(key(a, none, False), key(b, none, False), key(a, b, True)))
+    asked = pairs.select("a", "b", F.explode(keys).alias("_k")).select("a", "b", "_k.*")
+    ids = first.select(F.col("a").alias("f1"), F.col("b").alias("f2"), "paragraph_id")
+    same = (F.col("k1") == F.col("f1")) & F.col("k2").eqNullSafe(F.col("f2"))
+    merged = asked.join(ids, same).groupBy("a", "b", "paragraph_id").agg(F.max("matches_all").alias("matches_all"))
     pair = W.partitionBy("a", "b")
     by_id = pair.orderBy("paragraph_id")
     ranked = (

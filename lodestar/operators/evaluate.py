@@ -52,8 +52,6 @@ Now look at the original pull request and a list of pull request descriptions, a
 {pair_id}::{score}::{reason}
 """
 
-PAIRS_PER_PROMPT = 100  # longer lists are judged in several prompts
-
 
 def matrix(inputs: DataFrame, groups: tuple[tuple, ...] = GROUPS) -> DataFrame:
     """Every (task, item) once per configuration: adds ``group, strategy, k, index_name``."""
@@ -173,18 +171,24 @@ def _spread(score: str) -> list[Column]:
 
 def pair_ids(results: DataFrame) -> DataFrame:
     """Number results from 0 in ``result_no`` order, the ids judges refer to."""
-    return number_rows(results, ["result_no"], "pair_id")
+    return number_rows(results, "result_no", "pair_id")
+
+
+_WITH_NULLS = {"ignoreNullFields": "false"}
 
 
 def _json_list(order: str, *fields: Column) -> Column:
-    """JSON array, in ``order``, of the fields collected in a group (bounded by the caller)."""
+    """JSON array, in ``order``, of the fields collected in a group; missing values are written as null."""
     collected = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*fields).alias("_v"))))
-    return F.to_json(F.transform(collected, lambda x: x["_v"]))
+    return F.to_json(F.transform(collected, lambda x: x["_v"]), _WITH_NULLS)
 
 
-def answer_judge_prompts(numbered: DataFrame, project: str, per_prompt: int = PAIRS_PER_PROMPT) -> DataFrame:
-    """Prompts over ``numbered(pair_id, query, response)``: (batch, prompt), ``per_prompt`` pairs each."""
-    batch = F.floor(F.col("pair_id") / per_prompt)
+def answer_judge_prompts(numbered: DataFrame, project: str, per_prompt: int | None = None) -> DataFrame:
+    """The prompt over all of ``numbered(pair_id, query, response)``: (batch, prompt).
+
+    A model that cannot take all pairs at once may be asked for ``per_prompt`` pairs at a time.
+    """
+    batch = F.lit(0).cast("bigint") if per_prompt is None else F.floor(F.col("pair_id") / per_prompt)
     pairs = _json_list(
         "pair_id", F.col("pair_id"), F.col("query").alias("question"), F.col("response").alias("answer")
     )
@@ -192,21 +196,18 @@ def answer_judge_prompts(numbered: DataFrame, project: str, per_prompt: int = PA
     return grouped.select("batch", fill(ANSWER_JUDGE, project=project, qa_pair=F.col("pairs")).alias("prompt"))
 
 
-def description_judge_prompts(numbered: DataFrame, project: str, per_prompt: int = PAIRS_PER_PROMPT) -> DataFrame:
-    """One prompt per pull request and batch over ``numbered(pair_id, pr, response)``."""
-    batch = F.floor(F.col("pair_id") / per_prompt)
+def description_judge_prompts(numbered: DataFrame, project: str) -> DataFrame:
+    """One prompt per pull request over ``numbered(pair_id, pr, response)``: (pr_id, prompt)."""
     described = _json_list("pair_id", F.col("pair_id"), F.col("response").alias("description"))
     keyed = numbered.select(F.col("pr.id").alias("pr_id"), "pair_id", "pr", "response")
-    grouped = keyed.groupBy("pr_id", batch.alias("batch")).agg(
-        F.min_by("pr", "pair_id").alias("pr"), described.alias("descriptions")
-    )
+    grouped = keyed.groupBy("pr_id").agg(F.min_by("pr", "pair_id").alias("pr"), described.alias("descriptions"))
     prompt = fill(
         DESCRIPTION_JUDGE,
         project=project,
-        pull_request=F.to_json("pr"),
+        pull_request=F.to_json("pr", _WITH_NULLS),
         generated_descriptions=F.col("descriptions"),
     )
-    return grouped.select("pr_id", "batch", prompt.alias("prompt"))
+    return grouped.select("pr_id", prompt.alias("prompt"))
 
 
 def parse_judgements(judge_lines: DataFrame, block: int = 100_000) -> DataFrame:

@@ -70,32 +70,26 @@ def type_declarations(files: DataFrame) -> DataFrame:
 
     ``files(source_name, text)`` -> (source_name, pos, signature, content, parsed).  A file
     whose brackets do not match yields what was complete, with ``parsed`` false, and one row
-    without a signature that marks it as broken.
+    without a signature that marks it as broken.  A ``path`` comes along.
     """
-    named = files.select(
-        "source_name", "text", F.regexp_extract(F.coalesce("text", F.lit("")), PACKAGE, 1).alias("package")
-    )
+    package = F.regexp_extract(F.coalesce("text", F.lit("")), PACKAGE, 1).alias("package")
+    where = ["path"] if "path" in files.columns else []
+    named = files.select("source_name", "text", package, *where)
     schema = "source_name string, pos int, signature string, content string, parsed boolean"
+    schema += ", path string" if where else ""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, text, package in zip(*(c.to_pylist() for c in batch.columns)):
+            for name, text, package, *path in zip(*(c.to_pylist() for c in batch.columns)):
                 found, whole = _declarations(text or "")
-                rows.extend((name, pos, f"{package}.{d[2]}", d[3], whole) for pos, d in enumerate(found))
+                rows.extend((name, pos, f"{package}.{d[2]}", d[3], whole, *path) for pos, d in enumerate(found))
                 if not whole:
-                    rows.append((name, None, None, None, False))
+                    rows.append((name, None, None, None, False, *path))
             if rows:
-                name, pos, sign, code, whole = zip(*rows)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "source_name": pa.array(name, pa.string()),
-                        "pos": pa.array(pos, pa.int32()),
-                        "signature": pa.array(sign, pa.string()),
-                        "content": pa.array(code, pa.string()),
-                        "parsed": pa.array(whole, pa.bool_()),
-                    }
-                )
+                columns = zip(["source_name", "pos", "signature", "content", "parsed", *where], zip(*rows))
+                types = {"pos": pa.int32(), "parsed": pa.bool_()}
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.string())) for c, v in columns})
 
     return named.mapInArrow(scan, schema)
 
@@ -109,10 +103,11 @@ def signature(package: Column, name: Column) -> Column:
 
 
 def pack_lines(docs: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:
-    """Plain text: lines packed into paragraphs (source_name, ordinal, paragraph_name, content)."""
-    split = docs.select("source_name", lines(F.col("text")).alias("_lines"))
+    """Plain text: lines packed into paragraphs (source_name, ordinal, paragraph_name, content); a ``path`` comes along."""
+    where = [c for c in docs.columns if c == "path"]
+    split = docs.select("source_name", *where, lines(F.col("text")).alias("_lines"))
     packed = pack(split, "_lines", "_texts", max_chars, " ")
-    keep = ["source_name", F.col("source_name").alias("_context")]
+    keep = ["source_name", *where, F.col("source_name").alias("_context")]
     return _named(explode_rows(packed, keep, "_texts", "ordinal", "content"))
 
 
@@ -214,9 +209,10 @@ def sections(docs: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:
     Sections nest to depth two; deeper ones fold into their ancestor, titles as text.
     Child sections come before the text of their parent.  Everything happens inside the
     row, so no shuffle.  -> (source_name, section_1, section_2, ordinal, paragraph_name, content)
-    with (section_1, section_2, ordinal) the order of emission.
+    with (section_1, section_2, ordinal) the order of emission; a ``path`` comes along.
     """
-    df = docs.select("source_name", F.coalesce("text", F.lit("")).alias("_text"))
+    where = [c for c in docs.columns if c == "path"]
+    df = docs.select("source_name", *where, F.coalesce("text", F.lit("")).alias("_text"))
     df = _where(df, "_text", ("\r",), F.regexp_replace("_text", r"\r\n?", "\n"))
     df = df.withColumn("_text", F.concat(F.lit("\n"), "_text"))
     df = _where(df, "_text", tuple("\n" + f for f in FENCES), _held(F.col("_text")))
@@ -224,38 +220,51 @@ def sections(docs: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:
     first = _open(_subsections(df, "_text", "section_1", "_p1", "_n1"), "_p1", "_n1", "_t1", "_b1")
     second = _open(_subsections(first, "_b1", "section_2", "_p2", "_n2"), "_p2", "_n2", "_t2", "_b2")
     context = F.concat_ws("::", "source_name", "_t1", "_t2").alias("_context")
-    blocks = _blocks(second.select("source_name", "section_1", "section_2", context, "_b2"), "_b2", "_blocks")
+    blocks = _blocks(second.select("source_name", *where, "section_1", "section_2", context, "_b2"), "_b2", "_blocks")
     packed = pack(blocks, "_blocks", "_texts", max_chars, "\n\n")
-    keep = ["source_name", "section_1", "section_2", "_context"]
+    keep = ["source_name", *where, "section_1", "section_2", "_context"]
     return _named(explode_rows(packed, keep, "_texts", "ordinal", "content"))
 
 
 # ---------------------------------------------------------------- per-type dispatch
 
 
+def _source_key(kind: str, *columns: str) -> Column:
+    """Id of an extracted source: each part by its length, so that no two lists of parts look alike."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    parts = [x for t in text for x in (F.length(t).cast("string"), F.lit(":"), t)]
+    return F.sha2(F.concat(F.lit(f"{kind}:"), *parts), 256)
+
+
 def class_nodes(declared: DataFrame) -> DataFrame:
-    """Type declarations as sources, keyed by file, signature and position."""
-    key = F.sha2(F.concat_ws("\x1f", F.lit("type"), "source_name", "signature", F.col("pos").cast("string")), 256)
+    """Type declarations as sources, keyed by path (or name), signature, position and content.
+
+    Equal file names in two folders give different sources, and a changed declaration is a new one.
+    """
+    place = "path" if "path" in declared.columns else "source_name"
     found = declared.filter(F.col("signature").isNotNull())
+    key = _source_key("type", place, "signature", "pos", "content")
     return found.select(key.alias("source_id"), "source_name", "signature", "content")
 
 
 def broken_files(declared: DataFrame) -> DataFrame:
     """Rejects (path, reason) for files whose brackets do not match."""
     marks = declared.filter(F.col("signature").isNull())
-    return marks.select(F.col("source_name").alias("path"), F.lit("brackets do not match").alias("reason"))
+    place = "path" if "path" in declared.columns else "source_name"
+    return marks.select(F.col(place).alias("path"), F.lit("brackets do not match").alias("reason"))
 
 
 def paragraphs(files: DataFrame, max_chars: int = PARAGRAPH_CHARS) -> DataFrame:
-    """Paragraphs of the plain-text and structured documents; Markdown yields none."""
-    columns = ["source_name", "paragraph_name", "ordinal", "content"]
-    packed = pack_lines(files.filter(F.col("source_type") == "pdf"), max_chars).select(*columns)
+    """Paragraphs of the plain-text and structured documents; Markdown yields none.
+
+    Keyed by path (or name), place in the document and content.
+    """
+    place = "path" if "path" in files.columns else "source_name"
+    packed = pack_lines(files.filter(F.col("source_type") == "pdf"), max_chars)
     cut = sections(files.filter(F.col("source_type") == "asciidoc"), max_chars)
-    key = lambda *c: F.sha2(F.concat_ws("\x1f", F.lit("paragraph"), *c), 256)
-    flat = packed.withColumn("source_id", key("paragraph_name"))
+    flat = packed.withColumn("source_id", _source_key("paragraph", place, "paragraph_name", "content"))
     nested = cut.withColumn(
-        "source_id",
-        key("paragraph_name", F.col("section_1").cast("string"), F.col("section_2").cast("string")),
+        "source_id", _source_key("section", place, "paragraph_name", "section_1", "section_2", "content")
     )
     out = ["source_id", "source_name", "paragraph_name", "content"]
     return flat.select(*out).unionByName(nested.select(*out))

@@ -8,26 +8,21 @@ from pyspark.sql import functions as F
 # Fixed format of a completion line: time, level, service, operation, milliseconds.
 COMPLETION = r"\[([\d\-\s:]+)\]\s+\[(\w+)\]\s+([\w\.]+):\s+(.*?)\s+completed in\s+(\d+)ms"
 COMPLETION_MARK = "completed in"
-_SEP = "\x1f"
 
 
 def parse_log(log_lines: DataFrame) -> DataFrame:
     """``log_lines(line)`` -> (timestamp, level, service, operation, duration_ms).
 
-    Lines without a completion are dropped.  The pattern runs once per line: one rewrite
-    yields all five groups.
+    Lines without a completion are dropped; a time that is none becomes null.
     """
-    marked = F.col("line").contains(COMPLETION_MARK)
-    groups = _SEP.join(f"${i}" for i in range(1, 6))
-    rewritten = F.regexp_replace("line", rf"(?s)\A.*?{COMPLETION}.*\z", "\x1e" + groups)
-    rows = log_lines.filter(marked).select(rewritten.alias("_line")).filter(F.col("_line").startswith("\x1e"))
-    part = F.split(F.substr("_line", F.lit(2)), _SEP)
-    return rows.select(part.alias("_p")).select(
-        F.col("_p")[0].alias("timestamp"),
-        F.col("_p")[1].alias("level"),
-        F.col("_p")[2].alias("service"),
-        F.col("_p")[3].alias("operation"),
-        F.col("_p")[4].try_cast("bigint").alias("duration_ms"),
+    rows = log_lines.filter(F.col("line").contains(COMPLETION_MARK) & F.col("line").rlike(COMPLETION))
+    part = lambda i: F.regexp_extract("line", COMPLETION, i)
+    return rows.select(
+        F.try_to_timestamp(F.trim(part(1)), F.lit("yyyy-MM-dd HH:mm:ss")).alias("timestamp"),
+        part(2).alias("level"),
+        part(3).alias("service"),
+        part(4).alias("operation"),
+        part(5).try_cast("bigint").alias("duration_ms"),
     )
 
 

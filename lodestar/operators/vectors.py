@@ -22,8 +22,10 @@ GRID_ROWS = 50_000
 GRID_MIN_ROWS = 1_000
 # Similarities held at once inside a task (8 bytes each).
 TILE = 4_000_000
-# Scores are compared after rounding, so that ties do not depend on summation order.
-SCORE_DIGITS = 6
+# Scores are compared after rounding to ten digits, far above the noise of sums and far below what single precision
+# tells apart, so exact copies tie; six digits are shown.
+SCORE_DIGITS = 10
+SHOWN_DIGITS = 6
 
 
 def normalize(df: DataFrame, vec: str = "embedding", out: str = "embedding") -> DataFrame:
@@ -41,7 +43,7 @@ def knn(
     """The ``k`` most similar chunks of every query: (query_id, chunk_id, score, rank).
 
     ``queries(query_id, embedding)`` against ``vectors(chunk_id, embedding)``, exact, ranked
-    by rounded cosine and then by chunk id.  A ``source_id`` kept with the vectors comes along,
+    by cosine (ten digits) and then by chunk id; the score is shown with six digits.  A ``source_id`` kept with the vectors comes along,
     which spares the later roll-up a join with the chunk table.  Up to ``max_shipped`` queries travel to the
     tasks and the vector table is scanned once without a shuffle, each task keeping only its
     own best ``k`` per query.  Beyond that both sides are cut into blocks and paired.
@@ -53,12 +55,9 @@ def knn(
     types = [("query_id", q.schema["query_id"]), *((c, v.schema[c]) for c in tags)]
     schema = ", ".join(f"{name} {field.dataType.simpleString()}" for name, field in types) + ", score double"
     shipped = min(max_shipped, MAX_KEPT // k)
-    head = q.limit(shipped + 1).toArrow()
-    if head.num_rows <= shipped:
-        found = _scan(head, v, k, schema)
-    else:
-        found = _grid(q, v, k, schema, grid_rows)
-    return _best(found, k)
+    n = q.count()
+    found = _scan(q.toArrow(), v, k, schema) if n <= shipped else _grid(q, n, v, k, schema, grid_rows)
+    return _best(found, k).withColumn("score", F.round("score", SHOWN_DIGITS))
 
 
 def _scan(head: pa.Table, v: DataFrame, k: int, schema: str) -> DataFrame:
@@ -78,7 +77,7 @@ def _scan(head: pa.Table, v: DataFrame, k: int, schema: str) -> DataFrame:
     return v.mapInArrow(scan, schema)
 
 
-def _grid(q: DataFrame, v: DataFrame, k: int, schema: str, grid_rows: int) -> DataFrame:
+def _grid(q: DataFrame, n: int, v: DataFrame, k: int, schema: str, grid_rows: int) -> DataFrame:
     empty = v.select(F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "*").drop("embedding")
     blank = empty.withColumn("score", F.lit(0.0)).limit(0).toArrow()
 
@@ -91,7 +90,7 @@ def _grid(q: DataFrame, v: DataFrame, k: int, schema: str, grid_rows: int) -> Da
 
     # Small tables still get a query block per core; cutting the vectors instead would
     # multiply the rows to merge.
-    n, cores = q.count(), q.sparkSession.sparkContext.defaultParallelism
+    cores = q.sparkSession.sparkContext.defaultParallelism
     q_rows = max(1, min(grid_rows, MAX_KEPT // k))
     q_blocks = max(blocks_for(n, q_rows), min(cores, blocks_for(n, GRID_MIN_ROWS)))
     v_blocks = blocks_for(v.count(), grid_rows)
@@ -193,10 +192,10 @@ def ensure_index(indexes: DataFrame, name: str) -> DataFrame:
 def add_members(ids: DataFrame, chunks: DataFrame, indexes: DataFrame, members: DataFrame, name: str) -> DataFrame:
     """New (index_name, chunk_id) rows for ``ids``: known chunks not yet in an existing index."""
     known = ids.select("chunk_id").distinct().join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    named = known.withColumn("index_name", F.lit(name))
-    existing = named.join(indexes.select("index_name").distinct(), "index_name", "left_semi")
-    fresh = existing.join(members.select("index_name", "chunk_id"), ["index_name", "chunk_id"], "left_anti")
-    return fresh.select("index_name", "chunk_id")
+    there = members.filter(F.col("index_name") == name).select("chunk_id")
+    fresh = known.join(there, "chunk_id", "left_anti").withColumn("index_name", F.lit(name))
+    index = indexes.filter(F.col("index_name") == name).select("index_name").limit(1)  # one row or none
+    return fresh.join(F.broadcast(index), "index_name", "left_semi").select("index_name", "chunk_id")
 
 
 def counts(members: DataFrame, chunks: DataFrame) -> DataFrame:

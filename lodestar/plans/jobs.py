@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import bind, chunking, evaluate, extract, fusion, inference, prompts, retrieval, telemetry, vectors
-from lodestar.plans.ordering import cut_lineage
+from lodestar.plans.staging import staged
 from lodestar.schemas import CODE, DOCUMENT, ENRICHMENT
 from lodestar.sources import readers, writers
 
@@ -54,8 +54,7 @@ def build_corpus(
         ),
         f"{out}/sources",
     )
-    for name, types in indexes.items():
-        load_index(spark, chunked, name, types, f"{out}/vectors", embed)
+    load_indexes(spark, chunked, indexes, out, embed)
     return {
         "class_nodes": nodes,
         "paragraphs": paragraphs,
@@ -63,6 +62,9 @@ def build_corpus(
         "chunks": chunked,
         "sources": sources,
         "vectors": writers.read_vectors(spark, f"{out}/vectors"),
+        "bindings": spark.read.parquet(f"{out}/bindings"),
+        "indexes": spark.read.parquet(f"{out}/indexes"),
+        "index_members": spark.read.parquet(f"{out}/index_members"),
     }
 
 
@@ -75,7 +77,11 @@ def enrich_nodes(spark: SparkSession, nodes: DataFrame, paragraphs: DataFrame, o
         done = spark.read.parquet(path).filter("processed")
         pending = bind.unprocessed(nodes, done)
     pieces = paragraphs.withColumnRenamed("source_id", "paragraph_id")
-    matches = writers.save_table(bind.top_matches(pending, pieces), f"{out}/bindings")
+    matches = writers.save_table(bind.top_matches(pending, pieces), f"{out}/bindings_last")
+    links = matches
+    if readers.exists(spark, f"{out}/bindings"):  # nodes tried again are bound already
+        links = matches.join(spark.read.parquet(f"{out}/bindings").select("node_id").distinct(), "node_id", "left_anti")
+    links.write.mode("append").parquet(f"{out}/bindings")
     asked = prompts.enrichment(pending, bind.bound_text(matches, pieces))
     fresh = writers.save_table(inference.enrich(asked, chat), f"{out}/enriched_last")
     writers.append_enrichment_audit(fresh.filter("processed"), f"{out}/enrichment_audit")
@@ -83,19 +89,58 @@ def enrich_nodes(spark: SparkSession, nodes: DataFrame, paragraphs: DataFrame, o
     return spark.read.parquet(path)
 
 
-def load_index(spark: SparkSession, chunked: DataFrame, name: str, types: tuple[str, ...], path: str, embed: Embed) -> None:
-    """Embed the chunks of the given types that index ``name`` lacks and append them to it."""
-    wanted = vectors.select_types(chunked, types).select("chunk_id", "source_id", "content")
+def load_indexes(
+    spark: SparkSession, chunked: DataFrame, indexes: dict[str, tuple[str, ...]], out: str, embed: Embed
+) -> None:
+    """Bring every index up to date: vectors, the index table and its members.
+
+    A chunk is embedded once, however many indexes hold it; chunks with a stored vector are not embedded again.
+    """
+    wanted = None
+    for name, types in indexes.items():
+        rows = vectors.select_types(chunked, types).select(F.lit(name).alias("index_name"), "chunk_id", "source_id", "content")
+        wanted = rows if wanted is None else wanted.unionByName(rows)
+    if wanted is None:
+        return
+    path = f"{out}/vectors"
+    new = wanted.select("chunk_id", "content").dropDuplicates(["chunk_id"])
+    stored = None
     if readers.exists(spark, path):
-        wanted = wanted.join(writers.read_vectors(spark, path, name).select("chunk_id"), "chunk_id", "left_anti")
-    embedded = embed(wanted, text="content", out="embedding").withColumn("index_name", F.lit(name))
-    writers.append_vectors(embedded, path)
+        stored = writers.read_vectors(spark, path)
+        wanted = wanted.join(stored.select("index_name", "chunk_id"), ["index_name", "chunk_id"], "left_anti")
+        new = new.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+    made = embed(new, text="content", out="embedding").select("chunk_id", "embedding")
+    made = writers.save_table(made, f"{out}/embedded_last")
+    if stored is not None:
+        again = stored.join(wanted.select("chunk_id"), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+        made = made.unionByName(again.select("chunk_id", F.col("embedding").cast(made.schema["embedding"].dataType)))
+    loaded = writers.save_table(wanted.drop("content").join(made, "chunk_id"), f"{out}/loaded_last")
+    writers.append_vectors(loaded, path)
+    _add_members(spark, chunked, loaded, list(indexes), out)
 
 
-def embed_requests(requests: DataFrame, embed: Embed) -> DataFrame:
-    """Embed sub-queries once and store them: (request_id, query_no, embedding)."""
+def _add_members(spark: SparkSession, chunked: DataFrame, loaded: DataFrame, names: list[str], out: str) -> None:
+    """Record the indexes and the chunks that were loaded into them."""
+    known = spark.createDataFrame([], "index_name string")
+    members = spark.createDataFrame([], "index_name string, chunk_id string")
+    if readers.exists(spark, f"{out}/indexes"):
+        known = spark.read.parquet(f"{out}/indexes")
+        members = spark.read.parquet(f"{out}/index_members")
+    for name in names:
+        vectors.ensure_index(known, name).coalesce(1).write.mode("append").parquet(f"{out}/indexes")
+    known = spark.read.parquet(f"{out}/indexes")
+    new = None
+    for name in names:
+        ids = loaded.filter(F.col("index_name") == name).select("chunk_id")
+        rows = vectors.add_members(ids, chunked, known, members, name)
+        new = rows if new is None else new.unionByName(rows)
+    new.write.mode("append").parquet(f"{out}/index_members")
+
+
+def embed_requests(requests: DataFrame, embed: Embed, path: str | None = None) -> DataFrame:
+    """Embed sub-queries once and store them, at ``path`` if given: (request_id, query_no, embedding)."""
     short = retrieval.truncate_query(requests)
-    return cut_lineage(embed(short, text="embedding_text", out="embedding").select("request_id", "query_no", "embedding"))
+    return staged(embed(short, text="embedding_text", out="embedding").select("request_id", "query_no", "embedding"), path)
 
 
 def retrieve_groups(requests: DataFrame, index: DataFrame, groups: tuple[tuple, ...]) -> DataFrame:
@@ -148,27 +193,39 @@ def run_evaluation(
     embed: Embed,
     chat: inference.ChatModel,
     groups: tuple[tuple, ...] = evaluate.GROUPS,
+    work: str | None = None,
 ) -> DataFrame:
     """Every task input under every configuration: retrieve, prompt, generate.
 
     ``tasks`` maps a task name to its inputs.  -> (task, group, request_id, input, prompt,
     documents, response, error, duration, timestamp); ``input`` is the question or the pull
     request as JSON.  Write it out before using it more than once, as the model answers anew.
+    The sub-queries of all tasks are embedded once and search each index once; both results are
+    stored, below ``work`` if given.
     """
+    asked = None
+    for task, inputs in tasks.items():
+        rows = prompts.TASKS[task][0](inputs).select(
+            F.concat(F.lit(f"{task}:"), F.col("request_id").cast("string")).alias("request_id"), "query_no", "query"
+        )
+        asked = rows if asked is None else asked.unionByName(rows)
+    requests = embed_requests(asked, embed, work and f"{work}/requests")
+    retrieved = staged(retrieve_groups(requests, index, groups), work and f"{work}/retrieved")
     out = None
     for task, inputs in tasks.items():
-        make_queries, render = prompts.TASKS[task]
-        requests = embed_requests(make_queries(inputs), embed)
-        found = documents(retrieve_groups(requests, index, groups), sources)
+        render = prompts.TASKS[task][1]
+        own = F.substr("request_id", F.lit(len(task) + 2)).cast(inputs.schema["request_id"].dataType)
+        mine = retrieved.filter(F.col("request_id").startswith(f"{task}:")).withColumn("request_id", own)
         rows = evaluate.matrix(inputs.select("request_id"), groups).select("request_id", "group")
-        lists = rows.join(found, ["group", "request_id"], "left")
+        lists = rows.join(documents(mine, sources), ["group", "request_id"], "left")
         context = F.coalesce(prompts.numbered(F.col("texts")), F.lit(""))
         keyed = F.struct("group", "request_id")
         contexts = lists.select(keyed.alias("request_id"), context.alias("context"))
         per_group = rows.join(inputs, "request_id").withColumn("request_id", keyed).drop("group")
-        asked = render(per_group, contexts).select("request_id.group", "request_id.request_id", "prompt")
-        answered = asked.join(lists.select("group", "request_id", "documents"), ["group", "request_id"])
+        rendered = render(per_group, contexts).select("request_id.group", "request_id.request_id", "prompt")
+        answered = rendered.join(lists.select("group", "request_id", "documents"), ["group", "request_id"])
         named = answered.join(_inputs(inputs), "request_id").withColumn("task", F.lit(task))
+        named = named.withColumn("request_id", F.col("request_id").cast("string"))
         out = named if out is None else out.unionByName(named)
     done = inference.generate(out, chat)
     return done.select(
@@ -189,7 +246,7 @@ def _inputs(inputs: DataFrame) -> DataFrame:
     if "query" in inputs.columns:
         return inputs.select("request_id", F.col("query").alias("input"))
     pr = F.struct(F.col("request_id").alias("id"), "title", "description", "hunks")
-    return inputs.select("request_id", F.to_json(pr).alias("input"))
+    return inputs.select("request_id", F.to_json(pr, {"ignoreNullFields": "false"}).alias("input"))
 
 
 def overlap_report(results: DataFrame) -> dict[str, DataFrame]:
@@ -205,6 +262,28 @@ def overlap_report(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def judge_prompts(results: DataFrame, project: str) -> dict[str, DataFrame]:
+    """The judge prompts of one task's results: numbered pairs, and a prompt over all answers or one per pull request."""
+    numbered = evaluate.pair_ids(results)
+    return {
+        "pairs": numbered.select("pair_id", "result_no", "task", "group", "item_id"),
+        "answers": evaluate.answer_judge_prompts(numbered.filter(F.col("pr").isNull()), project),
+        "descriptions": evaluate.description_judge_prompts(numbered.filter(F.col("pr").isNotNull()), project),
+    }
+
+
+def judge_report(spark: SparkSession, results_path: str, task: str, replies_path: str) -> DataFrame:
+    """Mean scores per judge and group, from a result file and the files with the judges' replies."""
+    numbered = evaluate.pair_ids(readers.read_eval_results(spark, results_path, task))
+    judged = evaluate.parse_judgements(readers.read_numbered_lines(spark, replies_path))
+    return evaluate.judge_scores(judged, numbered)
+
+
+def pull_requests_from_diffs(pull_requests: DataFrame, diffs: DataFrame, path: str) -> None:
+    """Store pull requests (id, title, description) with the hunks of their diffs (pr_id, diff)."""
+    writers.save_pull_requests(extract.attach_hunks(pull_requests, diffs), path)
+
+
 def latency_report(spark: SparkSession, log_path: str, csv_path: str | None = None) -> DataFrame:
     """Latency statistics of a log, with the events exported on request."""
     events = telemetry.parse_log(readers.read_log(spark, log_path))

@@ -59,10 +59,16 @@ def scan_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def route(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted files and ``rejects(path, reason)``."""
-    taken = files.filter(F.col("source_type").isNotNull())
-    left = files.filter(F.col("source_type").isNull())
-    return taken, left.select("path", F.lit("unsupported file type").alias("reason"))
+    """Accepted files and ``rejects(path, reason)``.
+
+    PDF files are taken as text that was extracted before; encoded ones are rejected.
+    """
+    encoded = F.lit(False)
+    if "text" in files.columns:
+        encoded = F.coalesce((F.col("source_type") == "pdf") & F.col("text").startswith("%PDF-"), F.lit(False))
+    reason = F.when(F.col("source_type").isNull(), "unsupported file type").when(encoded, "encoded PDF")
+    taken, left = files.filter(reason.isNull()), files.filter(reason.isNotNull())
+    return taken, left.select("path", reason.alias("reason"))
 
 
 def read_pull_requests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -102,3 +108,10 @@ def read_eval_results(spark: SparkSession, path: str, task: str, multi_line: boo
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Log lines: (file, line)."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their numbers: (file, line_no, line); each file is one row at first."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    split = files.select("file", F.posexplode(F.split("text", r"\r?\n", -1)).alias("line_no", "line"))
+    return split.select("file", (F.col("line_no") + 1).alias("line_no"), "line")

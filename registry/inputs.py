@@ -181,6 +181,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(
         F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] [INFO] Svc."), F.col("event_type"),
         F.lit(": Step "), (F.col("user_id") % 3).cast("string"),
+        F.when(F.col("user_id") % 3 == 1, F.lit("\x1e\x1f")).otherwise(""),
         F.when(F.col("event_type") == "error", F.lit(" failed after ")).otherwise(F.lit(" completed in ")),
         ms, F.lit("ms"),
     )
@@ -223,7 +224,7 @@ def answered(spark: SparkSession, sf: str) -> DataFrame:
         d.alias("result_no"),
         groups[(d % 3).cast("int")].alias("group"),
         F.concat(F.lit("about "), F.col("source")).alias("query"),
-        F.col("text").alias("response"),
+        F.when(d % 7 != 3, F.col("text")).alias("response"),
         F.struct(
             F.col("source").alias("id"),
             F.concat(F.lit("title "), F.col("source")).alias("title"),

@@ -44,13 +44,13 @@ def _fill(template: str, **values: str) -> str:
 
 def _cosine(a: str, b: str) -> str:
     cos = f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
-    return f"round(CASE WHEN isnan({cos}) THEN 0.0 ELSE {cos} END, 6)"
+    return f"CASE WHEN isnan({cos}) THEN 0.0 ELSE {cos} END"
 
 
 def _hits(q: str, v: str, k: int) -> str:
-    return f"""SELECT query_id, chunk_id, score, rank FROM (
+    return f"""SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-        SELECT q.query_id, v.chunk_id, {_cosine("q.embedding", "v.embedding")} AS score FROM {q} q CROSS JOIN {v} v))
+        SELECT q.query_id, v.chunk_id, round({_cosine("q.embedding", "v.embedding")}, 10) AS score FROM {q} q CROSS JOIN {v} v))
       WHERE rank <= {k}"""
 
 
@@ -209,6 +209,12 @@ DECLARED = f"""{JAVA}, declared AS (
 DECLARED = DECLARED.replace("{{", "{").replace("}}", "}")
 ORACLES["type_declarations"] = f"WITH {DECLARED} SELECT source_name, pos, signature, content, true AS parsed FROM declared"
 ORACLES["type_signature"] = f"WITH {JAVA} SELECT source_name, package || '.' || name AS signature FROM java"
+ORACLES["source_identity"] = f"""WITH RECURSIVE {DECLARED}, plain AS (SELECT * FROM ({ORACLES["pack_lines"]})),
+cut AS (SELECT * FROM ({ORACLES["sections"]})),
+sources AS (SELECT 'node' AS kind, source_name, signature AS name FROM declared
+  UNION ALL SELECT 'paragraph', source_name, paragraph_name FROM plain
+  UNION ALL SELECT 'paragraph', source_name, paragraph_name FROM cut)
+SELECT kind, source_name, name, 2 * count(*) AS n_rows, 2 * count(*) AS n_ids FROM sources GROUP BY ALL"""
 ORACLES["extract_counts"] = f"""WITH RECURSIVE {DECLARED}, {_packed(DOC_LINES, 'doc_id', "' '", 3000)}
 SELECT source_name, kind, count(*) AS n_rows FROM (SELECT source_name, 'class_node' AS kind FROM declared
   UNION ALL SELECT 'pdf::' || doc_id, 'paragraph' FROM k) GROUP BY ALL"""
@@ -248,6 +254,10 @@ def _cut(text: str, size: int) -> str:
 ORACLES["split_tokens"] = f"""SELECT source_id, chunk_no, regexp_replace(piece, '[\\x00-\\x20]+$', '') AS content FROM (
   SELECT 'p' || doc_id AS source_id, generate_subscripts(c, 1) - 1 AS chunk_no, unnest(c) AS piece
   FROM (SELECT doc_id, {_cut('text', 50)} AS c FROM documents))"""
+ORACLES["split_tokens_wide"] = """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\r\\n\\f]+[ \\t\\r\\n\\f]*') AS ts FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(ts), 1500)) AS i, ts FROM w)
+SELECT 'p' || doc_id AS source_id, i // 1500 AS chunk_no,
+  regexp_replace(array_to_string(ts[i + 1:i + 1500], ''), '[\\x00-\\x20]+$', '') AS content FROM p"""
 ORACLES["chunk_counts"] = f"""SELECT source_id, sum(n)::BIGINT AS n_chunks FROM (
   SELECT source_id, len({_cut("coalesce(content, '')", 100)}) AS n FROM ({UNPIVOTED})) GROUP BY source_id HAVING sum(n) > 0"""
 
@@ -306,13 +316,16 @@ _REVIEW = f"""SELECT request_id, generate_subscripts(qs, 1) - 1 AS query_no, unn
   list_concat([description], list_transform(hunks, lambda h: {_lit(prompts.REVIEW_QUERY)} || h)) AS qs FROM prs)"""
 ORACLES["hunk_queries_interpretation"] = f"WITH {PRS} {_INTERPRETATION}"
 ORACLES["hunk_queries_review"] = f"WITH {PRS} {_REVIEW}"
-_CONTEXT = f"string_agg((doc_id % 4 + 1) || '. ' || text || {NL}, '' ORDER BY doc_id % 4)"
+_CONTEXT = f"string_agg(place || '. ' || text || {NL}, '' ORDER BY place)"
 _NUMBERED = f"array_to_string(list_transform(hunks, lambda h, i: i || '. ' || h || {NL}), '')"
-ORACLES["prompt_answer"] = f"""WITH ctx AS (SELECT CAST(floor(doc_id / 4) AS BIGINT) AS item_id, {_CONTEXT} AS context FROM documents GROUP BY ALL)
+ORACLES["prompt_answer"] = f"""WITH n AS (SELECT count(*) AS n FROM benchmark),
+d AS (SELECT doc_id, text, doc_id % n AS item_id, doc_id // n + 1 AS place FROM documents, n),
+ctx AS (SELECT item_id, {_CONTEXT} AS context FROM d GROUP BY item_id)
 SELECT item_id::VARCHAR AS request_id, {_fill(prompts.ANSWER_PROMPT, query='text', context='context')} AS prompt
 FROM benchmark LEFT JOIN ctx USING (item_id)"""
-_TURNS = f"""ctx AS (SELECT CAST(floor(floor(doc_id / 4) / 4) AS BIGINT) || '-' || CAST(floor(doc_id / 4) AS BIGINT) % 4 AS request_id,
-  {_CONTEXT} AS context FROM documents GROUP BY 1)"""
+_TURNS = f"""n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations),
+d AS (SELECT text, doc_id % n || '-' || doc_id // n % 2 AS request_id, doc_id // (2 * n) + 1 AS place FROM documents, n),
+ctx AS (SELECT request_id, {_CONTEXT} AS context FROM d GROUP BY request_id)"""
 ORACLES["prompt_interpretation"] = f"""WITH {PRS}, {_TURNS} SELECT request_id,
   {_fill(prompts.INTERPRETATION_PROMPT, hunks=_NUMBERED, context='context')} AS prompt FROM prs LEFT JOIN ctx USING (request_id)"""
 ORACLES["prompt_review"] = f"""WITH {PRS}, {_TURNS} SELECT request_id,
@@ -384,6 +397,21 @@ _ALL = [g[0] for g in evaluate.GROUPS]
 ORACLES["evaluation_runs"] = f"""WITH {CORPUS}, {PRS}, {', '.join(_run(*_QA, _ALL) + _run(*_CI, _ALL) + _run(*_CR, _ALL))}
 SELECT * FROM query_answer_out UNION ALL SELECT * FROM code_interpretation_out UNION ALL SELECT * FROM code_review_out"""
 
+# The built-in embedder: tf-idf over 128 buckets, the number in the first eight hex digits of a token's MD5 modulo 128.
+ORACLES["hashed_embedding_search"] = f"""WITH texts AS (
+  SELECT 'd' AS kind, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'q', item_id::VARCHAR, text FROM benchmark),
+tokens AS (SELECT kind, id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 128 AS bucket
+  FROM (SELECT kind, id, unnest(string_split_regex(lower(coalesce(text, '')), '\\W+')) AS t FROM texts) WHERE t <> ''),
+tf AS (SELECT kind, id, bucket, count(*) AS n FROM tokens GROUP BY ALL),
+idf AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS w FROM tf WHERE kind = 'd' GROUP BY bucket),
+cells AS (SELECT kind, id, bucket, n * coalesce(w, ln((SELECT count(*) FROM documents) + 1)) AS x FROM tf LEFT JOIN idf USING (bucket)),
+whole AS (SELECT kind, id, b AS bucket FROM (SELECT DISTINCT kind, id FROM texts), range(128) r(b)),
+vecs AS MATERIALIZED (SELECT kind, id, list(coalesce(x, 0.0) ORDER BY bucket) AS embedding
+  FROM whole LEFT JOIN cells USING (kind, id, bucket) GROUP BY kind, id),
+q AS MATERIALIZED (SELECT id AS query_id, embedding FROM vecs WHERE kind = 'q'),
+v AS MATERIALIZED (SELECT id::BIGINT AS chunk_id, embedding FROM vecs WHERE kind = 'd')
+{_hits('q', 'v', 10)}"""
+
 # ------------------------------------------------------------------ evaluation
 
 RESULTS = f"""q AS MATERIALIZED (SELECT vec_id AS query_id, embedding FROM embeddings), {TYPED},
@@ -434,16 +462,18 @@ ORACLES["group_stats"] = f"""WITH {RESULTS} SELECT task, "group", count(DISTINCT
 FROM listed GROUP BY ALL"""
 
 NUMBERED = """numbered AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pair_id, doc_id AS result_no,
-  (['adaptive_full', 'simple_full', 'adaptive_plain'])[doc_id % 3 + 1] AS "group", source, text FROM documents)"""
+  (['adaptive_full', 'simple_full', 'adaptive_plain'])[doc_id % 3 + 1] AS "group", source,
+  CASE WHEN doc_id % 7 <> 3 THEN text END AS text FROM documents)"""
 ORACLES["pair_ids"] = f"""WITH {NUMBERED} SELECT pair_id, result_no, "group" FROM numbered"""
 _PAIRS = """to_json(list({'pair_id': pair_id, 'question': 'about ' || source, 'answer': text} ORDER BY pair_id))::VARCHAR"""
-ORACLES["judge_prompts_answers"] = f"""WITH {NUMBERED}, b AS (SELECT CAST(floor(pair_id / 10) AS BIGINT) AS batch, {_PAIRS} AS pairs
+ORACLES["judge_prompts_answers"] = f"""WITH {NUMBERED}, b AS (SELECT {_PAIRS} AS pairs FROM numbered)
+SELECT 0::BIGINT AS batch, {_fill(evaluate.ANSWER_JUDGE, project="'the project'", qa_pair='pairs')} AS prompt FROM b"""
+ORACLES["judge_prompts_batches"] = f"""WITH {NUMBERED}, b AS (SELECT CAST(floor(pair_id / 10) AS BIGINT) AS batch, {_PAIRS} AS pairs
   FROM numbered GROUP BY 1) SELECT batch, {_fill(evaluate.ANSWER_JUDGE, project="'the project'", qa_pair='pairs')} AS prompt FROM b"""
 _DESCRIBED = """to_json(list({'pair_id': pair_id, 'description': text} ORDER BY pair_id))::VARCHAR"""
 _PR_JSON = """'{"id":"' || pr_id || '","title":"title ' || pr_id || '","description":"d","hunks":[{"filepath":"f","content":"+x"}]}'"""
-ORACLES["judge_prompts_descriptions"] = f"""WITH {NUMBERED}, b AS (SELECT source AS pr_id, CAST(floor(pair_id / 100) AS BIGINT) AS batch,
-  {_DESCRIBED} AS ds FROM numbered GROUP BY 1, 2)
-SELECT pr_id, batch, {_fill(evaluate.DESCRIPTION_JUDGE, project="'the project'", pull_request=_PR_JSON, generated_descriptions='ds')} AS prompt FROM b"""
+ORACLES["judge_prompts_descriptions"] = f"""WITH {NUMBERED}, b AS (SELECT source AS pr_id, {_DESCRIBED} AS ds FROM numbered GROUP BY source)
+SELECT pr_id, {_fill(evaluate.DESCRIPTION_JUDGE, project="'the project'", pull_request=_PR_JSON, generated_descriptions='ds')} AS prompt FROM b"""
 JUDGED = """judged AS (SELECT 'replies-' || doc_id % 2 AS file, quality, toxic, doc_id AS pair_id, 1 + quality * 3 + toxic AS score,
   last_value(CASE WHEN doc_id % 5 = 0 THEN 'judge ' || doc_id % 3 END IGNORE NULLS) OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) AS judge
   FROM labels), kept AS (SELECT * FROM judged WHERE NOT (quality = 0 AND toxic = 1))"""
@@ -454,7 +484,7 @@ FROM kept JOIN numbered USING (pair_id) GROUP BY ALL"""
 # ------------------------------------------------------------------ telemetry
 
 LOG = """log AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, 'INFO' AS level, 'Svc.' || event_type AS service,
-  'Step ' || user_id % 3 AS operation, CAST(floor(value * 100) AS BIGINT) AS duration_ms FROM events WHERE event_type <> 'error')"""
+  'Step ' || user_id % 3 || CASE WHEN user_id % 3 = 1 THEN chr(30) || chr(31) ELSE '' END AS operation, CAST(floor(value * 100) AS BIGINT) AS duration_ms FROM events WHERE event_type <> 'error')"""
 _STATS = """count(*) AS n, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(avg(duration_ms), 6) AS avg_ms,
   round(median(duration_ms), 6) AS median_ms, round(coalesce(stddev_samp(duration_ms), 0), 6) AS stdev_ms"""
 ORACLES["log_parse"] = f"WITH {LOG} SELECT * FROM log"

@@ -23,7 +23,7 @@ from lodestar.operators import (
     vectors,
 )
 from lodestar.plans import jobs
-from lodestar.plans.ordering import cut_lineage
+from lodestar.plans.staging import staged
 from lodestar.sources import readers
 from registry import inputs
 
@@ -216,9 +216,27 @@ def type_declarations(spark, sf):
 
 @query
 def type_signature(spark, sf):
-    files = inputs.java_files(spark, sf).withColumn("package", F.regexp_extract("text", extract.PACKAGE, 1))
-    name = F.regexp_extract("text", r"class (\w+) \{", 1)
-    return files.select("source_name", extract.signature(F.col("package"), name).alias("signature"))
+    """Signatures of the outermost declarations."""
+    found = extract.type_declarations(inputs.java_files(spark, sf))
+    return found.filter(F.col("pos") == 0).select("source_name", "signature")
+
+
+@query
+def source_identity(spark, sf):
+    """Files of equal names in two folders: every declaration and paragraph is a source of its own."""
+    folders = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("folder")
+    java = inputs.java_files(spark, sf).select("source_name", "text", folders)
+    java = java.withColumn("path", F.concat("folder", F.lit("/"), "source_name"))
+    docs = inputs.plain_docs(spark, sf).withColumn("source_type", F.lit("pdf")).unionByName(
+        inputs.structured_docs(spark, sf).withColumn("source_type", F.lit("asciidoc"))
+    )
+    docs = docs.select("source_name", "source_type", "text", folders)
+    docs = docs.withColumn("path", F.concat("folder", F.lit("/"), "source_name"))
+    nodes = extract.class_nodes(extract.type_declarations(java)).select(F.lit("node").alias("kind"), "source_id", "source_name", F.col("signature").alias("name"))
+    paras = extract.paragraphs(docs).select(F.lit("paragraph").alias("kind"), "source_id", "source_name", F.col("paragraph_name").alias("name"))
+    return nodes.unionByName(paras).groupBy("kind", "source_name", "name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_id").alias("n_ids")
+    )
 
 
 @query
@@ -290,6 +308,11 @@ def split_tokens(spark, sf):
     return chunking.split_tokens(inputs.text_sources(spark, sf), 50)
 
 
+@query
+def split_tokens_wide(spark, sf):
+    return chunking.split_tokens(inputs.text_sources(spark, sf), 1500)
+
+
 @query
 def chunk_counts(spark, sf):
     """Clean, split and count the chunks of every source."""
@@ -370,10 +393,12 @@ def hunk_queries_review(spark, sf):
     return prompts.queries_review(inputs.pull_requests(spark, sf))
 
 
-def _contexts(spark, sf, request_id):
-    """Sources of a request: the four documents with ids from 4 times its number on."""
+def _contexts(spark, sf, request_id, requests):
+    """Sources of a request: every document belongs to one, dealt by id over the ``requests``."""
     docs = inputs.table(spark, sf, "documents").select(
-        request_id.alias("request_id"), (F.col("doc_id") % 4 + 1).alias("position"), F.col("text").alias("content")
+        request_id.alias("request_id"),
+        (F.floor(F.col("doc_id") / requests) + 1).alias("position"),
+        F.col("text").alias("content"),
     )
     return prompts.context(docs)
 
@@ -384,14 +409,17 @@ def _questions(spark, sf):
 
 @query
 def prompt_answer(spark, sf):
-    group = F.floor(F.col("doc_id") / 4).cast("string")
-    return prompts.answer(_questions(spark, sf), _contexts(spark, sf, group))
+    questions = _questions(spark, sf)
+    n = questions.count()
+    return prompts.answer(questions, _contexts(spark, sf, (F.col("doc_id") % n).cast("string"), n))
 
 
 def _turn_contexts(spark, sf):
-    """Four documents per conversation turn of the first four turns."""
-    block = F.floor(F.col("doc_id") / 4)
-    return _contexts(spark, sf, F.concat_ws("-", F.floor(block / 4).cast("string"), (block % 4).cast("string")))
+    """Every document belongs to one of the first two turns of a conversation."""
+    n = inputs.table(spark, sf, "conversations").select("conv_id").distinct().count()
+    d = F.col("doc_id")
+    turn = F.concat_ws("-", (d % n).cast("string"), (F.floor(d / n) % 2).cast("string"))
+    return _contexts(spark, sf, turn, 2 * n)
 
 
 @query
@@ -415,7 +443,7 @@ def _corpus(spark, sf):
     cut = chunking.split_tokens(sources.select("source_id", "content"), 200)
     chunks = cut.withColumn("chunk_id", F.col("source_id") * 1000 + F.col("chunk_no")).withColumn("content_type", kinds)
     # The vector table is stored once and then searched under several configurations.
-    embedded = cut_lineage(letter_embed(chunks, text="content", out="embedding").drop("content", "chunk_no"))
+    embedded = staged(letter_embed(chunks, text="content", out="embedding").drop("content", "chunk_no"))
     full = vectors.select_types(embedded, ["ENRICHMENT", "DOCUMENT"]).withColumn("index_name", F.lit("full"))
     plain = vectors.select_types(embedded, ["DOCUMENT"]).withColumn("index_name", F.lit("plain"))
     return full.unionByName(plain), sources
@@ -547,6 +575,12 @@ def pair_ids(spark, sf):
 
 @query
 def judge_prompts_answers(spark, sf):
+    return evaluate.answer_judge_prompts(evaluate.pair_ids(inputs.answered(spark, sf)), "the project")
+
+
+@query
+def judge_prompts_batches(spark, sf):
+    """For models that cannot take all pairs at once."""
     return evaluate.answer_judge_prompts(evaluate.pair_ids(inputs.answered(spark, sf)), "the project", 10)
 
 
@@ -571,7 +605,8 @@ def judge_scores(spark, sf):
 
 @query
 def log_parse(spark, sf):
-    return telemetry.parse_log(inputs.log_lines(spark, sf))
+    time = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    return telemetry.parse_log(inputs.log_lines(spark, sf)).withColumn("timestamp", time)
 
 
 @query

@@ -142,3 +142,11 @@ def test_embed_and_enrich(spark):
     assert list(rows.embedding) == [3.0, 1.0]
     done = inference.enrich(df, lambda ts: ['{"description": "d"}'] * len(ts)).first()
     assert (done.description, done.usage, done.processed, done.error) == ("d", None, True, None)
+
+
+def test_texts_are_matched_in_one_scan_without_a_sort(spark, sf):
+    from registry import inputs
+
+    plan = bind.top_matches(inputs.nodes(spark, sf), inputs.paragraphs(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert not [line for line in plan.splitlines() if "Sort" in line and "content" in line]

@@ -1,8 +1,12 @@
 """Evaluation and telemetry on worked cases."""
 
+import hashlib
+from datetime import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import evaluate, telemetry, vectors
+from lodestar.operators import evaluate, prompts, telemetry, vectors
 from lodestar.plans.ordering import carry_forward, number_rows
 
 RESULT = "task string, `group` string, item_id string, result_no int, documents array<struct<source_name:string,similarity_score:double>>"
@@ -56,7 +60,7 @@ def test_carry_forward_in_one_hot_group(spark):
 
 def test_number_rows(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(7)
-    rows = number_rows(df, ["k"], "n").collect()
+    rows = number_rows(df, "k", "n", 64).collect()
     assert [r.k for r in sorted(rows, key=lambda r: r.n)] == sorted(r.k for r in rows)
     assert sorted(r.n for r in rows) == list(range(5000))
 
@@ -68,12 +72,18 @@ def test_log_parse_and_stats(spark):
         "[2026-01-23 15:36:24] [INFO] Store: Similarity search completed in 1578ms",
         "[2026-01-23 15:36:24] [INFO] Store: started",
         "completed in a hurry",
+        "\x1e completed in no time",
+        "[2026-01-23 15:36:24] [INFO] Odd: a\x1fb\x1e completed in 5ms",
+        "[----] [INFO] Odd: no time completed in 6ms",
     ]
     events = telemetry.parse_log(spark.createDataFrame([(x,) for x in text], "line string"))
+    at = lambda s: datetime(2026, 1, 23, 15, 36, s)
     assert {(r.timestamp, r.service, r.operation, r.duration_ms) for r in events.collect()} == {
-        ("2026-01-23 15:36:24", "Answers", "Retrieval", 3168),
-        ("2026-01-23 15:36:25", "Answers", "Retrieval", 3170),
-        ("2026-01-23 15:36:24", "Store", "Similarity search", 1578),
+        (at(24), "Answers", "Retrieval", 3168),
+        (at(25), "Answers", "Retrieval", 3170),
+        (at(24), "Store", "Similarity search", 1578),
+        (at(24), "Odd", "a\x1fb\x1e", 5),
+        (None, "Odd", "no time", 6),
     }
     stats = {r.operation_key: r for r in telemetry.latency_stats(events).collect()}
     assert stats["Answers:Retrieval"].median_ms == 3169.0
@@ -101,3 +111,30 @@ def test_judge_prompts(spark):
     assert '[{"pair_id":0,"question":"q","answer":"r"},{"pair_id":1,"question":"q","answer":"r"}]' in answers[0].prompt
     described = evaluate.description_judge_prompts(df, "P").collect()
     assert len(described) == 1 and '"hunks":[{"filepath":"f","content":"+x"}]' in described[0].prompt
+
+
+def test_judge_prompts_hold_all_pairs_and_nulls(spark):
+    rows = [(i, "q", "r" if i != 100 else None, ("7", None, "d", [])) for i in (99, 100, 101)]
+    df = spark.createDataFrame(
+        rows, "pair_id long, query string, response string, pr struct<id:string,title:string,description:string,hunks:array<struct<filepath:string,content:string>>>"
+    )
+    answers, described = evaluate.answer_judge_prompts(df, "P").collect(), evaluate.description_judge_prompts(df, "P").collect()
+    assert len(answers) == len(described) == 1
+    assert '{"pair_id":100,"question":"q","answer":null}' in answers[0].prompt
+    assert '{"pair_id":100,"description":null},{"pair_id":101,"description":"r"}' in described[0].prompt
+    assert '"title":null' in described[0].prompt
+
+
+@pytest.mark.parametrize(
+    ("template", "length", "digest"),
+    [
+        (prompts.ANSWER_PROMPT, 358, "053cb9e6c570e61b"),
+        (prompts.INTERPRETATION_PROMPT, 954, "6e7e0dec64737643"),
+        (prompts.REVIEW_PROMPT, 1009, "9a497ce7de9b08c2"),
+        (prompts.ENRICHMENT_PROMPT, 664, "82893698bb950bba"),
+        (evaluate.ANSWER_JUDGE, 585, "0549e0298a4abaa4"),
+        (evaluate.DESCRIPTION_JUDGE, 1224, "999ac73ca5b92eab"),
+    ],
+)
+def test_templates_are_pinned(template, length, digest):
+    assert (len(template), hashlib.sha256(template.encode()).hexdigest()[:16]) == (length, digest)

@@ -201,3 +201,10 @@ def test_unpivot_takes_processed_nodes_only(spark):
     assert {(r.chunk_id, r.content_type, r.content) for r in rows} == {
         ("n1:0:0", "CODE", "code"), ("n1:1:0", "ENRICHMENT", "d"), ("n1:3:0", "ENRICHMENT", "r"), ("p1:0:0", "DOCUMENT", "text"),
     }
+
+
+def test_wide_token_windows(spark):
+    text = "\n ".join(f"t{k}" for k in range(3001)) + "  "
+    df = spark.createDataFrame([("s", text), ("b", " \n"), ("n", None)], "source_id string, content string")
+    rows = sorted((r.source_id, r.chunk_no, len(r.content.split())) for r in chunking.split_tokens(df, 1500).collect())
+    assert rows == [("s", 0, 1500), ("s", 1, 1500), ("s", 2, 1)]

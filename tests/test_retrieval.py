@@ -139,3 +139,19 @@ def test_truncation_only_touches_the_embedding_text(spark):
     assert [(len(r.query or ""), len(r.embedding_text or ""), r.truncated) for r in got] == [
         (8001, 8000, True), (8000, 8000, False), (0, 0, False),
     ]
+
+
+def test_near_ties_are_told_apart(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    rows = [(1, [1.0, 0.0012]), (2, [1.0, 0.0011])]
+    vecs = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(2)
+    assert [r.chunk_id for r in vectors.knn(queries, vecs, 1).collect()] == [2]
+    assert [r.chunk_id for r in vectors.knn(queries, vecs, 1, max_shipped=0).collect()] == [2]
+
+
+def test_exact_copies_tie_by_id_in_any_tile(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 4)
+    queries = spark.createDataFrame([(1, [0.3, 0.7, 0.1])], "query_id long, embedding array<float>")
+    rows = [(k, [0.1, 0.9, 0.4] if k % 3 else [0.2, 1.8, 0.8]) for k in range(40)]
+    vecs = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    assert [r.chunk_id for r in vectors.knn(queries, vecs, 7).orderBy("rank").collect()] == list(range(7))

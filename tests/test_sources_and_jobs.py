@@ -1,6 +1,7 @@
 """Readers, writers and whole jobs on files."""
 
 import json
+import os
 import sys
 
 import numpy as np
@@ -64,6 +65,58 @@ def test_pull_requests_and_results(spark, tmp_path):
     assert (code.item_id, code.pr.title, code["query"], code.documents[0].chunk_ids) == ("12", "t", None, ["2"])
 
 
+def test_equal_file_names_stay_apart(spark, tmp_path):
+    code = "package p;\nclass App {{ int x = {}; }}\n"
+    for folder, x in (("a", 1), ("b", 1)):
+        (tmp_path / "src" / folder / "p").mkdir(parents=True)
+        (tmp_path / "docs" / folder).mkdir(parents=True)
+        (tmp_path / "src" / folder / "p" / "App.java").write_text(code.format(x))
+        (tmp_path / "docs" / folder / "index.adoc").write_text("= T\n\nabout App in p\n")
+    (tmp_path / "docs" / "scan.pdf").write_bytes(b"%PDF-1.4 binary")
+    def chat(texts):
+        return [json.dumps({"description": "d", "usage": "u", "relationship": "r"}) for _ in texts]
+
+    def build():
+        return jobs.build_corpus(spark, str(tmp_path / "src"), [str(tmp_path / "docs")], str(tmp_path / "out"), chat, embed)
+
+    def ids(tables):
+        count = lambda t, c: (t.count(), t.select(c).distinct().count())
+        return {
+            "nodes": count(tables["class_nodes"], "node_id"), "paragraphs": count(tables["paragraphs"], "source_id"),
+            "chunks": count(tables["chunks"], "chunk_id"), "vectors": count(tables["vectors"], "chunk_id"),
+            "enriched": count(tables["enriched"], "node_id"), "bindings": count(tables["bindings"], "node_id"),
+        }
+
+    first = ids(build())
+    assert first["nodes"] == first["paragraphs"] == (2, 2) and first["chunks"] == first["vectors"] == (10, 10)
+    assert ids(build()) == first
+    rejects = {r.path.split("/")[-1]: r.reason for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()}
+    assert rejects == {"scan.pdf": "encoded PDF"}
+    (tmp_path / "src" / "a" / "p" / "App.java").write_text(code.format(2))
+    changed = ids(build())
+    assert changed["nodes"] == (2, 2) and changed["enriched"] == (3, 3) and changed["bindings"][1] == 3
+
+
+def test_judge_and_pull_request_jobs(spark, tmp_path):
+    rows = [
+        {"task": "query_answer", "input": f"q{i % 2}", "group": g, "response": None if i == 1 else "r", "documents": [], "duration": 1}
+        for i, g in enumerate(("adaptive_full", "simple_full", "adaptive_full"))
+    ]
+    (tmp_path / "res.json").write_text(json.dumps(rows))
+    (tmp_path / "replies.txt").write_text("[J]\n0::4::fine\n1::2::no\n\n2::5::yes\n")
+    results = readers.read_eval_results(spark, str(tmp_path / "res.json"), "query_answer")
+    made = jobs.judge_prompts(results, "P")
+    assert made["answers"].count() == 1 and made["descriptions"].count() == 0
+    assert [r.pair_id for r in made["pairs"].orderBy("pair_id").collect()] == [0, 1, 2]
+    scores = jobs.judge_report(spark, str(tmp_path / "res.json"), "query_answer", str(tmp_path / "replies.txt"))
+    assert {(r.judge, r.group, r.mean_score) for r in scores.collect()} == {("J", "adaptive_full", 4.5), ("J", "simple_full", 2.0)}
+    prs = spark.createDataFrame([("1", "t", "d"), ("2", "t", None)], "id string, title string, description string")
+    diffs = spark.createDataFrame([("1", "diff --git a/x b/y\n--- a\n+++ b\n@@ -1 +1 @@\n-a\n+b\n")], "pr_id string, diff string")
+    jobs.pull_requests_from_diffs(prs, diffs, str(tmp_path / "prs"))
+    back = {r.id: [h.filepath for h in r.hunks] for r in readers.read_pull_requests(spark, str(tmp_path / "prs"), False).collect()}
+    assert back == {"1": ["y"], "2": []}
+
+
 def test_result_and_csv_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("t1", "a"), ("t2", "b")], "task string, response string")
     for _ in range(2):
@@ -84,7 +137,10 @@ def test_vector_table(spark, tmp_path):
     writers.add_vectors(make([("full", "a", "s", [3.0, 4.0]), ("plain", "a", "s", [0.0, 0.0])]), path)
     writers.add_vectors(make([("full", "b", "s", [1.0, 0.0])]), path)
     assert {tuple(round(x, 3) for x in r.embedding) for r in writers.read_vectors(spark, path, "full").collect()} == {(0.6, 0.8), (1.0, 0.0)}
-    writers.add_vectors(make([("full", "a", "s", [0.0, 2.0])]), path)
+    others = {f for f in os.listdir(f"{path}/index_name=full") if "bucket" in f}
+    writers.add_vectors(make([("full", "a", "s", [0.0, 2.0]), ("full", "a", "s", [0.0, 2.0])]), path)
+    assert others == {f for f in os.listdir(f"{path}/index_name=full") if "bucket" in f}
+    assert os.listdir(tmp_path) == ["vectors"]  # nothing staged is left
     got = {(r.index_name, r.chunk_id): [round(x, 3) for x in r.embedding] for r in writers.read_vectors(spark, path).collect()}
     assert got == {("full", "a"): [0.0, 1.0], ("full", "b"): [1.0, 0.0], ("plain", "a"): [0.0, 0.0]}
     writers.remove_index(spark, path, "full")
@@ -114,7 +170,7 @@ def test_build_answer_and_evaluate(spark, tree):
     assert {r.signature for r in tables["class_nodes"].collect()} == {"a.util.Foo", "a.util.Kind"}
     assert tables["paragraphs"].count() == 3
     rejects = {r.path.split("/")[-1]: r.reason for r in spark.read.parquet(f"{out}/rejects").collect()}
-    assert rejects == {"data.bin": "unsupported file type", "cu::Broken.java": "brackets do not match"}
+    assert rejects == {"data.bin": "unsupported file type", "Broken.java": "brackets do not match"}
     bindings = spark.read.parquet(f"{out}/bindings").join(tables["class_nodes"], "node_id")
     assert {(r.signature, r.n) for r in bindings.groupBy("signature").agg(F.count("*").alias("n")).collect()} == {
         ("a.util.Foo", 2), ("a.util.Kind", 1),
@@ -126,7 +182,14 @@ def test_build_answer_and_evaluate(spark, tree):
     def no_calls(texts):
         raise AssertionError("already enriched")
 
+    assert {(r.index_name, r.n) for r in tables["index_members"].groupBy("index_name").agg(F.count("*").alias("n")).collect()} == {
+        ("full", 11), ("plain", 5),
+    }
+    assert {r.index_name for r in tables["indexes"].collect()} == {"full", "plain"}
+    # each chunk was embedded once, for both indexes
+    assert spark.read.parquet(f"{out}/embedded_last").count() == 11
     tables = build(no_calls)
+    assert spark.read.parquet(f"{out}/embedded_last").count() == 0
     assert {name: sorted(map(str, t.collect())) for name, t in tables.items()} == first
     assert spark.read.json(f"{out}/enrichment_audit").count() == 2
 
