@@ -11,15 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import normalize as _normalize
-from lodestar.plans.grid import blocks_for, paired_blocks
-
-# Query rows shipped to every task at most; more queries go through the block grid.
-MAX_SHIPPED_QUERIES = 8192
-# Winners (queries times k) a task may hold at most, a few dozen bytes each.
-MAX_KEPT = 4_000_000
-# Rows of one block on either side of the grid.
-GRID_ROWS = 50_000
-GRID_MIN_ROWS = 1_000
+# Bytes of queries and winners that a task holds at most; more queries go in several batches.
+MAX_SHIPPED_BYTES = 256 << 20
+WINNER_BYTES = 40
+# Tables of more partitions than this are sampled first for the scores to beat.
+SAMPLED_FROM = 16
+SAMPLE_SHARE = 16
 # Similarities held at once inside a task (8 bytes each).
 TILE = 4_000_000
 # Scores are compared after rounding to ten digits, far above the noise of sums and far below what single precision
@@ -37,36 +34,46 @@ def knn(
     queries: DataFrame,
     vectors: DataFrame,
     k: int,
-    max_shipped: int = MAX_SHIPPED_QUERIES,
-    grid_rows: int = GRID_ROWS,
+    max_shipped: int | None = None,
+    sampled_from: int = SAMPLED_FROM,
 ) -> DataFrame:
     """The ``k`` most similar chunks of every query: (query_id, chunk_id, score, rank).
 
     ``queries(query_id, embedding)`` against ``vectors(chunk_id, embedding)``, exact, ranked
-    by cosine (ten digits) and then by chunk id; the score is shown with six digits.  A ``source_id`` kept with the vectors comes along,
-    which spares the later roll-up a join with the chunk table.  Up to ``max_shipped`` queries travel to the
-    tasks and the vector table is scanned once without a shuffle, each task keeping only its
-    own best ``k`` per query.  Beyond that both sides are cut into blocks and paired.
-    ``queries`` should be a stored table: it is read here to see how large it is.
+    by cosine (ten digits) and then by chunk id; the score is shown with six digits.  A ``source_id`` kept with the
+    vectors comes along, which spares the later roll-up a join with the chunk table.
+
+    Queries travel to the tasks in batches of bounded bytes (or of ``max_shipped`` rows); the vectors of a batch are
+    scanned in place and never shuffled.  A table of more than ``sampled_from`` partitions is sampled first: the k-th
+    best score of the sample is a lower bound of the k-th best of all, and tasks emit only hits at or above it.  What is
+    shuffled is then about ``SAMPLE_SHARE`` times k rows per query, however many tasks there are.
+    ``queries`` should be a stored table: it is read here batch by batch.
     """
     q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     tags = [c for c in ("chunk_id", "source_id") if c in vectors.columns]
     v = vectors.select("embedding", *tags)
     types = [("query_id", q.schema["query_id"]), *((c, v.schema[c]) for c in tags)]
     schema = ", ".join(f"{name} {field.dataType.simpleString()}" for name, field in types) + ", score double"
-    shipped = min(max_shipped, MAX_KEPT // k)
-    n = q.count()
-    found = _scan(q.toArrow(), v, k, schema) if n <= shipped else _grid(q, n, v, k, schema, grid_rows)
+    n, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    shipped = max_shipped or max(1, MAX_SHIPPED_BYTES // (8 * max(width or 1, 1) + WINNER_BYTES * k))
+    batches = max(1, -(-n // shipped))
+    sampled = v.rdd.getNumPartitions() > sampled_from
+    found = None
+    for i in range(batches):
+        part = q if batches == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == i)
+        rows = _scan(part.toArrow(), v, k, schema, sampled)
+        found = rows if found is None else found.unionByName(rows)
     return _best(found, k).withColumn("score", F.round("score", SHOWN_DIGITS))
 
 
-def _scan(head: pa.Table, v: DataFrame, k: int, schema: str) -> DataFrame:
-    rows, ids = _unit_rows(head.column("embedding"), [head.column("query_id")])
-    shipped = v.sparkSession.sparkContext.broadcast((rows, pa.array(ids[0])))
+def _scan(asked: pa.Table, v: DataFrame, k: int, schema: str, sampled: bool) -> DataFrame:
+    rows, ids = _unit_rows(asked.column("embedding"), [asked.column("query_id")])
+    floor = _bounds(rows, v, k) if sampled and len(rows) else np.full(len(rows), -np.inf)
+    shipped = v.sparkSession.sparkContext.broadcast((rows, pa.array(ids[0]), floor))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_rows, q_ids = shipped.value
-        best = _BestK(len(q_rows), k)
+        q_rows, q_ids, floor = shipped.value
+        best = _BestK(floor, k)
         names = []
         for batch in batches:
             names = batch.schema.names[1:]
@@ -77,35 +84,30 @@ def _scan(head: pa.Table, v: DataFrame, k: int, schema: str) -> DataFrame:
     return v.mapInArrow(scan, schema)
 
 
-def _grid(q: DataFrame, n: int, v: DataFrame, k: int, schema: str, grid_rows: int) -> DataFrame:
-    empty = v.select(F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "*").drop("embedding")
-    blank = empty.withColumn("score", F.lit(0.0)).limit(0).toArrow()
+def _bounds(rows: np.ndarray, v: DataFrame, k: int) -> np.ndarray:
+    """For each query the k-th best score in a sample by chunk id; minus infinity if the sample is too small."""
+    sample = v.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(SAMPLE_SHARE)) == 0)
+    shipped = v.sparkSession.sparkContext.broadcast(rows)
 
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = blank.column_names[1:-1]
-        q_rows, (q_ids,) = _unit_rows(left.column("embedding"), [left.column("query_id")])
-        best = _BestK(len(q_rows), k)
-        best.offer_all(q_rows, *_unit_rows(right.column("embedding"), [right.column(n) for n in names]))
-        return best.table(pa.array(q_ids), names) if best.parts else blank
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _BestK(np.full(len(shipped.value), -np.inf), k)
+        for batch in batches:
+            best.offer_all(shipped.value, *_unit_rows(batch.column(0), [batch.column(1)]))
+        if best.parts:
+            table = best.table(pa.array(np.arange(len(shipped.value))), ["chunk_id"])
+            yield from table.select(["query_id", "score"]).to_batches(max_chunksize=100_000)
 
-    # Small tables still get a query block per core; cutting the vectors instead would
-    # multiply the rows to merge.
-    cores = q.sparkSession.sparkContext.defaultParallelism
-    q_rows = max(1, min(grid_rows, MAX_KEPT // k))
-    q_blocks = max(blocks_for(n, q_rows), min(cores, blocks_for(n, GRID_MIN_ROWS)))
-    v_blocks = blocks_for(v.count(), grid_rows)
-    return paired_blocks(q, v, "query_id", "chunk_id", q_blocks, v_blocks, pair, schema)
+    hits = sample.select("embedding", "chunk_id").mapInArrow(scan, "query_id long, score double")
+    place = W.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = hits.withColumn("_r", F.row_number().over(place)).filter(F.col("_r") == k).select("query_id", "score").toArrow()
+    floor = np.full(len(rows), -np.inf)
+    floor[kth.column("query_id").to_numpy()] = kth.column("score").to_numpy()
+    return floor
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """Merge per-task winners; on a wide cluster first within salts, then per query."""
-    order = [F.desc("score"), F.asc("chunk_id")]
-    salts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 50
-    if salts > 1:
-        salted = found.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
-        w = W.partitionBy("query_id", "_salt").orderBy(*order)
-        found = salted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r", "_salt")
-    w = W.partitionBy("query_id").orderBy(*order)
+    """Merge per-task winners."""
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -133,9 +135,9 @@ def _unit_rows(vecs, tags: list) -> tuple[np.ndarray, list[np.ndarray]]:
 class _BestK:
     """Running exact top-k per query over blocks of vectors."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, floor: np.ndarray, k: int):
         self.k = k
-        self.floor = np.full(queries, -np.inf)
+        self.floor = floor.copy()
         # Tuples of query number, score and the columns kept beside each vector, id first.
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
