@@ -1,14 +1,16 @@
 """MinHash near-duplicate groups with odd sketches.
 
-A document is the set of its distinct word shingles.  MinHash samples of the set give band keys, and are folded
-into a parity bitmap (odd sketch): each sample flips one bit, so the XOR of two bitmaps has few bits where the sets
-are alike, and its population count estimates high similarities well.  Documents that share a band key are candidates;
-the bitmaps sort out those far below the threshold and the full sets decide.
+A document is the set of its distinct word shingles.  MinHash samples of the set give band keys, and are folded into a
+parity bitmap (odd sketch): each sample flips one bit, so the XOR of two bitmaps has few bits where the sets are alike,
+and its population count estimates high similarities well.  Documents that share a band key are candidates; the bitmaps
+sort out those far below the threshold and the full sets decide.
 
 Nothing is paired within a group at large.  Equal sets are one node.  In a first round each member of a band key is
-compared to the smallest node of that key, and the confirmed links give components.  In a second round only those keys
-are looked at again that still hold several components: their members outside the largest one are compared, in
-bounded tiles, to all other members.  Two members of one key are then in one component, or have been compared.
+compared to one leader of that key: the member that shares most keys with others, which in a group of near copies is
+their common origin.  The confirmed links give components.  In a second round only those keys are looked at again that
+still hold several components: their members outside the largest one are compared to all other members, in tiles of
+bounded size inside tasks, and only links that join components come out.  Two members of one key are then in one
+component, or their sets have been compared.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import HOT_KEYS, LAST_ID, first_place, partitions, rows_of, staged, text_digest
+from lodestar.llm.common import LAST_ID, first_place, rows_of, text_digest
 from lodestar.llm.components import components
 from lodestar.llm.text_arrays import as_bytes, lower_words, mix, packed, slices, small_binary
+from lodestar.plans.staging import staged
 
 SHINGLE_WORDS = 5
 #: Linked are sets with PERCENT * union <= 100 * intersection.
@@ -35,8 +38,8 @@ BAND_SAMPLES = 5
 SKETCH_BITS = 1024
 #: Bitmaps that estimate less than this are no candidates: over six standard deviations below the threshold.
 LEAST_ESTIMATE = 0.6
-#: Members of a tile of the second round.
-TILE = 256
+#: Members on either side of a tile of the second round.
+TILE = 512
 
 _U32, _U64 = np.uint32, np.uint64
 _RANDOM = np.random.default_rng(20240229)
@@ -178,20 +181,24 @@ def _alike(n: Column, m: Column, s: Column, t: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (bits <= most_bits())
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Those pairs (u, v) of nodes whose full sets are similar enough, stored."""
-    u, v = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "uv")
-    likely = staged(
-        pairs.join(u, "u").join(v, "v").where(_alike(*map(F.col, ("n_u", "n_v", "s_u", "s_v")))).select("u", "v")
-    )
-    ends = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-    wanted = nodes.join(ends, "node").select("doc_id", "node", "key")
-    text = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text").join(wanted, "doc_id")
+def _sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``node`` and its full set (``items``) for the wanted nodes, stored."""
 
     def sets_of(batches):
         return _sets(batches, words)
 
-    sets = staged(text.select("node", "key", "text").mapInArrow(sets_of, "node long, items binary").dropDuplicates(["node"]))
+    keyed = nodes.select("doc_id", "node", "key").join(wanted, "node")
+    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), "text")
+    found = text.join(keyed, "doc_id").select("node", "key", "text").mapInArrow(sets_of, "node long, items binary")
+    return staged(found.dropDuplicates(["node"]))
+
+
+def _confirmed(nodes: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (u, v) of nodes whose bitmaps and then full sets are similar enough, stored."""
+    u, v = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "uv")
+    likely = staged(
+        pairs.join(u, "u").join(v, "v").where(_alike(*map(F.col, ("n_u", "n_v", "s_u", "s_v")))).select("u", "v")
+    )
     full = likely.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(
         sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v"
     )
@@ -199,76 +206,90 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int)
 
 
 def _band_members(nodes: DataFrame) -> DataFrame:
-    """Members of every band key that has several: ``band``, ``node``, its ``leader``, ``n`` members (null: very many).
-
-    The most frequent keys are spread over all tasks, each part with a leader of its own; the rows with ``top`` lead
-    from there to the first leader of all.
-    """
+    """Members of every band key that has several: ``band``, ``node``, ``n`` members; stored."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    hot = (
-        rows.groupBy("band").count().where("count > 1").orderBy(F.desc("count"), "band").limit(HOT_KEYS)
-        .select("band", F.lit(True).alias("hot"))
-    )
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(partitions(nodes.sparkSession)))).otherwise(0)
-    same = Window.partitionBy("band", "salt")
-    return (
-        rows.join(F.broadcast(hot), "band", "left")
-        .withColumn("salt", salt)
-        .withColumn("leader", F.min("node").over(same))
-        .withColumn("n", F.count(F.lit(1)).over(same))
-        .where("n > 1 OR hot")
-        .select("band", "node", "leader", F.when(F.col("hot").isNull(), F.col("n")).alias("n"))
+    sizes = staged(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return staged(rows.join(sizes, "band").select("band", "node", "n"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member of a band key with the key's leader, the member with most companions over all its keys."""
+    companions = staged(members.groupBy("node").agg(F.sum("n").alias("companions")))
+    leaders = staged(
+        members.join(companions, "node")
+        .groupBy("band")
+        .agg(F.max_by("node", F.struct("companions", -F.col("node"))).alias("leader"))
     )
+    led = members.join(leaders, "band").where("node <> leader")
+    return led.select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+
 
+def _tile(table: pa.Table) -> pa.Table:
+    """Links from a tile's seeking members to its other members: one to each component that they reach.
 
-def _tiles(table: pa.Table) -> pa.Table:
-    """Likely pairs of a tile's seeking and other members."""
-    cols = {c: table.column(c).to_numpy() for c in ("node", "component", "size")}
-    sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(_U64)
-    seeking = table.column("seeking").to_numpy()
-    left, right = np.flatnonzero(seeking), np.flatnonzero(~seeking)
+    The other members' sets are inverted once; a seeking set then finds its intersections with all of them at a time.
+    """
+    node, component = (table.column(c).to_numpy() for c in ("node", "component"))
+    seeking = table.column("seeking").to_numpy(zero_copy_only=False)
+    data, offsets = as_bytes(table.column("items"))
+    items, begins = np.frombuffer(data.tobytes(), _U64), offsets // 8
+    size = np.diff(begins)
+    others, seekers = np.flatnonzero(~seeking), np.flatnonzero(seeking)
     us, vs = [], []
-    for i in left:
-        bits = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
-        n, m = cols["size"][i], cols["size"][right]
-        good = (
-            (bits <= most_bits())
-            & (cols["component"][right] != cols["component"][i])
-            & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-        )
-        found = cols["node"][right[good]]
-        us.append(np.maximum(found, cols["node"][i]))
-        vs.append(np.minimum(found, cols["node"][i]))
+    if len(others):
+        owner = np.repeat(np.arange(len(others)), size[others])
+        held = np.concatenate([items[begins[k] : begins[k + 1]] for k in others])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        for k in seekers:
+            own = items[begins[k] : begins[k + 1]]
+            first, last = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+            n = last - first
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(others))
+            linked = np.flatnonzero(
+                (100 * both >= PERCENT * (size[others] + size[k] - both)) & (component[others] != component[k])
+            )
+            _, one = np.unique(component[others][linked], return_index=True)
+            found = node[others[linked[one]]]
+            us.append(np.maximum(found, node[k]))
+            vs.append(np.minimum(found, node[k]))
     u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
     return pa.table([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def _left_over(nodes: DataFrame, members: DataFrame, linked: DataFrame) -> DataFrame:
-    """Likely pairs of different components that share a band key of three or more members."""
-    many = members.where("n > 2 OR n IS NULL").select("band", "node")
+def _left_over(members: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """Confirmed links between different components that share a band key of three or more members.
+
+    Keys with the same largest component are taken together, so members meet once and not once per key.
+    """
+    many = members.where("n > 2").select("band", "node")
     labelled = staged(
         many.join(linked, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     )
     parts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
     mixed = staged(
         parts.groupBy("band")
-        .agg(F.sum("c").alias("n"), F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"))
+        .agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("k"))
         .where("k > 1")
-        .select("band", "n", "main")
-        .join(parts.select("band", F.col("component").alias("main"), F.col("c").alias("in_main")), ["band", "main"])
+        .select("band", "main")
+    )
+    around = staged(labelled.join(mixed, "band").select("main", "node", "component").distinct())
+    sizes = staged(
+        around.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("main")).alias("n_seeking"))
     )
-    rows = labelled.join(mixed, "band")
+    rows = around.join(sizes, "main")
     chunks = F.ceil(F.col("n") / TILE).cast("int")
-    blocks = F.ceil((F.col("n") - F.col("in_main")) / TILE).cast("int")
+    blocks = F.ceil(F.col("n_seeking") / TILE).cast("int")
     at = lambda k: F.pmod(F.xxhash64("node"), k).cast("int")
     all_of = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    shared = ["band", "node", "component"]
+    shared = ["main", "node", "component"]
     looked_at = rows.select(*shared, at(chunks).alias("j"), all_of(blocks).alias("i"), F.lit(False).alias("seeking"))
     seeking = rows.where("component <> main").select(
         *shared, at(blocks).alias("i"), all_of(chunks).alias("j"), F.lit(True).alias("seeking")
     )
-    tiles = looked_at.unionByName(seeking).join(nodes.select("node", F.col("n").alias("size"), "sketch"), "node")
-    return tiles.groupBy("band", "i", "j").applyInArrow(_tiles, "u long, v long").distinct()
+    tiles = looked_at.unionByName(seeking).join(sets, "node")
+    return tiles.groupBy("main", "i", "j").applyInArrow(_tile, "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -289,15 +310,11 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "node", "key", F.col("n_shingles").alias("n"), "bands", "sketch"
         )
     )
-    members = staged(_band_members(nodes))
-    stars = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    tops = members.where("n IS NULL AND node = leader")
-    first = tops.select(
-        F.col("node").alias("u"), F.min("node").over(Window.partitionBy("band")).alias("v")
-    ).where("u <> v")
-    links = _confirmed(docs, nodes, stars.union(first).distinct(), words)
+    members = _band_members(nodes)
+    sets = _sets_of(docs, nodes, members.select("node").distinct(), words)
+    links = _confirmed(nodes, sets, _stars(members))
     linked = staged(components(links))
-    more = _confirmed(docs, nodes, _left_over(nodes, members, linked), words)
+    more = staged(_left_over(members, sets, linked))
     if more.take(1):
         linked = staged(components(links.union(more)))
     joined = classes.join(linked, "node", "left").withColumn("top", F.coalesce("component", "node"))

@@ -92,15 +92,17 @@ def test_second_round_finds_links_that_stars_miss(spark):
     assert found == right and len({c for _, c in right.values()}) > 1
 
 
-def test_left_over_pairs(spark):
+def test_left_over_links(spark):
     """Members outside the largest component of a key meet all members, in tiles."""
-    n = 700
-    same = [7] * 16
-    nodes = spark.createDataFrame([(k, 10, same) for k in range(n)], "node long, n long, sketch array<long>")
-    members = nodes.select(F.lit(5).cast("long").alias("band"), "node", F.lit(None).cast("long").alias("n"))
-    linked = spark.createDataFrame([(k, 0) for k in range(n - 2)], "node long, component long")
-    found = {(r.u, r.v) for r in near_dedup._left_over(nodes, members, linked).collect()}
-    assert found == {(u, v) for u in (n - 2, n - 1) for v in range(u)}
+    n = 1300
+    members = spark.range(n).select(F.lit(5).cast("long").alias("band"), F.col("id").alias("node"), F.lit(n).alias("n"))
+    alike = b"".join(k.to_bytes(8, "little") for k in range(10))
+    other = b"".join(k.to_bytes(8, "little") for k in range(20, 30))
+    sets = members.select("node", F.when(F.col("node") == n - 1, F.lit(other)).otherwise(F.lit(alike)).alias("items"))
+    linked = spark.createDataFrame([(k, 0) for k in range(n - 3)], "node long, component long")
+    found = {r.u: r.v for r in near_dedup._left_over(members, sets, linked).where(f"u >= {n - 3} AND v < {n - 3}").collect()}
+    assert set(found) == {n - 3, n - 2}
+    assert near_dedup._left_over(members, sets, members.select("node", F.lit(0).cast("long").alias("component"))).count() == 0
 
 
 def test_components(spark):

@@ -120,14 +120,14 @@ def test_odd_sketch_estimates_similarity():
         assert (bits <= near_dedup.most_bits()) == (similarity > near_dedup.LEAST_ESTIMATE - 0.1) or similarity < 0.7
 
 
-def test_tiles_compare_seeking_members():
-    rnd = np.random.default_rng(2)
-    sketch = rnd.integers(0, 2**62, (4, 16)).tolist()
+def test_tile_links_seeking_members():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 5, 50, 6, 300)]
     table = pa.table({
-        "node": [1, 2, 3, 4], "component": [1, 2, 1, 4], "size": [10, 10, 10, 100], "seeking": [False, True, False, True],
-        "sketch": pa.array([sketch[0], sketch[0], sketch[1], sketch[0]], pa.list_(pa.int64())),
+        "node": [1, 2, 3, 4, 5], "component": [1, 1, 3, 4, 5], "seeking": [False, False, False, True, True],
+        "items": pa.array([s.tobytes() for s in sets], pa.binary()),
     })
-    assert near_dedup._tiles(table).to_pylist() == [{"u": 2, "v": 1}]
+    assert near_dedup._tile(table).to_pylist() == [{"u": 4, "v": 1}]
+    assert near_dedup._tile(table.slice(3)).num_rows == 0
 
 
 def _pack(lengths, tiers, last=True):
