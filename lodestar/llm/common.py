@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,25 +15,6 @@ HOT_KEYS = 1000
 LAST_ID = 2**63 - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, as in tests, one beside the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: what follows starts from stored rows.
-
-    Lost executors then cost no more than the tasks they ran.  The tables are scratch data like checkpoints and are
-    removed with that folder.
-    """
-    path = f"{shared_folder(df.sparkSession)}/lodestar-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import LAST_ID, SPACE, first_place, missing_as_empty, rows_of, staged, with_group_size
+from lodestar.llm.common import LAST_ID, SPACE, first_place, missing_as_empty, rows_of, with_group_size
+from lodestar.plans.staging import staged
 
 #: Code points of a block.  Most documents are one block; the rounds of pair naming grow with the log of the longest.
 BLOCK_CHARS = 4096

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE, missing_as_empty, staged, text_digest
+from lodestar.llm.common import SPACE, missing_as_empty, text_digest
+from lodestar.plans.staging import staged
 
 #: Dropped are lines on more than this share of a host's pages, and on at least so many pages.
 MAX_SHARE = 0.02
