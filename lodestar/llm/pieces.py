@@ -7,6 +7,8 @@ tokenizers library encodes those not seen before in this worker, and the ids are
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
@@ -47,6 +49,7 @@ class Encoder:
     """Encodes texts by a byte-level tokenizer; keep one per worker."""
 
     def __init__(self, tokenizer: Tokenizer):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share out the cores
         self.tokenizer = tokenizer
         self.known: dict[bytes, bytes] = {}
 
