@@ -39,8 +39,8 @@ SHARD_BYTES = (8 << 20, 128 << 20)
 LEAST_BUCKETS = 256
 BUCKET_BYTES = 256 << 20
 #: Bytes that are hashed together, and bytes of a block of the suffix sort.
-STEP_BYTES = 1 << 20
-BLOCK_BYTES = 4 << 20
+STEP_BYTES = 256 << 10
+BLOCK_BYTES = 1 << 20
 
 _U64 = np.uint64
 
@@ -118,6 +118,7 @@ def _runs(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarra
     if not values:
         return np.zeros(0, _U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     value, first, count = map(np.concatenate, (values, firsts, counts))
+    value = mix(value) >> _U64(64 - HASH_BITS)  # smallest hashes are small: scrambled, they fill the buckets evenly
     # join what the step borders have cut
     row = np.searchsorted(offsets, first, "right") - 1
     same = np.zeros(len(value), bool)
@@ -205,10 +206,10 @@ def _suspects(shard: Shard, answers: pa.Table, buckets: int) -> tuple[pa.Array,
     shard.take(np.flatnonzero(shared[place] == shard.value) if len(shared) else np.zeros(0, np.int64))
     order = np.argsort(shard.value, kind="stable")
     shard.take(order)
-    size = shard.count + shard.window - 1
-    begins = np.concatenate([[0], np.cumsum(size)])
-    source = np.repeat(shard.first - begins[:-1], size) + np.arange(begins[-1])
-    coded = binary_array(shard.data[source], begins).dictionary_encode()
+    whole, ends = shard.data.tobytes(), shard.first + shard.count + shard.window - 1
+    runs = [whole[a:b] for a, b in zip(shard.first.tolist(), ends.tolist(), strict=True)]
+    coded = pa.array(runs, pa.large_binary()).dictionary_encode()
+    del runs, whole
     index = coded.indices.to_numpy()
     strings = coded.dictionary
     lowest = np.full(len(strings), np.iinfo(np.int64).max)
@@ -315,8 +316,10 @@ def _smallest_owner(data: np.ndarray, begins: np.ndarray, lowest: np.ndarray, wi
     size = np.diff(begins)[order]
     value, lowest = value[order], lowest[order]
     ends = np.concatenate([[0], np.cumsum(size)])
-    source = np.repeat(begins[:-1][order] - ends[:-1], size) + np.arange(ends[-1])
-    ordered = data[source]
+    back = begins[:-1][order] - ends[:-1]  # from the place among the ordered strings to the one in ``data``
+    whole = data.tobytes()
+    ordered = np.frombuffer(b"".join(whole[begins[k] : begins[k + 1]] for k in order), np.uint8)
+    del whole
     blocks, first = [], 0
     while first < len(size):
         last = max(first + 1, int(np.searchsorted(ends, ends[first] + block_bytes, "right")) - 1)
@@ -333,7 +336,7 @@ def _smallest_owner(data: np.ndarray, begins: np.ndarray, lowest: np.ndarray, wi
                 place = np.searchsorted(mine, other)
                 hit = np.flatnonzero(mine[np.minimum(place, len(mine) - 1)] == other)
                 low[place[hit]] = np.minimum(low[place[hit]], other_low[hit])
-        out[source[at]] = low[group]
+        out[at + back[np.searchsorted(ends, at, "right") - 1]] = low[group]
     return out
 
 
