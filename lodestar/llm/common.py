@@ -39,9 +39,11 @@ def first_place(df: DataFrame, keys: list[str], place: str, out: str = "first")
     spread = hashed.join(F.broadcast(hot), "_hash", "left").withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(place), F.lit(n)).cast("int")).otherwise(0)
     )
-    near = spread.withColumn("_near", F.min(place).over(Window.partitionBy("_hash", "_salt", *keys)))
+    same = Window.partitionBy("_hash", "_salt", *keys)
     rest = [c for c in df.columns if c not in keys]
-    leaders = near.where(F.col("_hot") & (F.col(place) == F.col("_near")))
+    near = spread.withColumn("_near", F.min(place).over(same))
+    hot_rows = spread.where(F.col("_hot")).select("_hash", "_salt", place, *keys)
+    leaders = hot_rows.withColumn("_near", F.min(place).over(same)).where(F.col(place) == F.col("_near"))
     moved = leaders.select("_near", F.min("_near").over(Window.partitionBy("_hash", *keys)).alias("_far"))
     return (
         near.select(*rest, "_near")
