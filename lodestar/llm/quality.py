@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import SPACE, missing_as_empty
+from lodestar.plans.staging import staged
 
 #: The character classes: capitals, digits, marks, symbols, and every other character of a word.
 CLASSES = ("upper", "digit", "mark", "symbol", "other")
@@ -21,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 #: The most common words of a language that its histogram distinguishes, and their greatest length.
 COMMON_WORDS = 24
 COMMON_LENGTH = 4
-#: So many languages, by number of words, have a reference of their own; any others share the pooled one.
+#: So many references are broadcast; more are joined as Spark sees fit.  Every language has one of its own.
 LANGUAGES = 200
 
 #: Below so many words a text fails; below the second number its words are too few for a histogram.
@@ -97,7 +98,7 @@ def base_figures(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """One row per language, and one with ``lang`` null for all together.
+    """One row per language, however many there are.
 
     ``words`` are its most common short words, ``word_share`` their shares of all words and then that of all other
     words, ``class_share`` the shares of ``CLASSES``.
@@ -106,31 +107,23 @@ def references(docs: DataFrame) -> DataFrame:
     # the row with the empty word carries the sums of its document
     exploded = prepared.select("lang", "n_words", *CLASSES, F.explode(F.concat(F.array(F.lit("")), "_short")).alias("word"))
     whole = F.col("word") == ""
-    counts = exploded.groupBy("lang", "word").agg(
+    grouped = exploded.groupBy("lang", "word").agg(
         F.count(F.lit(1)).alias("n"), *(F.sum(F.when(whole, F.col(c))).alias(c) for c in ("n_words", *CLASSES))
     )
-    sums = ["n", "n_words", *CLASSES]
-    grouped = counts.groupingSets([["lang", "word"], ["word"]], "lang", "word").agg(
-        F.grouping_id("lang", "word").alias("_all"), *(F.sum(c).alias(c) for c in sums)
-    )
-    common = Window.partitionBy("_all", "lang").orderBy(F.desc("n"), "word")
+    common = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = (
         grouped.where(~whole)
         .withColumn("_rank", F.row_number().over(common))
         .where(F.col("_rank") <= COMMON_WORDS)
-        .groupBy("_all", "lang")
+        .groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "word", "n"))).alias("top"))
     )
-    totals = grouped.where(whole)
+    totals = grouped.where(whole).drop("n", "word")
     chars = sum((F.col(c) for c in CLASSES), F.lit(0))
     known = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    with_words = totals.join(top, (totals["_all"] == top["_all"]) & totals["lang"].eqNullSafe(top["lang"]), "left").select(
-        totals["_all"], totals["lang"], "n_words", *CLASSES, F.coalesce("top", F.array()).alias("top")
-    )
-    shares = with_words.select(
-        "_all",
+    with_words = totals.join(top, "lang", "left").withColumn("top", F.coalesce("top", F.array()))
+    return with_words.select(
         "lang",
-        "n_words",
         F.transform("top", lambda x: x["word"]).alias("words"),
         F.transform(
             F.concat(F.transform("top", lambda x: x["n"]), F.array(F.col("n_words") - known)),
@@ -138,7 +131,6 @@ def references(docs: DataFrame) -> DataFrame:
         ).alias("word_share"),
         F.array(*(F.when(chars > 0, F.col(c) / chars).otherwise(0.0) for c in CLASSES)).alias("class_share"),
     )
-    return shares.orderBy(F.desc("_all"), F.desc("n_words"), "lang").limit(LANGUAGES + 1).drop("n_words", "_all")
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -161,17 +153,9 @@ def quality_verdicts(
     A null text has no words and fails; a missing ``lang`` is a language of its own.  Repeated rows are judged alike,
     each for itself; other columns are ignored, and an empty table gives an empty result.
     """
-    refs = references(docs).select(F.col("lang").alias("_lang"), "words", "word_share", "class_share")
-    own = refs.where(F.col("_lang").isNotNull())
-    pooled = refs.where(F.col("_lang").isNull()).select(
-        F.col("_lang").alias("_other"), *(F.col(c).alias(f"all_{c}") for c in ("words", "word_share", "class_share"))
-    )
-    rows = base_figures(docs)
-    rows = rows.join(F.broadcast(own), rows["lang"] == own["_lang"], "left")
-    # languages without a reference have a null here, and so has the pooled one
-    rows = rows.join(F.broadcast(pooled), F.col("_lang").eqNullSafe(F.col("_other")), "left")
-    for c in ("words", "word_share", "class_share"):
-        rows = rows.withColumn(c, F.coalesce(c, f"all_{c}"))
+    refs = staged(references(docs))
+    few = refs.limit(LANGUAGES + 1).count() <= LANGUAGES
+    rows = base_figures(docs).join(F.broadcast(refs) if few else refs, "lang", "left")
     found = F.transform("_short", lambda w: F.array_position("words", w))
     rows = rows.withColumn("_found", F.filter(found, lambda i: i > 0)).withColumn(
         "_counts",

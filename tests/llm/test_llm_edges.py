@@ -184,6 +184,14 @@ def test_quality_with_many_languages(spark, monkeypatch):
     assert len(found) == 7 and all(r.kept and r.word_distance == 0 for r in found)
 
 
+def test_quality_by_the_own_language(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LANGUAGES", 1)
+    texts = [" ".join(f"a{k} word{j} b{k} more{j}" for j in range(60)) for k in range(30)]
+    rows = [(k, text, f"l{k}") for k, text in enumerate(texts)] + [(30 + k, texts[0], "l0") for k in range(30)]
+    found = quality.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(found) == 60 and all(r.kept and r.word_distance == 0 for r in found)
+
+
 def test_repeated_words(spark):
     texts = ["a b c a b c", "a b c d a b c", "x x x x x", "a b", "a b c d e", "p q r p q r s t p q r"]
     right = [6, 6, 5, 0, 0, 9]
