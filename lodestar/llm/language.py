@@ -3,8 +3,10 @@
 For each language a tree of byte contexts of orders 0 to ``ORDER`` holds how often each byte followed.  A byte costs
 its code length in the longest context; where the context has not seen it, the escape (as often as the context has
 distinct followers) and the shorter context's cost are added.  The statistics are frozen after learning, so a text's
-code length is a sum of fixed costs, exact and in any order.  The trees are compiled into tables: the last bytes give a
-context node, node and byte give the costs under all languages at once.  The language with the shortest code wins.
+code length is a sum of fixed costs, exact and in any order.  The last bytes give a context node, node and byte give the
+costs.  Counts are kept sparse, so memory grows with what was seen; while the table of all costs is small it is compiled
+once, otherwise the costs of the places that a batch has are worked out, a few languages at a time.  Both give the same
+costs.  The language with the shortest code wins.
 """
 
 from __future__ import annotations
@@ -21,52 +23,87 @@ from lodestar.llm.text_arrays import as_bytes, slices
 ORDER = 3
 #: A context of the longest order is a node of its own if all languages together saw it so often.
 LEAST_SEEN = 3
-#: The bound of the sample that is learned from: rows per language, bytes per row, and the most frequent languages.
+#: The sample that is learned from: rows per language, and bytes, of which each language has an equal share.  Whole rows
+#: are taken until the share is reached, at least one per language.
 SAMPLE_ROWS = 300
-SAMPLE_BYTES = 1 << 16
-LANGUAGES = 32
+SAMPLE_BYTES = 1 << 28
+#: The table of all costs is compiled up to so many bytes; languages that are worked out together.
+TABLE_BYTES = 1 << 28
+TOGETHER = 8
 
 UNKNOWN = "und"
 
 
 class Model:
-    """Costs in bits: ``symbol`` of a byte, ``node`` of the last symbols, ``cost[node * symbols + symbol, language]``."""
+    """Costs in bits: ``symbol`` of a byte, ``node`` of the last symbols, ``costs`` of keys ``node * symbols + symbol``.
 
-    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, least_seen: int = LEAST_SEEN):
+    ``seen[language][order]`` has the sorted contexts with their totals and distinct followers, and the sorted
+    ``context * symbols + symbol`` with their counts.
+    """
+
+    def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER, least_seen: int = LEAST_SEEN, table_bytes: int = TABLE_BYTES):
         self.languages, self.order = sorted(texts), order
-        every = b"".join(b"".join(t) for t in texts.values())
-        seen = np.flatnonzero(np.bincount(np.frombuffer(every, np.uint8), minlength=256))
+        total = sum(np.bincount(np.frombuffer(x, np.uint8), minlength=256) for t in texts.values() for x in t)
+        seen = np.flatnonzero(total)
         # symbol 0 stands before a text, 1 for bytes never seen
         self.symbol = np.ones(256, np.int64)
         self.symbol[seen] = np.arange(len(seen)) + 2
         a = self.symbols = len(seen) + 2
-        streams = [self.stream(texts[name]) for name in self.languages]
-        shorter = np.full((1, a, len(streams)), 1 / 256)
-        for k in range(order + 1):
-            codes = [self.contexts(s, k) * a + s[order:] for s in streams]
-            codes = [c[s[order:] > 0] for c, s in zip(codes, streams, strict=True)]
-            if k < order or k <= 1:
-                nodes = np.arange(a**k)
-            else:  # of the longest order only contexts that were seen
-                found, n = np.unique(np.concatenate(codes) // a, return_counts=True)
-                nodes = found[n >= least_seen]
-            count = np.zeros((len(nodes), a, len(streams)))
-            for j, c in enumerate(codes):
-                place = np.minimum(np.searchsorted(nodes, c // a), max(len(nodes) - 1, 0))
-                hit = nodes[place] == c // a if len(nodes) else np.zeros(len(c), bool)
-                count[..., j] = np.bincount(place[hit] * a + c[hit] % a, minlength=len(nodes) * a).reshape(-1, a)
-            total, distinct = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-            parent = shorter[nodes % max(a ** (k - 1), 1)] if k else shorter
-            with np.errstate(invalid="ignore", divide="ignore"):
-                own = np.where(count > 0, count, distinct * parent) / (total + distinct)
-            level = np.where(total > 0, own, parent)
-            if k < order:
-                shorter = level
+        self.seen = [self.counted(self.stream(texts[name])) for name in self.languages]
+        if order <= 1:
+            nodes = np.arange(a**order)
+        else:  # of the longest order only contexts that were seen, by all languages together
+            found, place = np.unique(np.concatenate([c[order][0] for c in self.seen]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([c[order][1] for c in self.seen]), minlength=len(found))
+            nodes = found[n >= least_seen]
         # nodes: all contexts of the last order but one, then the seen ones of the last
-        self.node = np.arange(a**order) % a ** (order - 1)
-        self.node[nodes] = a ** (order - 1) + np.arange(len(nodes))
+        self.base, self.nodes = a ** (order - 1), nodes
+        self.node = np.arange(a**order) % self.base
+        self.node[nodes] = self.base + np.arange(len(nodes))
         self.node = self.node.astype(np.int32)
-        self.cost = -np.log2(np.concatenate([shorter, level])).reshape(-1, len(streams)).astype(np.float32)
+        keys, n = (self.base + len(nodes)) * a, len(self.languages)
+        self.cost = np.empty((keys, n), np.float32) if 4 * keys * n <= table_bytes else None
+        for start in range(0, 0 if self.cost is None else keys, 1 << 20):
+            some = np.arange(start, min(start + (1 << 20), keys))
+            self.cost[some[0] : some[-1] + 1] = self.costs(some, 0, n)
+
+    def counted(self, stream: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Of each order: contexts, their totals and distinct followers; contexts with a symbol, their counts."""
+        out, here = [], stream[self.order :]
+        for k in range(self.order + 1):
+            codes = (self.contexts(stream, k) * self.symbols + here)[here > 0]
+            codes, count = np.unique(codes, return_counts=True)
+            contexts, first, distinct = np.unique(codes // self.symbols, return_index=True, return_counts=True)
+            total = np.add.reduceat(count, first) if len(first) else count
+            out.append((contexts, total, distinct, codes, count))
+        return out
+
+    def costs(self, keys: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Bits of the keys under the languages from ``start`` to ``stop``."""
+        a, out = self.symbols, np.empty((len(keys), stop - start), np.float32)
+        node, symbol = keys // a, keys % a
+        longest = node >= self.base
+        context = node.copy()
+        context[longest] = self.nodes[node[longest] - self.base]
+
+        def find(values, wanted):
+            place = np.minimum(np.searchsorted(values, wanted), max(len(values) - 1, 0))
+            return place, values[place] == wanted if len(values) else np.zeros(len(wanted), bool)
+
+        for j in range(start, stop):
+            cost = np.full(len(keys), 1 / 256)
+            for k, (contexts, total, distinct, codes, count) in enumerate(self.seen[j]):
+                last = context % a**k
+                at, known = find(contexts, last)
+                if k == self.order:
+                    known &= longest
+                at, last, of = at[known], last[known], symbol[known]
+                place, hit = find(codes, last * a + of)
+                own = distinct[at] * cost[known]
+                own[hit] = count[place[hit]]
+                cost[known] = own / (total[at] + distinct[at])
+            out[:, j - start] = -np.log2(cost)
+        return out
 
     def stream(self, texts: list[bytes]) -> np.ndarray:
         pad = np.zeros(self.order, np.int64)
@@ -87,11 +124,17 @@ class Model:
         stream[at] = self.symbol[data]
         node = self.node[self.contexts(stream, self.order)]
         here = at - self.order
-        bits = self.cost[node[here] * np.int64(self.symbols) + stream[at]]
+        keys = node[here] * np.int64(self.symbols) + stream[at]
         out = np.zeros((n, len(self.languages)))
         some = np.flatnonzero(np.diff(offsets))
-        if len(some):
-            out[some] = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.float64)
+        if not len(some):
+            return out
+        if self.cost is None:
+            used, keys = np.unique(keys, return_inverse=True)
+        for start in range(0, len(self.languages), TOGETHER):
+            stop = min(start + TOGETHER, len(self.languages))
+            cost = self.costs(used, start, stop) if self.cost is None else self.cost[:, start:stop]
+            out[some, start:stop] = np.add.reduceat(cost[keys], offsets[some], axis=0, dtype=np.float64)
         return out
 
 
@@ -99,32 +142,37 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def learned(
-    docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES
-) -> Model | None:
-    """Learn from a bounded sample of rows with ``lang`` and ``text``: per language those with the smallest hashes.
+def learned(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Learn every language from a bounded sample of rows with ``lang`` and ``text``: those with the smallest hashes.
 
-    Languages are the most frequent ones; rows of more than ``sample_bytes`` bytes are left to prediction.  The sample,
-    at most the product of the three bounds, is the only thing that comes to the driver.
+    A language has at most ``sample_rows`` rows; beyond its first one they end where its share of ``sample_bytes`` is
+    reached.  The sample is the only thing that comes to the driver.
     """
-    usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").where(
-        F.octet_length("text") <= sample_bytes
-    )
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    usable = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
+    languages = usable.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
+        return None
+    by_hash = Window.partitionBy("lang").orderBy("hash", "doc_id", "digest")
+    # repeated ids are told apart by their texts
+    hashed = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"), F.xxhash64("text").alias("digest"), F.octet_length("text").alias("bytes"), "text")
     picked = (
-        usable.select("doc_id", "lang")
-        .join(F.broadcast(common), "lang", "left_semi")
+        hashed.drop("text")
         .withColumn("place", F.row_number().over(by_hash))
         .where(F.col("place") <= sample_rows)
-        .select("doc_id", "lang")
-        .distinct()
+        .withColumn("sum", F.sum(F.col("bytes").cast("long")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+        .where((F.col("place") == 1) | (F.col("sum") <= sample_bytes // languages))
+        .groupBy("doc_id", "lang", "digest")
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    sample = (
+        hashed.join(F.broadcast(picked), ["doc_id", "lang", "digest"])
+        .groupBy("lang", "doc_id", "digest")
+        .agg(F.first("text").alias("text"), F.first("times").alias("times"))
     )
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
     texts: dict[str, list[bytes]] = {}
-    for row in sample.orderBy("lang", "text").limit(sample_rows * languages).collect():
-        texts.setdefault(row.lang, []).append(row.text.encode())
-    return Model(texts) if texts else None
+    for row in sample.select("lang", "text", "times").collect():
+        texts.setdefault(row.lang, []).extend([row.text.encode()] * row.times)
+    return Model(texts)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

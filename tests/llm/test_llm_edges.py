@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,19 @@ def test_language(spark, edge):
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == edge.count()
 
 
+def test_language_with_many_and_long(spark):
+    words = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(20))
+    rows = [(i, words(i % 40), f"l{i % 40:02}") for i in range(120)] + [(200, "zzq zqz qqz " * 9000, "long")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learned(table)
+    assert len(model.languages) == 41 and len(language.learned(table, sample_bytes=1).languages) == 41
+    assert {r.doc_id: r.lang_pred for r in language.predicted(table, model).collect()} == {i: name for i, _, name in rows}
+    texts = {name: [text.encode()] for _, text, name in rows[:40]}
+    data, offsets = np.frombuffer(b"aab zzq kab", np.uint8), np.array([0, 4, 4, 11])
+    both = [language.Model(texts, table_bytes=n).lengths(data, offsets) for n in (0, 1 << 30)]
+    assert (both[0] == both[1]).all()
+
+
 def test_quality(spark, edge):
     found = quality.quality_verdicts(edge).collect()
     assert len(found) == edge.count()
