@@ -95,3 +95,42 @@ WITH t AS (
 )
 SELECT *, NOT base_failed AND coalesce(class_distance, 0) <= 0.3 AND coalesce(word_distance, 0) <= 0.35 AS kept FROM d
 """
+
+# crc32 bit by bit; a prefix is written as the digests of its turns, so it is a string prefix of what follows it.
+ORACLES["op11_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_id,
+    strlen(coalesce(text, '')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::UBIGINT)),
+      (crc, b) -> list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+        (v, i) -> CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END)), 4294967295::UBIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), built AS (
+  SELECT c.conv_id, 0 AS late, pos, turn_id, size FROM c JOIN own ON own.conv_id = c.base AND pos < h
+  UNION ALL
+  SELECT c.conv_id, 1, pos, turn_id, size FROM c JOIN own ON own.conv_id = c.conv_id AND pos >= h
+), prefixes AS (
+  SELECT conv_id, string_agg(turn_id, '') OVER w AS prefix, row_number() OVER w AS depth, size
+  FROM built WINDOW w AS (PARTITION BY conv_id ORDER BY late, pos)
+  UNION ALL
+  SELECT conv_id, '', 0, 0 FROM c
+), lengths AS (
+  SELECT conv_id, max(depth) AS longest FROM prefixes GROUP BY ALL
+), nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+    substr(prefix, 1, greatest(length(prefix) - 64, 0)) AS parent, max(longest) = depth AS leaf,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (longest = depth), '')) AS ends_sha256
+  FROM prefixes JOIN lengths USING (conv_id) GROUP BY prefix, depth
+), below AS (
+  SELECT n.prefix, count(*) FILTER (m.leaf) AS n_leaves, sum(m.saved)::BIGINT AS saved_tokens,
+    count(*) FILTER (m.depth = n.depth + 1) AS n_children
+  FROM nodes n JOIN nodes m ON starts_with(m.prefix, n.prefix) GROUP BY n.prefix
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (prefix) LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.parent
+"""

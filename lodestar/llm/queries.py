@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import (
+    alignment,
+    best_fit,
     byte_bpe,
     chat,
     exact_dedup,
@@ -17,6 +19,7 @@ from lodestar.llm import (
     line_dedup,
     near_dedup,
     packing,
+    prefix_trie,
     quality,
     suffix_dedup,
 )
@@ -84,6 +87,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.regrown(prefix_trie.turn_rows(table(spark, sf_dir, "conversations"))))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = best_fit.packed_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.linked(alignment.aligned(table(spark, sf_dir, "documents"), a, b))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,5 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_quality_rules,
         op10_suffix_array_dedup,
+        op11_prefix_trie,
+        op12_best_fit_packing,
+        op13_token_alignment,
     )
 }

@@ -32,7 +32,7 @@ def test_query_matches_sql(spark, sf, name):
 
 def test_every_query_is_checked():
     tested = {"op1_html_extract", "op3_language_id", "op4_near_dedup", "op5_packing", "op6_chat_format", "op7_byte_bpe",
-              "op10_suffix_array_dedup"}
+              "op10_suffix_array_dedup", "op12_best_fit_packing", "op13_token_alignment"}
     assert set(QUERIES) == set(ORACLES) | tested
 
 
