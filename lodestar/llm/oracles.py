@@ -106,9 +106,9 @@ WITH own AS (
   FROM conversations WHERE conv_id IS NOT NULL
 ), c AS (
   SELECT conv_id, conv_id - conv_id % 5 AS base,
-    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), x -> ascii(x)::UBIGINT)),
-      (crc, b) -> list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
-        (v, i) -> CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END)), 4294967295::UBIGINT) % 9 AS h
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+        lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::UBIGINT) ELSE v // 2 END)), 4294967295::UBIGINT) % 9 AS h
   FROM (SELECT DISTINCT conv_id FROM own)
 ), built AS (
   SELECT c.conv_id, 0 AS late, pos, turn_id, size FROM c JOIN own ON own.conv_id = c.base AND pos < h
