@@ -13,19 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from lodestar.llm.byte_bpe import token_bytes
-from lodestar.llm.pieces import AT_ONCE, REMEMBERED, Encoder
-from lodestar.llm.text_arrays import as_bytes, binary_array, packed, slices, small_binary
+from lodestar.llm.joined import ByteLevelEncoder, PieceEncoder
+from lodestar.llm.text_arrays import as_bytes, packed, slices, small_binary
 from lodestar.plans.staging import staged
 
 #: An id pair is one number: the B id above, the A id in the lowest bits.
 A_BITS = 24
+#: Bytes of text that are aligned at once.
+AT_A_TIME = 2 << 20
 #: Different id pairs, counted by document, of a slot: the documents whose counts are looked up together.
 SLOT_PAIRS = 4_000_000
 
@@ -33,53 +32,6 @@ ALIGNED = "doc_id long, a_ids binary, b_ids binary, a_groups binary, b_groups bi
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
-class PieceEncoder(Encoder):
-    """Encodes texts that begin with a space by a sentencepiece model, which puts that space there itself.
-
-    No piece goes on from another character to a space, so texts are cut before each space that follows one, and each
-    distinct part is encoded once.
-    """
-
-    def __init__(self, model: sentencepiece.SentencePieceProcessor):
-        super().__init__(model)
-        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        if any(not a == "▁" and b == "▁" for p in pieces for a, b in zip(p, p[1:])):
-            raise ValueError("pieces that go on to a space are not supported")
-        self.blank = np.array([model.piece_to_id("▁")], "<u4").tobytes()
-        self.known = {b" ": self.blank}
-        self.bytes_of = pa.array(
-            [
-                bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode()
-                for i, p in enumerate(pieces)
-            ],
-            pa.large_binary(),
-        )
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and where each text's ids begin."""
-        if not len(data):
-            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = (data[1:] == 32) & (data[:-1] != 32)
-        cut[offsets] = True
-        cuts = np.flatnonzero(cut)
-        coded = binary_array(data, cuts).dictionary_encode()
-        ids = pa.array(self._ids_of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
-        begins = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1] // 4
-        return np.frombuffer(ids.buffers()[2], "<u4"), begins[np.searchsorted(cuts, offsets)]
-
-    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {b" ": self.blank}
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        for first in range(0, len(new), AT_ONCE):
-            some = new[first : first + AT_ONCE]
-            found = self.tokenizer.encode([p[1:].decode("utf-8", "replace") for p in some], num_threads=1)
-            known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(some, found, strict=True))
-        return [known[p] for p in pieces]
-
-
 def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each A and each B token the number of its component's terminal token, a B token.
 
@@ -115,27 +67,18 @@ def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return put, offsets + np.concatenate([[0], np.cumsum(full)])
 
 
-def _tokenizer(model: str) -> Tokenizer:
-    made = Tokenizer.from_str(model)
-    made.encode_special_tokens = True
-    made.no_truncation()
-    made.no_padding()
-    return made
-
-
 class Both:
     """Both tokenizers of a worker."""
 
     def __init__(self, json: str, pieces: bytes):
-        self.a = Encoder(_tokenizer(json))
-        self.a_bytes = token_bytes(self.a.tokenizer)
-        self.b = PieceEncoder(sentencepiece.SentencePieceProcessor(model_proto=pieces))
+        self.a = ByteLevelEncoder(json)
+        self.b = PieceEncoder(pieces)
 
     def tokens(self, data: np.ndarray, offsets: np.ndarray):
         """Ids and ends of the tokens of both, only of texts whose tokens' bytes are the text; and where each begins."""
         data, offsets = _spaced(data, offsets)
         out, right = [], np.ones(len(offsets) - 1, bool)
-        for made, table in ((self.a, self.a_bytes), (self.b, self.b.bytes_of)):
+        for made, table in ((self.a, self.a.bytes_of), (self.b, self.b.bytes_of)):
             ids, begins = made.encode(data, offsets)
             ids = ids[: begins[-1]]
             joined, ends = _ends(ids, table)
@@ -167,7 +110,7 @@ def _align(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         _MADE[key] = Both(*model.value)
     made = _MADE[key]
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", AT_A_TIME):
             (a, a_begins, a_ends), (b, b_begins, b_ends) = made.tokens(*as_bytes(part.column("text")))
             last_a, last_b = terminals(a_ends, b_ends)
             terminal = last_b == np.arange(len(b))
@@ -184,6 +127,11 @@ def _align(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             )
 
 
+def _shipped(docs: DataFrame, tokenizer: str, pieces: str):
+    with open(tokenizer, encoding="utf-8") as f, open(pieces, "rb") as g:
+        return docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
+
+
 def aligned(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
     """Align the tokens of a space and the text by a byte-level tokenizer file (A) with those of the text by a
     sentencepiece model (B), which adds the space: ``doc_id``, ``a_ids``, ``b_ids``, ``a_groups``, ``b_groups``.
@@ -193,8 +141,7 @@ def aligned(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
     (B reads U+2581 as a space), have no tokens.  Repeated rows and rows without id are aligned each for itself; other
     columns are ignored; an empty table gives no row.  Both files are read on the driver.
     """
-    with open(tokenizer, encoding="utf-8") as f, open(pieces, "rb") as g:
-        model = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
+    model = _shipped(docs, tokenizer, pieces)
 
     def align(batches):
         return _align(batches, model)
@@ -253,7 +200,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
     slot, held = 0, 0
     for batch in batches:
-        for part in slices(batch, "b_ids"):
+        for part in slices(batch, "b_ids", AT_A_TIME):
             a, b, groups_a, groups_b, a_begins, b_begins = _columns(part)
             last_a, last_b = _last_of_groups(groups_a, a_begins), _last_of_groups(groups_b, b_begins)
             sha = _shown(a, b, groups_a, groups_b, a_begins, b_begins, last_a, last_b)
@@ -339,8 +286,9 @@ def _score(docs: pa.Table, counted: pa.Table) -> pa.Table:
     return kept.append_column("n_best", pa.array(total(best))).append_column("count_sum", pa.array(total(count)))
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """Figures of each document of ``aligned``: tokens, groups, links, and what the corpus's counts say of its links.
+def linked(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
+    """Align as ``aligned`` does, and give each document's figures: tokens, groups, links, and what the corpus's counts
+    say of its links.
 
     A link is an A and a B token that end together; its ``count`` is the number of links in all documents between the
     same two ids.  ``n_best`` are a document's links whose count is the highest of their B id, ``count_sum`` is the sum
@@ -350,7 +298,13 @@ def linked(rows: DataFrame) -> DataFrame:
     Documents are put in slots of bounded size.  A slot counts its own pairs first, so a pair has one row per slot and
     not one per document, however common it is; the counts return to the slots, where documents look them up.
     """
-    docs = staged(rows.mapInArrow(_digest, f"{DIGESTS}, slot long, codes binary, times binary"))
+    model = _shipped(docs, tokenizer, pieces)
+
+    def digest(batches):
+        return _digest(_align(batches, model))  # in one worker: the ids need not leave it
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = staged(texts.mapInArrow(digest, f"{DIGESTS}, slot long, codes binary, times binary"))
     pairs = docs.select("slot", "codes", "times").mapInArrow(_count, "slot long, code long, n long")
     counted = staged(pairs.withColumn("count", F.sum("n").over(Window.partitionBy("code"))).drop("n"))
     b = F.shiftright("code", A_BITS)

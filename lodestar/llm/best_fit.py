@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from lodestar.llm.pieces import encoder
+from lodestar.llm.joined import ByteLevelEncoder
 from lodestar.llm.text_arrays import as_bytes, slices
 from lodestar.plans.staging import staged
 
@@ -25,7 +24,7 @@ from lodestar.plans.staging import staged
 CAPACITY = 1024
 END_ID = 2
 #: Tokens that a task packs at once, and pieces that an exchange brings together.
-BLOCK_TOKENS = 1 << 23
+BLOCK_TOKENS = 1 << 22
 POOL_PIECES = 1 << 20
 #: Exchanges at most; each stops earlier where the number of sequences is certified or no longer falls.
 ROUNDS = 6
@@ -93,17 +92,16 @@ def piece_bounds(total: int, capacity: int) -> list[int]:
     return [*([0] if total % capacity else []), *range(total % capacity, total + 1, capacity)]
 
 
-def _tokenizer(model: str) -> Tokenizer:
-    made = Tokenizer.from_str(model)
-    made.encode_special_tokens = True
-    made.no_truncation()
-    made.no_padding()
-    return made
+#: The tokenizer of this worker process.
+_MADE: dict[int, ByteLevelEncoder] = {}
 
 
 def _pack(batches: Iterator[pa.RecordBatch], model, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    made = encoder(f"json {hash(model.value)}", lambda: _tokenizer(model.value))
+    if hash(model.value) not in _MADE:
+        _MADE.clear()
+        _MADE[hash(model.value)] = ByteLevelEncoder(model.value)
+    made = _MADE[hash(model.value)]
     names = [c.split()[0] for c in PIECES.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     full: list[tuple] = []
@@ -124,8 +122,8 @@ def _pack(batches: Iterator[pa.RecordBatch], model, end_id: int, capacity: int)
         held = 0
         full.clear()
         short.clear()
-        for first in range(0, len(rows), 20_000):
-            columns = zip(*rows[first : first + 20_000], strict=True)
+        for first in range(0, len(rows), 4000):
+            columns = zip(*rows[first : first + 4000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     for batch in batches:

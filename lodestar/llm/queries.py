@@ -98,7 +98,7 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return alignment.linked(alignment.aligned(table(spark, sf_dir, "documents"), a, b))
+    return alignment.linked(table(spark, sf_dir, "documents"), a, b)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -17,7 +18,9 @@ from tokenizers import Tokenizer
 
 from lodestar.llm import alignment, best_fit, prefix_trie
 from lodestar.llm.byte_bpe import byte_characters
+from lodestar.llm.joined import ByteLevelEncoder
 from lodestar.llm.queries import QUERIES
+from lodestar.llm.text_arrays import as_bytes
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -201,6 +204,17 @@ def test_piece_bounds():
 # token alignment
 
 
+def test_joined_pieces_give_the_same_ids():
+    made = ByteLevelEncoder(open(JSON, encoding="utf-8").read())
+    pick = random.Random(5)
+    parts = [" a", " b1", "  ", "\n", " é", " !", " 's", "x", " 漢", "<|endoftext|>", " don't", "1 2", "\t.", " A.B", " \u0301z"]
+    texts = ["".join(pick.choice(parts) for _ in range(30)) for _ in range(300)]
+    ids, begins = made.encode(*as_bytes(pa.array(texts, pa.large_string())))
+    for k, text in enumerate(texts):
+        right = made.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids[begins[k] : begins[k + 1]].tolist() == right
+
+
 def plain_alignment(docs):
     a, b = Tokenizer.from_file(JSON), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     a.encode_special_tokens = True
@@ -257,10 +271,12 @@ def test_alignment_of_odd_input(spark, edge, plain, monkeypatch):
     docs += [(100 + k, text) for k, text in enumerate(more)]
     extra = spark.createDataFrame(docs[len(plain) + 4 :], "doc_id long, text string")
     table = edge.unionByName(extra, allowMissingColumns=True).repartition(3)
-    rows = alignment.aligned(table, JSON, PIECES)
-    found = [r.asDict() for r in alignment.linked(rows).collect()]
+    found = [r.asDict() for r in alignment.linked(table, JSON, PIECES).collect()]
     assert sorted(found, key=str) == sorted(({k: r[k] for k in found[0]} for r in plain_alignment(docs)), key=str)
-    assert alignment.linked(alignment.aligned(edge.limit(0), JSON, PIECES)).count() == 0
+    assert alignment.linked(edge.limit(0), JSON, PIECES).count() == 0
+    rows = {r.doc_id: r for r in alignment.aligned(table, JSON, PIECES).collect()}
+    assert len(rows[8].a_ids) == len(rows[8].a_groups) == 4 * next(r["n_a"] for r in found if r["doc_id"] == 8)
+    assert np.frombuffer(rows[4].b_groups, "<u4").tolist() == sorted(np.frombuffer(rows[4].b_groups, "<u4").tolist())
 
 
 @settings(max_examples=200, deadline=None)
@@ -282,5 +298,5 @@ def test_small_slots(spark, sf, monkeypatch):
     monkeypatch.setattr(alignment, "SLOT_PAIRS", 200)
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).repartition(3)
     plain = [(r.doc_id, r.text) for r in docs.collect()]
-    found = [r.asDict() for r in alignment.linked(alignment.aligned(docs, JSON, PIECES)).collect()]
+    found = [r.asDict() for r in alignment.linked(docs, JSON, PIECES).collect()]
     assert sorted(found, key=str) == sorted(({k: r[k] for k in found[0]} for r in plain_alignment(plain)), key=str)
