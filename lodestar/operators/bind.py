@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.plans.grid import blocks_for, paired_blocks
+from lodestar.plans.staging import staged
 
 PARAGRAPHS_PER_NODE = 10  # fixed value
 # Keyword characters shipped to every task at most; beyond that, the block grid.
@@ -65,6 +66,58 @@ def top_matches(
     return keyed.join(chosen, ["a", "b"]).select("node_id", "paragraph_id", "pos", "matches_all")
 
 
+def state(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """What ``updated_matches`` must know of an earlier state's nodes or paragraphs: (key, digest)."""
+    return rows.select(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+
+
+def updated_matches(
+    nodes: DataFrame,
+    paragraphs: DataFrame,
+    kept: DataFrame,
+    known_nodes: DataFrame,
+    known_paragraphs: DataFrame,
+    limit: int = PARAGRAPHS_PER_NODE,
+    max_shipped: int = MAX_SHIPPED_CHARS,
+) -> DataFrame:
+    """The rows of ``top_matches(nodes, paragraphs, limit)``, from those of an earlier state and what has changed since.
+
+    ``kept`` are the earlier rows, ``known_nodes`` and ``known_paragraphs`` the earlier ``state`` of both sides; a row
+    with another digest is a new one in the place of one that is gone.  New nodes meet all paragraphs, the other nodes
+    only new ones.  Links of what is gone go; a node that loses one of ``limit`` links may have had more matches than it
+    kept, so it is bound anew.  ``kept`` and the states should be stored tables.
+    """
+    now_n, now_p = state(nodes, "node_id", "signature"), state(paragraphs, "paragraph_id", "content")
+    same_n = now_n.join(known_nodes, ["node_id", "digest"], "left_semi").select("node_id")
+    same_p = staged(now_p.join(known_paragraphs, ["paragraph_id", "digest"], "left_semi").select("paragraph_id"))
+    there = same_p.withColumn("held", F.lit(True))
+    held = staged(kept.join(there, "paragraph_id", "left"))
+    short = held.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("n_held"))
+    short = short.where((F.col("n") >= limit) & (F.col("n_held") < F.col("n")))
+    settled = staged(same_n.join(short, "node_id", "left_anti"))
+    anew = top_matches(nodes.join(settled, "node_id", "left_anti"), paragraphs, limit, max_shipped=max_shipped)
+    more = top_matches(
+        nodes.join(settled, "node_id", "left_semi"), paragraphs.join(same_p, "paragraph_id", "left_anti"), limit, max_shipped=max_shipped
+    )
+    old = held.where("held").drop("held").join(settled, "node_id", "left_semi").withColumn("_new", F.lit(False))
+    return _merged(old.unionByName(more.withColumn("_new", F.lit(True))), limit).unionByName(anew)
+
+
+def _merged(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of kept and new links of each node, at most ``2 * limit`` rows a node."""
+    node = W.partitionBy("node_id")
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(node)).withColumn("_n_new", F.count_if("_new").over(node))
+    # links of one kind alone have their order; others go by id if all fit, else those with both keywords come first
+    tier = (
+        F.when((F.col("_n_new") == F.col("_n")) | (F.col("_n") >= limit) & (F.col("_n_new") == 0), F.col("pos"))
+        .when((F.col("_n") <= limit) | F.col("matches_all"), 0)
+        .otherwise(1)
+    )
+    place = F.row_number().over(node.orderBy("_tier", "paragraph_id")) - 1
+    ranked = counted.withColumn("_tier", tier).withColumn("pos", place)
+    return ranked.where(F.col("pos") < limit).select("node_id", "paragraph_id", "pos", "matches_all")
+
+
 def counts(nodes: DataFrame, matches: DataFrame) -> DataFrame:
     """Bound paragraphs per node, nodes without any included."""
     bound = matches.groupBy("node_id").agg(F.count("*").alias("n"))

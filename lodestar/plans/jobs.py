@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import bind, chunking, evaluate, extract, fusion, inference, prompts, retrieval, telemetry, vectors
+from lodestar.plans import generations
 from lodestar.plans.staging import staged
 from lodestar.schemas import CODE, DOCUMENT, ENRICHMENT
 from lodestar.sources import readers, writers
@@ -30,7 +31,8 @@ def build_corpus(
 ) -> dict[str, DataFrame]:
     """Scan, extract, bind, enrich, chunk, embed and load; every stage is a table below ``out``.
 
-    Running it again redoes no model call: enriched nodes and loaded chunks are skipped.
+    Running it again gives what a build into an empty folder gives, but asks the models for new texts only: what is gone
+    from the sources goes from links, answers, vectors and index members, and new paragraphs are bound to old nodes.
     """
     files = readers.scan_java(spark, java_root)
     for path in doc_paths:
@@ -46,7 +48,7 @@ def build_corpus(
     paragraphs = writers.save_table(extract.paragraphs(taken), f"{out}/paragraphs")
 
     enriched = enrich_nodes(spark, nodes, paragraphs, out, chat)
-    texts = nodes.join(enriched, "node_id").withColumnRenamed("node_id", "source_id")
+    texts = nodes.join(enriched.drop("links"), "node_id").withColumnRenamed("node_id", "source_id")
     chunked = writers.save_table(chunking.chunks(texts, paragraphs), f"{out}/chunks", partition_by=("content_type",))
     sources = writers.save_table(
         nodes.select(F.col("node_id").alias("source_id"), "source_name", "content").unionByName(
@@ -62,31 +64,51 @@ def build_corpus(
         "chunks": chunked,
         "sources": sources,
         "vectors": writers.read_vectors(spark, f"{out}/vectors"),
-        "bindings": spark.read.parquet(f"{out}/bindings"),
+        "bindings": generations.current(spark, f"{out}/bindings"),
         "indexes": spark.read.parquet(f"{out}/indexes"),
-        "index_members": spark.read.parquet(f"{out}/index_members"),
+        "index_members": generations.current(spark, f"{out}/index_members"),
     }
 
 
+def bind_nodes(spark: SparkSession, nodes: DataFrame, paragraphs: DataFrame, out: str) -> DataFrame:
+    """Bring the stored links up to date: only new nodes meet all paragraphs, old nodes just the new ones.
+
+    ``paragraphs(paragraph_id, content)``.  The links are stored before the states they belong to, and merging a state in
+    twice changes nothing, so a build that ends in between is made up for by the next.
+    """
+    kept = generations.current(spark, f"{out}/bindings")
+    known = [generations.current(spark, f"{out}/bound_{side}") for side in ("nodes", "paragraphs")]
+    if kept is None or None in known:
+        links = bind.top_matches(nodes, paragraphs)
+    else:
+        links = bind.updated_matches(nodes, paragraphs, kept, *known)
+    links = generations.replace(links, f"{out}/bindings")
+    generations.replace(bind.state(nodes, "node_id", "signature"), f"{out}/bound_nodes")
+    generations.replace(bind.state(paragraphs, "paragraph_id", "content"), f"{out}/bound_paragraphs")
+    return links
+
+
 def enrich_nodes(spark: SparkSession, nodes: DataFrame, paragraphs: DataFrame, out: str, chat: inference.ChatModel) -> DataFrame:
-    """Bind and enrich the nodes not enriched before; failed ones are tried again next time."""
-    path = f"{out}/enriched"
-    known = readers.exists(spark, path)
-    pending = nodes
-    if known:
-        done = spark.read.parquet(path).filter("processed")
-        pending = bind.unprocessed(nodes, done)
+    """Bind all nodes and enrich those that are new or bound to other texts; failed ones are tried again next time.
+
+    An answer belongs to a node and the digest of its ``links``; it goes when the node goes or its links change.
+    """
     pieces = paragraphs.withColumnRenamed("source_id", "paragraph_id")
-    matches = writers.save_table(bind.top_matches(pending, pieces), f"{out}/bindings_last")
-    links = matches
-    if readers.exists(spark, f"{out}/bindings"):  # nodes tried again are bound already
-        links = matches.join(spark.read.parquet(f"{out}/bindings").select("node_id").distinct(), "node_id", "left_anti")
-    links.write.mode("append").parquet(f"{out}/bindings")
-    asked = prompts.enrichment(pending, bind.bound_text(matches, pieces))
+    matches = bind_nodes(spark, nodes, pieces, out)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "paragraph_id"))), lambda m: m["paragraph_id"].cast("string"))
+    linked = matches.groupBy("node_id").agg(F.sha2(F.to_json(ordered), 256).alias("links"))
+    wanted = nodes.join(linked, "node_id", "left").withColumn("links", F.coalesce("links", F.lit("")))
+    done = generations.current(spark, f"{out}/enriched")
+    pending = wanted
+    if done is not None:
+        done = done.join(wanted.select("node_id", "links"), ["node_id", "links"], "left_semi")
+        pending = wanted.join(done.select("node_id"), "node_id", "left_anti")
+    bound = matches.join(pending.select("node_id"), "node_id", "left_semi")
+    asked = prompts.enrichment(pending, bind.bound_text(bound, pieces))
     fresh = writers.save_table(inference.enrich(asked, chat), f"{out}/enriched_last")
     writers.append_enrichment_audit(fresh.filter("processed"), f"{out}/enrichment_audit")
-    fresh.filter("processed").drop("prompt", "error").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    answers = fresh.filter("processed").drop("prompt", "error").join(wanted.select("node_id", "links"), "node_id")
+    return generations.replace(answers if done is None else done.unionByName(answers), f"{out}/enriched")
 
 
 def load_indexes(
@@ -94,7 +116,9 @@ def load_indexes(
 ) -> None:
     """Bring every index up to date: vectors, the index table and its members.
 
-    A chunk is embedded once, however many indexes hold it; chunks with a stored vector are not embedded again.
+    A chunk is embedded once, however many indexes hold it; chunks with a stored vector are not embedded again.  Vectors
+    of chunks that are gone or have another text now go from every index, and what an index of ``indexes`` no longer takes
+    goes from that index.
     """
     wanted = None
     for name, types in indexes.items():
@@ -102,12 +126,24 @@ def load_indexes(
         wanted = rows if wanted is None else wanted.unionByName(rows)
     if wanted is None:
         return
-    path = f"{out}/vectors"
+    path, key = f"{out}/vectors", ["index_name", "chunk_id"]
+    texts = chunked.select("chunk_id", F.sha2("content", 256).alias("digest"))
+    members = generations.current(spark, f"{out}/index_members")
+    if members is None:
+        members = spark.createDataFrame([], "index_name string, chunk_id string")
     new = wanted.select("chunk_id", "content").dropDuplicates(["chunk_id"])
     stored = None
     if readers.exists(spark, path):
+        loaded = generations.current(spark, f"{out}/loaded_texts")
+        same = texts if loaded is None else texts.join(loaded, ["chunk_id", "digest"], "left_semi")
+        here = writers.read_vectors(spark, path).select(*key)
+        changed = here.join(same.select("chunk_id"), "chunk_id", "left_anti")
+        unwanted = here.where(F.col("index_name").isin(*indexes)).join(wanted.select(*key), key, "left_anti")
+        stale = writers.save_table(changed.unionByName(unwanted).distinct(), f"{out}/stale_last")
+        writers.remove_vectors(stale, path)
+        members = members.join(stale, key, "left_anti")
         stored = writers.read_vectors(spark, path)
-        wanted = wanted.join(stored.select("index_name", "chunk_id"), ["index_name", "chunk_id"], "left_anti")
+        wanted = wanted.join(stored.select(*key), key, "left_anti")
         new = new.join(stored.select("chunk_id"), "chunk_id", "left_anti")
     made = embed(new, text="content", out="embedding").select("chunk_id", "embedding")
     made = writers.save_table(made, f"{out}/embedded_last")
@@ -116,25 +152,23 @@ def load_indexes(
         made = made.unionByName(again.select("chunk_id", F.col("embedding").cast(made.schema["embedding"].dataType)))
     loaded = writers.save_table(wanted.drop("content").join(made, "chunk_id"), f"{out}/loaded_last")
     writers.append_vectors(loaded, path)
-    _add_members(spark, chunked, loaded, list(indexes), out)
+    _add_members(spark, chunked, members, list(indexes), out)
+    generations.replace(texts, f"{out}/loaded_texts")
 
 
-def _add_members(spark: SparkSession, chunked: DataFrame, loaded: DataFrame, names: list[str], out: str) -> None:
-    """Record the indexes and the chunks that were loaded into them."""
+def _add_members(spark: SparkSession, chunked: DataFrame, members: DataFrame, names: list[str], out: str) -> None:
+    """Record the indexes and the chunks whose vectors they hold."""
     known = spark.createDataFrame([], "index_name string")
-    members = spark.createDataFrame([], "index_name string, chunk_id string")
     if readers.exists(spark, f"{out}/indexes"):
         known = spark.read.parquet(f"{out}/indexes")
-        members = spark.read.parquet(f"{out}/index_members")
     for name in names:
         vectors.ensure_index(known, name).coalesce(1).write.mode("append").parquet(f"{out}/indexes")
     known = spark.read.parquet(f"{out}/indexes")
-    new = None
+    now = members
     for name in names:
-        ids = loaded.filter(F.col("index_name") == name).select("chunk_id")
-        rows = vectors.add_members(ids, chunked, known, members, name)
-        new = rows if new is None else new.unionByName(rows)
-    new.write.mode("append").parquet(f"{out}/index_members")
+        ids = writers.read_vectors(spark, f"{out}/vectors", name).select("chunk_id")
+        now = now.unionByName(vectors.add_members(ids, chunked, known, members, name))
+    generations.replace(now, f"{out}/index_members")
 
 
 def embed_requests(requests: DataFrame, embed: Embed, path: str | None = None) -> DataFrame:

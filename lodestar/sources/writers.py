@@ -88,6 +88,26 @@ def add_vectors(vectors: DataFrame, path: str) -> None:
     _delete(spark, stage)
 
 
+def remove_vectors(ids: DataFrame, path: str) -> None:
+    """Remove the vectors of ``ids(index_name, chunk_id)``, a stored table; ids that are not there are left alone.
+
+    Only the buckets that hold such an id are written anew, complete on storage before the old files are replaced.
+    """
+    spark, key, part = ids.sparkSession, ["index_name", "chunk_id"], ["index_name", "bucket"]
+    if not exists(spark, path) or ids.isEmpty():
+        return
+    stored = _vector_table(spark, path)
+    touched = stored.join(ids, key, "left_semi").select(*part).distinct()
+    stage = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
+    touched = save_table(touched, f"{stage}/touched")
+    kept = save_table(stored.join(touched, part, "left_semi").join(ids, key, "left_anti"), f"{stage}/kept")
+    emptied = touched.join(kept.select(*part).distinct(), part, "left_anti").collect()  # at most a row per bucket
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*part).parquet(path)
+    for index_name, bucket in emptied:
+        _delete(spark, f"{path.rstrip('/')}/index_name={index_name}/bucket={bucket}")
+    _delete(spark, stage)
+
+
 def _vector_table(spark: SparkSession, path: str) -> DataFrame:
     columns = "chunk_id string, source_id string, embedding array<float>, index_name string, bucket int"
     return spark.read.schema(columns).parquet(path)

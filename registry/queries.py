@@ -341,6 +341,26 @@ def keyword_bind(spark, sf):
     return bind.top_matches(inputs.nodes(spark, sf), inputs.paragraphs(spark, sf))
 
 
+@query
+def incremental_bind(spark, sf):
+    """Bind one half of the documents, then bring the links up to the whole table.
+
+    The first state has the documents of even id, each third of them with another text, copies of all others under
+    negative ids, and half of the nodes; so texts and nodes are added, changed and taken away.
+    """
+    nodes, paragraphs = inputs.nodes(spark, sf), inputs.paragraphs(spark, sf)
+    pid, text = F.col("paragraph_id"), F.col("content")
+    halves = paragraphs.withColumn("even", pid % 2 == 0)
+    before = halves.select(
+        F.when(F.col("even"), pid).otherwise(-1 - pid).alias("paragraph_id"),
+        F.when(F.col("even") & (pid % 3 == 0), F.reverse(text)).otherwise(text).alias("content"),
+    )
+    first = nodes.where(F.crc32("node_id") % 2 == 0)
+    kept = staged(bind.top_matches(first, before))
+    known = staged(bind.state(first, "node_id", "signature")), staged(bind.state(before, "paragraph_id", "content"))
+    return bind.updated_matches(nodes, paragraphs, kept, *known)
+
+
 @query
 def keyword_bind_repeat(spark, sf):
     return bind.top_matches(inputs.nodes(spark, sf), inputs.paragraphs(spark, sf), fill="repeat")

@@ -150,3 +150,31 @@ def test_texts_are_matched_in_one_scan_without_a_sort(spark, sf):
     plan = bind.top_matches(inputs.nodes(spark, sf), inputs.paragraphs(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert not [line for line in plan.splitlines() if "Sort" in line and "content" in line]
+
+
+def test_updated_matches_equal_a_fresh_binding(spark):
+    """Random states: nodes and texts that come, go and change their text, several times over."""
+    rng = random.Random(3)
+    letters = "abc d"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n)).strip() or "a"
+    node_rows = {f"n{i}": f"x.{word(rng.randint(1, 3))}.{word(rng.randint(1, 4))}" for i in range(40)}
+    text_rows = {i: word(rng.randint(1, 12)) for i in range(40)}
+    limit, kept, known = 4, None, None
+    for step in range(3):
+        n = spark.createDataFrame(list(node_rows.items()), "node_id string, signature string")
+        p = spark.createDataFrame(list(text_rows.items()), "paragraph_id long, content string")
+        right = sorted(map(tuple, bind.top_matches(n, p, limit).collect()))
+        if kept is not None:
+            old = spark.createDataFrame(kept, "node_id string, paragraph_id long, pos int, matches_all boolean")
+            got = sorted(map(tuple, bind.updated_matches(n, p, old, *known, limit).collect()))
+            assert got == right
+        kept = right
+        known = [bind.state(n, "node_id", "signature"), bind.state(p, "paragraph_id", "content")]
+        for i in rng.sample(sorted(text_rows), 6):
+            del text_rows[i]
+        for i in rng.sample(sorted(text_rows), 4):
+            text_rows[i] = word(rng.randint(1, 12))
+        text_rows.update({rng.randint(-50, 200): word(rng.randint(1, 12)) for _ in range(8 * step + 1)})
+        del node_rows[rng.choice(sorted(node_rows))]
+        node_rows[f"m{step}"] = f"x.{word(1)}.{word(2)}"
+        node_rows[rng.choice(sorted(node_rows))] = f"x.{word(2)}.{word(1)}"

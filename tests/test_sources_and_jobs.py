@@ -94,7 +94,49 @@ def test_equal_file_names_stay_apart(spark, tmp_path):
     assert rejects == {"scan.pdf": "encoded PDF"}
     (tmp_path / "src" / "a" / "p" / "App.java").write_text(code.format(2))
     changed = ids(build())
-    assert changed["nodes"] == (2, 2) and changed["enriched"] == (3, 3) and changed["bindings"][1] == 3
+    assert changed["nodes"] == changed["enriched"] == (2, 2) and changed["bindings"][1] == 2
+
+
+def test_a_rerun_equals_a_fresh_build(spark, tmp_path):
+    """After an edit, an addition and a deletion: all tables as built anew, model calls for new texts only."""
+    src, docs = tmp_path / "src", tmp_path / "docs"
+    src.mkdir()
+    docs.mkdir()
+    for name in ("Foo", "Bar", "Old"):
+        (src / f"{name}.java").write_text(f"package a.util;\nclass {name} {{ }}\n")
+    (docs / "guide.adoc").write_text("= Guide\n\n== Use\n\nFoo is in util.\n\n== Gone\n\nBar lives here\n")
+    (docs / "more.adoc").write_text("= More\n\n== Only\n\nnothing of the kind\n")
+
+    def chat(texts):
+        return [json.dumps({"description": f"{len(t)} long", "usage": t[-40:], "relationship": "r"}) for t in texts]
+
+    def build(out):
+        return jobs.build_corpus(
+            spark, str(src), [str(docs)], str(tmp_path / out), chat, embed,
+            {"full": ("CODE", "ENRICHMENT", "DOCUMENT"), "plain": ("CODE", "DOCUMENT")},
+        )
+
+    build("out")
+    (docs / "guide.adoc").write_text("= Guide\n\n== Use\n\nFoo was in util.\n\n== New\n\nBar and Foo in util\n")
+    (docs / "late.adoc").write_text("= Late\n\n== Late\n\nutil again, and Late\n")
+    (src / "Old.java").unlink()
+    (src / "Late.java").write_text("package a.late;\nclass Late { }\n")
+    again, fresh = build("out"), build("fresh")
+    # vectors are stored in single precision
+    rows = lambda t: sorted(str(r) for r in t.select(sorted(t.columns)).collect())
+    for name in fresh:
+        assert rows(again[name]) == rows(fresh[name]), name
+    chunks = {r.chunk_id for r in again["chunks"].collect()}
+    assert {r.chunk_id for r in again["vectors"].collect()} == chunks
+    asked = {r.node_id for r in spark.read.parquet(f"{tmp_path}/out/enriched_last").collect()}
+    assert len(asked) == 3 and spark.read.parquet(f"{tmp_path}/out/embedded_last").count() < len(chunks)
+    before = again["vectors"].count()
+    (docs / "more.adoc").unlink()
+    third = build("out")
+    assert spark.read.parquet(f"{tmp_path}/out/enriched_last").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/out/embedded_last").count() == 0
+    assert third["vectors"].count() == before - 2  # its one paragraph was in both indexes
+    assert third["index_members"].count() == third["vectors"].count()
 
 
 def test_judge_and_pull_request_jobs(spark, tmp_path):
