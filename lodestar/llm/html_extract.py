@@ -59,6 +59,13 @@ _TOKEN = re.compile(
 )
 _CLASS = re.compile(r"""\b(class|id|role|itemprop|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
+_START = re.compile(r"<(?=[!?/a-zA-Z])")
+
+#: Levels of a tree.  Of deeper elements only the first that marks content and the first that marks noise count, as
+#: children of the deepest level; their text stays, so pages of any depth are read without deep recursion.
+DEEPEST = 128
+#: After so many tags that never end, what follows them on a page is text; each costs a look at the rest of the page.
+UNENDED = 64
 #: Partial templates that one task aligns.
 FAN_IN = 64
 #: A constant node is template if so many pages have it.
@@ -163,6 +170,18 @@ def label_of(tag: str, attributes: str) -> str:
     return " ".join([tag, *marks])
 
 
+def shallow(path: list[str]) -> tuple[str, ...]:
+    """A path of at most ``DEEPEST`` levels and two more."""
+    kept = path[:DEEPEST]
+    deeper = path[DEEPEST:]
+    if deeper:
+        content = next((k for k, label in enumerate(deeper) if is_content(label)), len(deeper))
+        inside = any(map(is_content, kept))
+        noise = next((k for k, label in enumerate(deeper) if is_noise(label, inside or k > content)), len(deeper))
+        kept = kept + [deeper[k] for k in sorted({content, noise} - {len(deeper)})]
+    return tuple(kept)
+
+
 def blocks_of(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
     """Text blocks in page order: the labels from the root down, the text, and how much of it stands in links."""
     path: list[str] = []  # labels of the open block elements
@@ -175,7 +194,7 @@ def blocks_of(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         found = " ".join(html.unescape("".join(text)).split())
         text.clear()
         n, links = links, 0
-        return (tuple(path), found, min(n, len(found))) if found else None
+        return (shallow(path), found, min(n, len(found))) if found else None
 
     def close(n: int):
         nonlocal linked
@@ -185,9 +204,20 @@ def blocks_of(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             linked -= tag == "a"
         del tags[n:]
 
-    at, size = 0, len(page)
+    at, size, unended = 0, len(page), 0
+
+    def token(begin: int):
+        """The next tag or comment from ``begin`` on."""
+        nonlocal unended
+        while unended < UNENDED and (start := _START.search(page, begin)):
+            if m := _TOKEN.match(page, start.start()):
+                return m
+            unended += start.end() < size and page[start.end()] != "/"  # "</" before no letter costs nothing
+            begin = start.end()
+        return None
+
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = token(at)
         piece = page[at : m.start() if m else size]
         if piece:
             text.append(piece)

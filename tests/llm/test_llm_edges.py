@@ -1,6 +1,7 @@
 """Nulls, blanks, very long texts, repeated rows, rows without id, clashing columns and empty tables."""
 
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -254,3 +255,24 @@ def test_pages(spark):
     right = [(k, text(k), 16) for k in range(4)] + [(0, text(1), 16), (9, "", 0), (10, "", 0), (11, "bare words", 10)]
     assert found == sorted(right + [(12, text(1), 16)] * 4)
     assert html_extract.main_texts(table.limit(0)).count() == 0
+
+
+def test_deep_and_hostile_pages(spark):
+    """Thousands of nested elements, tags that never end, quotes without end: read whole, and in time."""
+    deep = lambda n, inner: "<div>" * n + inner + "</div>" * n
+    pages = [
+        "<body>" + deep(10_000, "<p>deep text</p>") + "</body>",
+        "<body>" + deep(600, "<article><p>kept</p><div class=sidebar>gone</div></article>") + "<p>not in the article</p></body>",
+        "<body>" + deep(600, "<nav>menu</nav><p>kept</p>") + "</body>",
+        "<body><p>first</p>" + '<a "' * 250_000,
+        "<body><p>first</p>" + "<p>" * 100_000 + "last",
+        "<body><p>a < b, 1 <2 and </ c</p>" + "</" * 100_000 + "<p>end</p>",
+        "<body><p>x</p><!--" + "<a '" * 250_000,
+    ]
+    rows = [(k, f"http://deep.example/{k % 2}", page) for k, page in enumerate(pages)] * 2
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    start = time.monotonic()
+    found = {r.page_id: r.text for r in html_extract.main_texts(table).collect()}
+    assert time.monotonic() - start < 60
+    assert (found[0], found[1], found[2]) == ("deep text", "kept", "kept")
+    assert found[3].startswith("first") and found[4].endswith("last") and found[5].endswith("end") and found[6] == "x"
