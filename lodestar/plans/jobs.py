@@ -108,7 +108,7 @@ def enrich_nodes(spark: SparkSession, nodes: DataFrame, paragraphs: DataFrame, o
     fresh = writers.save_table(inference.enrich(asked, chat), f"{out}/enriched_last")
     writers.append_enrichment_audit(fresh.filter("processed"), f"{out}/enrichment_audit")
     answers = fresh.filter("processed").drop("prompt", "error").join(wanted.select("node_id", "links"), "node_id")
-    return generations.replace(answers if done is None else done.unionByName(answers), f"{out}/enriched")
+    return generations.replace(answers if done is None else answers.unionByName(done), f"{out}/enriched")
 
 
 def load_indexes(
