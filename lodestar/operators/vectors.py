@@ -74,12 +74,12 @@ def _scan(asked: pa.Table, v: DataFrame, k: int, schema: str, sampled: bool) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_rows, q_ids, floor = shipped.value
         best = _BestK(floor, k)
-        names = []
+        fields = []
         for batch in batches:
-            names = batch.schema.names[1:]
+            fields = [batch.schema.field(i) for i in range(1, batch.num_columns)]
             best.offer_all(q_rows, *_unit_rows(batch.column(0), batch.columns[1:]))
         if best.parts:
-            yield from best.table(q_ids, names).to_batches(max_chunksize=100_000)
+            yield from best.table(q_ids, fields).to_batches(max_chunksize=100_000)
 
     return v.mapInArrow(scan, schema)
 
@@ -94,7 +94,7 @@ def _bounds(rows: np.ndarray, v: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             best.offer_all(shipped.value, *_unit_rows(batch.column(0), [batch.column(1)]))
         if best.parts:
-            table = best.table(pa.array(np.arange(len(shipped.value))), ["chunk_id"])
+            table = best.table(pa.array(np.arange(len(shipped.value))), [batch.schema.field(1)])
             yield from table.select(["query_id", "score"]).to_batches(max_chunksize=100_000)
 
     hits = sample.select("embedding", "chunk_id").mapInArrow(scan, "query_id long, score double")
@@ -122,7 +122,9 @@ def _unit_rows(vecs, tags: list) -> tuple[np.ndarray, list[np.ndarray]]:
     columns = []
     for tag in tags:
         kept = pa.chunked_array([tag]) if isinstance(tag, pa.Array) else tag
-        columns.append((kept if keep is None else kept.filter(keep)).to_numpy())
+        kept = kept if keep is None else kept.filter(keep)
+        # numpy has no null numbers: columns with nulls stay Python objects
+        columns.append(np.array(kept.to_pylist(), object) if kept.null_count else kept.to_numpy())
     vecs = vecs if keep is None else vecs.filter(keep)
     flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(np.unique(vecs.value_lengths().to_numpy(zero_copy_only=False))) > 1:
@@ -173,10 +175,10 @@ class _BestK:
         self.held = len(order)
         return self.parts[0]
 
-    def table(self, q_ids: pa.Array, names: list[str]) -> pa.Table:
+    def table(self, q_ids: pa.Array, fields: list[pa.Field]) -> pa.Table:
         qi, score, *tags = self._compact()
         columns = {"query_id": q_ids.take(pa.array(qi))}
-        columns.update((name, pa.array(tag)) for name, tag in zip(names, tags))
+        columns.update((f.name, pa.array(tag, f.type)) for f, tag in zip(fields, tags))
         return pa.table({**columns, "score": pa.array(score)})
 
 

@@ -169,3 +169,14 @@ def test_emitted_hits_do_not_grow_with_the_tasks(spark):
         emitted[tasks] = [vectors._scan(asked, rows, k, schema, sampled).count() for sampled in (False, True)]
     assert emitted[40][0] == 20 * 40 * k
     assert emitted[4][1] <= emitted[40][1] < 20 * k * vectors.SAMPLE_SHARE * 2
+
+
+@pytest.mark.parametrize("sampled_from", [1, 100])
+def test_search_with_missing_sources(spark, sampled_from):
+    big = 2**62 + 1  # more than a double can hold
+    rows = [(big + i, None if i % 3 else big, [1.0, float(i)]) for i in range(9)]
+    for some in (rows, [(i, None, v) for i, _, v in rows]):
+        table = spark.createDataFrame(some, "chunk_id long, source_id long, embedding array<double>").repartition(3)
+        asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+        found = vectors.knn(asked, table, 4, sampled_from=sampled_from).orderBy("rank").collect()
+        assert [(r.chunk_id, r.source_id) for r in found] == [r[:2] for r in some[:4]]
