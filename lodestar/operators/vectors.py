@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import normalize as _normalize
-# Bytes of queries and winners that a task holds at most; more queries go in several batches.
+# Bytes of queries and winners that a task holds at most; more queries are met cell by cell.
 MAX_SHIPPED_BYTES = 256 << 20
 WINNER_BYTES = 40
 # Tables of more partitions than this are sampled first for the scores to beat.
@@ -43,12 +43,15 @@ def knn(
     by cosine (ten digits) and then by chunk id; the score is shown with six digits.  A ``source_id`` kept with the
     vectors comes along, which spares the later roll-up a join with the chunk table.
 
-    Queries travel to the tasks in batches of bounded bytes (or of ``max_shipped`` rows); the vectors of a batch are
+    Queries of at most ``MAX_SHIPPED_BYTES`` (or ``max_shipped`` rows) travel to the tasks in one batch; the vectors are
     scanned in place and never shuffled.  A table of more than ``sampled_from`` partitions is sampled first: the k-th
     best score of the sample is a lower bound of the k-th best of all, and tasks emit only hits at or above it.  What is
     shuffled is then about ``SAMPLE_SHARE`` times k rows per query, however many tasks there are.
-    ``queries`` should be a stored table: it is read here batch by batch.
+    More queries never pass the driver: they meet the vectors cell by cell, see ``cells``.
+    ``queries`` should be a stored table, since it is counted first.
     """
+    from lodestar.operators import cells  # built on the block search of this module
+
     q = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     tags = [c for c in ("chunk_id", "source_id") if c in vectors.columns]
     v = vectors.select("embedding", *tags)
@@ -56,13 +59,13 @@ def knn(
     schema = ", ".join(f"{name} {field.dataType.simpleString()}" for name, field in types) + ", score double"
     n, width = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
     shipped = max_shipped or max(1, MAX_SHIPPED_BYTES // (8 * max(width or 1, 1) + WINNER_BYTES * k))
-    batches = max(1, -(-n // shipped))
-    sampled = v.rdd.getNumPartitions() > sampled_from
-    found = None
-    for i in range(batches):
-        part = q if batches == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(batches)) == i)
-        rows = _scan(part.toArrow(), v, k, schema, sampled)
-        found = rows if found is None else found.unionByName(rows)
+    if n > shipped:
+        # single precision takes half the shuffle where both sides have it
+        alike = queries.schema["embedding"].dataType == v.schema["embedding"].dataType
+        asked = queries.select("query_id", "embedding") if alike else q
+        found = cells.search(asked, v if alike else v.withColumn("embedding", F.col("embedding").cast("array<double>")), k, schema)
+    else:
+        found = _scan(q.toArrow(), v, k, schema, v.rdd.getNumPartitions() > sampled_from)
     return _best(found, k).withColumn("score", F.round("score", SHOWN_DIGITS))
 
 
