@@ -192,10 +192,11 @@ def _meet(placed: DataFrame, asked: DataFrame, directory: Directory, k: int, sch
     visits = asked.select("query_id", "embedding", "floor", F.explode("blocks").alias("block"), F.lit(True).alias("asks"))
     both = placed.withColumn("asks", F.lit(False)).unionByName(visits, allowMissingColumns=True)
     tags = [c for c in placed.columns if c not in ("embedding", "block")]
+    tasks = min(directory.blocks, MAX_TASKS)
+    # Blocks are dealt by their number, since hashes of so few put several into one task.
+    dealt = both.select("block", "asks", "query_id", "floor", "embedding", *tags).repartitionById(tasks, F.col("block") % tasks)
     # Vectors of a block come before the queries.
-    stream = both.select("block", "asks", "query_id", "floor", "embedding", *tags).repartition(
-        min(3 * directory.blocks, MAX_TASKS), "block"
-    ).sortWithinPartitions("block", "asks")
+    stream = dealt.sortWithinPartitions("block", "asks")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
