@@ -7,7 +7,8 @@ all matches if they fit, otherwise those holding both keywords first.
 Paragraph texts are read once, in place.  Each task walks its texts with one automaton over
 all distinct keywords and keeps, per keyword and per keyword pair, only the ``limit + 1``
 smallest paragraph ids; what is shuffled is that short list, never a text and never the
-full set of matches.  That is enough to rebuild the exact answer.
+full set of matches.  That is enough to rebuild the exact answer.  Keywords that are too many
+to ship are joined with the texts by their rarest grams, see ``grams``.
 """
 
 from __future__ import annotations
@@ -21,14 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestar.plans.grid import blocks_for, paired_blocks
+from lodestar.operators.grams import rare_gram_matches
 from lodestar.plans.staging import staged
 
 PARAGRAPHS_PER_NODE = 10  # fixed value
-# Keyword characters shipped to every task at most; beyond that, the block grid.
+# Keyword characters shipped to every task at most; beyond that, the join on rare grams.
 MAX_SHIPPED_CHARS = 2_000_000
-# Paragraph characters of one grid block.
-GRID_CHARS = 64_000_000
 
 
 def keywords(nodes: DataFrame) -> DataFrame:
@@ -48,7 +47,6 @@ def top_matches(
     limit: int = PARAGRAPHS_PER_NODE,
     fill: str = "distinct",
     max_shipped: int = MAX_SHIPPED_CHARS,
-    grid_chars: int = GRID_CHARS,
 ) -> DataFrame:
     """``nodes(node_id, signature)`` x ``paragraphs(paragraph_id, content)`` ->
     (node_id, paragraph_id, pos, matches_all), paragraphs in id order.
@@ -61,7 +59,7 @@ def top_matches(
         "node_id", F.lower("class_name").alias("a"), F.lower("package_name").alias("b")
     )
     pairs = keyed.select("a", "b").distinct()
-    first = _first_matches(pairs, paragraphs, limit, max_shipped, grid_chars)
+    first = _first_matches(pairs, paragraphs, limit, max_shipped)
     chosen = _choose(pairs, first, limit, fill)
     return keyed.join(chosen, ["a", "b"]).select("node_id", "paragraph_id", "pos", "matches_all")
 
@@ -135,7 +133,7 @@ def bound_text(matches: DataFrame, paragraphs: DataFrame) -> DataFrame:
     )
 
 
-def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_shipped: int, grid_chars: int) -> DataFrame:
+def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_shipped: int) -> DataFrame:
     """The smallest ``limit + 1`` paragraph ids per keyword (b null) and per pair."""
     texts = paragraphs.select("paragraph_id", F.lower("content").alias("content"))
     schema = f"a string, b string, paragraph_id {texts.schema['paragraph_id'].dataType.simpleString()}"
@@ -152,68 +150,94 @@ def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_ship
 
         found = texts.mapInArrow(scan, schema)
     else:
-
-        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-            matcher = _Matcher(right.column("a").to_pylist(), right.column("b").to_pylist(), keep)
-            matcher.read(left.column("paragraph_id").to_pylist(), left.column("content").to_pylist())
-            return matcher.table()
-
-        chars = texts.agg(F.sum(F.length("content"))).first()[0] or 0
-        found = paired_blocks(
-            texts,
-            pairs.withColumn("pair", F.concat_ws("\x1f", "a", "b")),
-            "paragraph_id",
-            "pair",
-            blocks_for(chars, grid_chars),
-            blocks_for(size, max_shipped),
-            pair,
-            schema,
-        ).distinct()
+        found = rare_gram_matches(pairs, texts)
+        every = texts.where("content IS NOT NULL").select("paragraph_id").orderBy("paragraph_id").limit(keep)
+        blank = F.explode(F.array(F.lit(None).cast("string"), F.lit("")))  # in every text, so its first ids are the first
+        found = found.unionByName(every.select(F.lit("").alias("a"), blank.alias("b"), "paragraph_id"))
     w = W.partitionBy("a", "b").orderBy("paragraph_id")
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep).drop("_r")
 
 
 class _Matcher:
-    """Keywords found in lower-cased texts; per keyword and per pair the ``keep`` smallest ids."""
+    """Keywords found in lower-cased texts; per keyword and per pair the ``keep`` smallest ids.
+
+    Texts of a batch are read by ascending id, so a key that is full takes nothing more of the batch.  The automaton then
+    has only words with an open key: each open pair needs one of its words there, the other is looked up when that is found.
+    """
 
     def __init__(self, firsts: list[str], seconds: list[str], keep: int):
         self.keep = keep
-        self.words = set(firsts) | set(seconds)
-        self.partners: dict[str, set[str]] = {}
-        for a, b in zip(firsts, seconds):
-            self.partners.setdefault(a, set()).add(b)
-        self.always = {""} & self.words
+        self.words = sorted(set(firsts) | set(seconds))
+        number = {word: i for i, word in enumerate(self.words)}
+        self.alone: list[list] = [[] for _ in self.words]
+        self.both: dict[tuple[int, int], list] = {
+            pair: [] for pair in sorted({(number[a], number[b]) for a, b in zip(firsts, seconds)})
+        }
+        self.always = {number[""]} if "" in number else set()
+        self.watched: set[int] = set()
+
+    def read(self, ids: list, texts: list[str | None], at_once: int = 1000) -> None:
+        order = sorted((i for i in range(len(ids)) if texts[i] is not None), key=ids.__getitem__)
+        for start in range(0, len(order), at_once):
+            self._scan(ids, texts, order[start : start + at_once])
+
+    def _scan(self, ids: list, texts: list[str], order: list[int]) -> None:
+        smallest = ids[order[0]]
+        alone = {w for w, held in enumerate(self.alone) if self._takes(held, smallest)}
+        needed, partners = set(alone), {}
+        for (a, b), held in self.both.items():
+            if self._takes(held, smallest):
+                longer = max(a, b, key=lambda w: len(self.words[w]))
+                lead = a if a in alone else b if b in alone else longer
+                needed.add(lead)
+                partners.setdefault(lead, []).append((b if lead == a else a, held))
+        self._watch(needed - self.always)
+        for i in order:
+            pid, text = ids[i], texts[i]
+            words = self._words_in(text)
+            for w in words & alone:
+                if not self._offer(self.alone[w], pid):
+                    alone.discard(w)
+            for lead in words & partners.keys():
+                open_keys = [
+                    (other, held)
+                    for other, held in partners[lead]
+                    if not (other in words or self.words[other] in text) or self._offer(held, pid)
+                ]
+                if open_keys:
+                    partners[lead] = open_keys
+                else:
+                    del partners[lead]
+
+    def _watch(self, needed: set[int]) -> None:
+        """Keep the automaton while it has all needed words and not many others."""
+        if needed <= self.watched and len(needed) > 0.7 * len(self.watched):
+            return
+        self.watched = needed
         self.automaton = ahocorasick.Automaton()
-        for word in self.words - self.always:
-            self.automaton.add_word(word, word)
-        if len(self.automaton):
+        for w in needed:
+            self.automaton.add_word(self.words[w], w)
+        if needed:
             self.automaton.make_automaton()
-        self.found: dict[tuple[str, str | None], list] = {}
 
-    def read(self, ids: list, texts: list[str | None]) -> None:
-        for pid, text in zip(ids, texts):
-            if text is None:
-                continue
-            words = self._words_in(text)
-            for word in words:
-                self._offer((word, None), pid)
-                for other in self.partners.get(word, set()) & words:
-                    self._offer((word, other), pid)
-
-    def _words_in(self, text: str) -> set[str]:
-        found = {word for _, word in self.automaton.iter(text)} if len(self.automaton) else set()
-        return found | self.always
-
-    def _offer(self, key: tuple[str, str | None], pid) -> None:
-        ids = self.found.setdefault(key, [])
-        if len(ids) < self.keep:
-            insort(ids, pid)
-        elif pid < ids[-1]:
-            ids.pop()
-            insort(ids, pid)
+    def _words_in(self, text: str) -> set[int]:
+        return {w for _, w in self.automaton.iter(text)} | self.always if self.watched else set(self.always)
+
+    def _takes(self, held: list, pid) -> bool:
+        return len(held) < self.keep or pid < held[-1]
+
+    def _offer(self, held: list, pid) -> bool:
+        """Take ``pid`` if it is among the smallest; whether a larger one may still be taken."""
+        if not self._takes(held, pid):
+            return False
+        if len(held) == self.keep:
+            held.pop()
+        insort(held, pid)
+        return self._takes(held, pid)
 
     def table(self) -> pa.Table:
-        rows = [(a, b, pid) for (a, b), ids in self.found.items() for pid in ids]
+        rows = [(self.words[w], None, pid) for w, held in enumerate(self.alone) for pid in held]
+        rows += [(self.words[a], self.words[b], pid) for (a, b), held in self.both.items() for pid in held]
         a, b, ids = zip(*rows) if rows else ((), (), ())
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "paragraph_id": pa.array(ids)})
 

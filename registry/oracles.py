@@ -280,6 +280,7 @@ CHOSEN = """chosen AS (SELECT a, b, doc_id, matches_all, pos FROM (
   WHERE pos < 10)"""
 BOUND = f"{NODES}, {CHOSEN}"
 ORACLES["keyword_bind"] = f"WITH {BOUND} SELECT node_id, doc_id AS paragraph_id, pos, matches_all FROM nodes JOIN chosen USING (a, b)"
+ORACLES["keyword_bind_grams"] = ORACLES["keyword_bind"]  # another way to the same rows
 ORACLES["incremental_bind"] = ORACLES["keyword_bind"]  # an update gives what a fresh binding gives
 ORACLES["keyword_bind_repeat"] = f"""WITH {NODES}, taken AS (
   SELECT a, b, doc_id, matches_all, 0 AS tier FROM n WHERE fits OR matches_all

@@ -361,6 +361,12 @@ def incremental_bind(spark, sf):
     return bind.updated_matches(nodes, paragraphs, kept, *known)
 
 
+@query
+def keyword_bind_grams(spark, sf):
+    """The binding as with more keywords than are shipped to the tasks."""
+    return bind.top_matches(inputs.nodes(spark, sf), inputs.paragraphs(spark, sf), max_shipped=0)
+
+
 @query
 def keyword_bind_repeat(spark, sf):
     return bind.top_matches(inputs.nodes(spark, sf), inputs.paragraphs(spark, sf), fill="repeat")

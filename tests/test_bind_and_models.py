@@ -55,7 +55,7 @@ def brute(nodes, texts, limit):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_shipped": 60, "grid_chars": 400}])
+@pytest.mark.parametrize("limits", [{}, {"max_shipped": 60}])
 def test_binding_equals_brute_force(spark, limits):
     rng = random.Random(5)
     letters = "abc d"
@@ -65,6 +65,40 @@ def test_binding_equals_brute_force(spark, limits):
     assert bound(spark, nodes, texts, 4, **limits) == brute(nodes, texts, 4)
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_shipped": 0}])
+def test_binding_of_odd_words_equals_brute_force(spark, limits):
+    rng = random.Random(11)
+    parts = ["builder", "factory", "größe", "\U0001f600", "服务", "a", "zz\0", "util"]
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 3)))
+    nodes = [(f"n{i}", f"x.{word()}.{word()}") for i in range(80)] + [("e", ".util"), ("f", "x.util."), ("g", ".")]
+    texts = [(i, rng.choice(["", " ", word(), word().upper() + word(), " ".join(word() for _ in range(40))])) for i in range(150)]
+    rng.shuffle(texts)
+    assert bound(spark, nodes, texts + [(900, None)], 4, **limits) == brute(nodes, texts, 4)
+
+
+def test_runs_of_texts_longer_than_a_chunk(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lodestar.operators import grams
+
+    monkeypatch.setattr(grams, "CHUNK", 5)
+    texts = ["", "abcdefghijklm", "xy", "", "nopqrstuvwxyz012"]
+    got = sorted((int(r), int(v).to_bytes(8, "little")) for rows, runs in grams._runs(pa.array(texts), {3, 8}) for r, v in zip(rows, runs.view("u8")))
+    want = sorted((i, t[k : k + n].encode().ljust(8, b"\0")) for i, t in enumerate(texts) for n in (3, 8) for k in range(len(t) - n + 1))
+    assert got == want
+
+
+def test_matcher_reopens_settled_words():
+    seen = bind._Matcher(["a", "bb", ""], ["bb", "", ""], 2)
+    texts = {5: "a bb", 6: "a bb", 7: "bb a", 1: "bb", 2: "a bb", 3: None}
+    for ids in ([6, 5], [7, 1], [3, 2]):
+        seen.read(ids, [texts[i] for i in ids], at_once=1)
+    rows = {}
+    for r in seen.table().to_pylist():
+        rows.setdefault((r["a"], r["b"]), []).append(r["paragraph_id"])
+    assert rows == {("a", None): [2, 5], ("bb", None): [1, 2], ("", None): [1, 2], ("a", "bb"): [2, 5], ("bb", ""): [1, 2], ("", ""): [1, 2]}
+
+
 def test_hot_keyword_keeps_the_first_paragraphs(spark):
     texts = [(i, "builder text") for i in range(3000)]
     assert bound(spark, [("n", "a.util.Builder")], texts, 10) == {"n": list(range(10))}
