@@ -87,15 +87,17 @@ def updated_matches(
     """
     now_n, now_p = state(nodes, "node_id", "signature"), state(paragraphs, "paragraph_id", "content")
     same_n = now_n.join(known_nodes, ["node_id", "digest"], "left_semi").select("node_id")
-    same_p = staged(now_p.join(known_paragraphs, ["paragraph_id", "digest"], "left_semi").select("paragraph_id"))
-    there = same_p.withColumn("held", F.lit(True))
-    held = staged(kept.join(there, "paragraph_id", "left"))
+    told = now_p.join(known_paragraphs.withColumn("held", F.lit(True)), ["paragraph_id", "digest"], "left")
+    told = staged(told.select("paragraph_id", "held"))
+    # texts meet the ids of new ones, few in a usual update, and not those of all others
+    new_p = told.where("held IS NULL").select("paragraph_id")
+    held = staged(kept.join(told.where("held"), "paragraph_id", "left"))
     short = held.groupBy("node_id").agg(F.count(F.lit(1)).alias("n"), F.count("held").alias("n_held"))
     short = short.where((F.col("n") >= limit) & (F.col("n_held") < F.col("n")))
     settled = staged(same_n.join(short, "node_id", "left_anti"))
     anew = top_matches(nodes.join(settled, "node_id", "left_anti"), paragraphs, limit, max_shipped=max_shipped)
     more = top_matches(
-        nodes.join(settled, "node_id", "left_semi"), paragraphs.join(same_p, "paragraph_id", "left_anti"), limit, max_shipped=max_shipped
+        nodes.join(settled, "node_id", "left_semi"), paragraphs.join(new_p, "paragraph_id", "left_semi"), limit, max_shipped=max_shipped
     )
     old = held.where("held").drop("held").join(settled, "node_id", "left_semi").withColumn("_new", F.lit(False))
     return _merged(old.unionByName(more.withColumn("_new", F.lit(True))), limit).unionByName(anew)
