@@ -174,13 +174,13 @@ def pair_ids(results: DataFrame) -> DataFrame:
     return number_rows(results, "result_no", "pair_id")
 
 
-_WITH_NULLS = {"ignoreNullFields": "false"}
+WITH_NULLS = {"ignoreNullFields": "false"}
 
 
 def _json_list(order: str, *fields: Column) -> Column:
     """JSON array, in ``order``, of the fields collected in a group; missing values are written as null."""
     collected = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*fields).alias("_v"))))
-    return F.to_json(F.transform(collected, lambda x: x["_v"]), _WITH_NULLS)
+    return F.to_json(F.transform(collected, lambda x: x["_v"]), WITH_NULLS)
 
 
 def answer_judge_prompts(numbered: DataFrame, project: str, per_prompt: int | None = None) -> DataFrame:
@@ -204,7 +204,7 @@ def description_judge_prompts(numbered: DataFrame, project: str) -> DataFrame:
     prompt = fill(
         DESCRIPTION_JUDGE,
         project=project,
-        pull_request=F.to_json("pr", _WITH_NULLS),
+        pull_request=F.to_json("pr", WITH_NULLS),
         generated_descriptions=F.col("descriptions"),
     )
     return grouped.select("pr_id", prompt.alias("prompt"))

@@ -476,6 +476,31 @@ _DESCRIBED = """to_json(list({'pair_id': pair_id, 'description': text} ORDER BY
 _PR_JSON = """'{"id":"' || pr_id || '","title":"title ' || pr_id || '","description":"d","hunks":[{"filepath":"f","content":"+x"}]}'"""
 ORACLES["judge_prompts_descriptions"] = f"""WITH {NUMBERED}, b AS (SELECT source AS pr_id, {_DESCRIBED} AS ds FROM numbered GROUP BY source)
 SELECT pr_id, {_fill(evaluate.DESCRIPTION_JUDGE, project="'the project'", pull_request=_PR_JSON, generated_descriptions='ds')} AS prompt FROM b"""
+def _fragments(sets: str, item: str, head: str, tail: str) -> str:
+    """The placed fragments of each set: head, items from 1 on, tail; ``sets`` is a column list, or empty for one set."""
+    by = f"PARTITION BY {sets}" if sets else ""
+    key, using = (f"{sets} AS pr_id, ", f"USING ({sets})") if sets else ("", "ON true")
+    cols = f"{sets}, " if sets else ""
+    return f"""items AS (SELECT {cols}pair_id, {item} AS item FROM numbered),
+placed AS (SELECT {cols}item, row_number() OVER ({by} ORDER BY pair_id) AS part,
+  coalesce(sum(length(item) + 1) OVER ({by} ORDER BY pair_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM items),
+whole AS (SELECT {cols}max(part) AS n, sum(length(item) + 1) AS size FROM placed {"GROUP BY " + sets if sets else "HAVING count(*) > 0"}),
+heads AS (SELECT *, {head} AS head FROM whole)
+SELECT {key}0::BIGINT AS part, 0::BIGINT AS start, head AS fragment FROM heads
+UNION ALL SELECT {key}part, CAST(length(head) + before AS BIGINT), CASE WHEN part = 1 THEN '[' ELSE ',' END || item FROM placed JOIN heads {using}
+UNION ALL SELECT {key}n + 1, CAST(length(head) + size AS BIGINT), ']' || {tail} FROM heads"""
+
+
+_HEAD, _TAIL = (_fill(t, project="'the project'") for t in evaluate.ANSWER_JUDGE.split("<qa_pair>"))
+_ANSWER = """to_json({'pair_id': pair_id, 'question': 'about ' || source, 'answer': text})::VARCHAR"""
+ORACLES["judge_fragments_answers"] = f"WITH {NUMBERED}, " + _fragments("", _ANSWER, _HEAD, _TAIL)
+_BEFORE, _AFTER = evaluate.DESCRIPTION_JUDGE.split("<generated_descriptions>")
+ORACLES["judge_fragments_descriptions"] = f"WITH {NUMBERED}, " + _fragments(
+    "source",
+    "to_json({'pair_id': pair_id, 'description': text})::VARCHAR",
+    _fill(_BEFORE, project="'the project'", pull_request=_PR_JSON.replace("pr_id", "source")),
+    _fill(_AFTER, project="'the project'"),
+)
 JUDGED = """judged AS (SELECT 'replies-' || doc_id % 2 AS file, quality, toxic, doc_id AS pair_id, 1 + quality * 3 + toxic AS score,
   last_value(CASE WHEN doc_id % 5 = 0 THEN 'judge ' || doc_id % 3 END IGNORE NULLS) OVER (PARTITION BY doc_id % 2 ORDER BY doc_id) AS judge
   FROM labels), kept AS (SELECT * FROM judged WHERE NOT (quality = 0 AND toxic = 1))"""

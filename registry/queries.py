@@ -15,6 +15,7 @@ from lodestar.operators import (
     chunking,
     evaluate,
     extract,
+    fragments,
     fusion,
     inference,
     prompts,
@@ -604,6 +605,16 @@ def judge_prompts_answers(spark, sf):
     return evaluate.answer_judge_prompts(evaluate.pair_ids(inputs.answered(spark, sf)), "the project")
 
 
+@query
+def judge_fragments_answers(spark, sf):
+    return fragments.answer_fragments(evaluate.pair_ids(inputs.answered(spark, sf)), "the project")
+
+
+@query
+def judge_fragments_descriptions(spark, sf):
+    return fragments.description_fragments(evaluate.pair_ids(inputs.answered(spark, sf)), "the project")
+
+
 @query
 def judge_prompts_batches(spark, sf):
     """For models that cannot take all pairs at once."""

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import evaluate, prompts, telemetry, vectors
+from lodestar.operators import evaluate, fragments, prompts, telemetry, vectors
 from lodestar.plans.ordering import carry_forward, number_rows
 
 RESULT = "task string, `group` string, item_id string, result_no int, documents array<struct<source_name:string,similarity_score:double>>"
@@ -138,3 +138,27 @@ def test_judge_prompts_hold_all_pairs_and_nulls(spark):
 )
 def test_templates_are_pinned(template, length, digest):
     assert (len(template), hashlib.sha256(template.encode()).hexdigest()[:16]) == (length, digest)
+
+
+def test_fragments_are_the_prompts(spark, tmp_path):
+    pr = "struct<id:string,title:string>"
+    rows = [(i * 3, f"q{i}", None if i % 4 == 0 else 'a "\n\U0001f600' * i, ("hot" if i % 3 else "cold", f"t{i}")) for i in range(40)]
+    rows.append((500, "", "", (None, "x")))
+    numbered = spark.createDataFrame(rows, f"pair_id long, query string, response string, pr {pr}").repartition(3)
+    whole = evaluate.answer_judge_prompts(numbered, "<p>").first().prompt
+    placed = fragments.answer_fragments(numbered, "<p>", block=7)
+    assert "".join(fragments.prompt(placed)) == whole
+    assert all(whole.startswith(r.fragment, r.start) for r in placed.collect())
+    of_sets = fragments.description_fragments(numbered, "<p>", block=7)
+    fragments.write_fragments(of_sets, str(tmp_path / "f"), "pr_id")
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "f")).orderBy("pr_id", "part").collect():
+        assert len(got.setdefault(r.pr_id, "")) == r.start
+        got[r.pr_id] += r.fragment
+    assert got == {r.pr_id: r.prompt for r in evaluate.description_judge_prompts(numbered, "<p>").collect()}
+
+
+def test_no_pairs_have_no_fragments(spark):
+    empty = spark.createDataFrame([], "pair_id long, query string, response string, pr struct<id:string>")
+    assert fragments.answer_fragments(empty, "p").count() == 0
+    assert fragments.description_fragments(empty, "p").count() == 0
