@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: White space between words, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -64,6 +65,43 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
+def entries_of_maps(value: Column, kind: DataType) -> Column:
+    """``value`` with every map in it as an array of its entries, which can be ordered and taken from in Arrow."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: entries_of_maps(x, kind.elementType))
+    if isinstance(kind, StructType):
+        fields = [entries_of_maps(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    entry = lambda e: F.struct(e["key"].alias("key"), entries_of_maps(e["value"], kind.valueType).alias("value"))
+    return F.transform(F.map_entries(value), entry)
+
+
+def maps_of_entries(value: Column, kind: DataType) -> Column:
+    """What ``entries_of_maps`` was given; ``kind`` is the type with maps."""
+    if not _has_map(kind):
+        return value
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: maps_of_entries(x, kind.elementType))
+    if isinstance(kind, StructType):
+        fields = [maps_of_entries(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    entry = lambda e: F.struct(e["key"].alias("key"), maps_of_entries(e["value"], kind.valueType).alias("value"))
+    return F.map_from_entries(F.transform(value, entry))
+
+
 def with_group_size(df: DataFrame, key: str, out: str = "group_size") -> DataFrame:
     """Add the number of rows that share ``key`` (a non-negative long).
 
@@ -90,7 +128,7 @@ def rows_of(docs: DataFrame, chosen: DataFrame, digest: Column) -> DataFrame:
     own, wanted_id, wanted, rank = (fresh(docs, c) for c in ("_own", "_wanted_id", "_wanted", "_rank"))
     chosen = chosen.select(F.col("doc_id").alias(wanted_id), F.col("digest").alias(wanted))
     same = F.col("doc_id").eqNullSafe(F.col(wanted_id)) & (F.col(own) == F.col(wanted))
-    once = Window.partitionBy("doc_id", own).orderBy(*docs.columns)
+    once = Window.partitionBy("doc_id", own).orderBy(*(entries_of_maps(quoted(f.name), f.dataType) for f in docs.schema))
     return (
         docs.withColumn(own, digest)
         .join(chosen, same, "left_semi")

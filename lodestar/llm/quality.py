@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE, missing_as_empty
+from lodestar.llm.common import SPACE, missing_as_empty, quoted
 from lodestar.plans.staging import staged
 
 #: The character classes: capitals, digits, marks, symbols, and every other character of a word.
@@ -40,7 +40,7 @@ def _rest(pattern: str) -> Column:
 def _prepared(docs: DataFrame) -> DataFrame:
     """Words, short words and character classes of each row, and the row itself; a null text has no words."""
     split = docs.select(
-        F.struct(*docs.columns).alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), missing_as_empty().alias("_text")
+        F.struct(*map(quoted, docs.columns)).alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), missing_as_empty().alias("_text")
     ).withColumn("_words", F.filter(F.split("_text", f"[{SPACE}]+"), lambda w: w != ""))
     counted = split.select(
         "row",

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from lodestar.llm.common import LAST_ID
+from lodestar.llm.common import LAST_ID, entries_of_maps, fresh, maps_of_entries, quoted
 from lodestar.llm.text_arrays import as_bytes, binary_array, mix
 
 WINDOW = 50
@@ -444,7 +445,7 @@ def without_repeats(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"),
         order.alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        *(F.col(f"`{f.name}`").alias(n) for f, n in zip(extra, names, strict=True)),
+        *(entries_of_maps(quoted(f.name), f.dataType).alias(n) for f, n in zip(extra, names, strict=True)),
     )
     by_shard = dealt.groupBy("shard")
 
@@ -467,20 +468,18 @@ def without_repeats(
         send, "bucket long, shard long, strings binary, sizes binary, lowest binary"
     )
     judged = sent.groupBy("bucket").applyInArrow(judge, side)
-    carried = ", ".join(f"{n} {f.dataType.simpleString()}" for f, n in zip(extra, names, strict=True))
-    done = by_shard.cogroup(shared.unionByName(judged).groupBy("shard")).applyInArrow(
-        cut,
-        (carried + ", " if carried else "")
-        + "n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, "
-        + ("kept string" if as_text else "kept binary"),
-    )
-    return done.select(
-        *(F.col(n).alias(f.name) for f, n in zip(extra, names, strict=True)), "n_bytes", "n_removed", "spans", "kept"
-    )
+    spans = ArrayType(StructType().add("start", "long").add("length", "long"))
+    schema = StructType([dealt.schema[n] for n in names]).add("n_bytes", "long").add("n_removed", "long")
+    schema = schema.add("spans", spans).add("kept", "string" if as_text else "binary")
+    done = by_shard.cogroup(shared.unionByName(judged).groupBy("shard")).applyInArrow(cut, schema)
+    back = (maps_of_entries(F.col(n), f.dataType).alias(f.name) for f, n in zip(extra, names, strict=True))
+    return done.select(*back, "n_bytes", "n_removed", "spans", "kept")
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """The same rows and columns with what ``without_repeats`` leaves as ``text`` (and ``n_chars`` counted anew)."""
-    cut = without_repeats(docs, as_text=True)
+    taken = {"n_bytes", "n_removed", "spans", "kept"}
+    own = {c: fresh(docs, f"_{c}") if c.lower() in taken else c for c in docs.columns}
+    cut = without_repeats(docs.select(*(quoted(c).alias(name) for c, name in own.items())), as_text=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return cut.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return cut.select(*(new.get(c, quoted(name)).alias(c) for c, name in own.items()))

@@ -276,3 +276,30 @@ def test_deep_and_hostile_pages(spark):
     assert time.monotonic() - start < 60
     assert (found[0], found[1], found[2]) == ("deep text", "kept", "kept")
     assert found[3].startswith("first") and found[4].endswith("last") and found[5].endswith("end") and found[6] == "x"
+
+
+STAGES = {"keep_good": quality.keep_good, "keep_first": exact_dedup.keep_first, "keep_one": near_dedup.keep_one, "cut_texts": suffix_dedup.cut_texts}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_carry_columns_of_any_name_and_maps(spark, name):
+    words = "we have to see what the house on the hill has in it when all of the people are gone and night comes".split()
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 90)) for _ in range(6)]
+    kind = "doc_id long, text string, lang string, `a.b` string, `t``k` int, m map<string,int>, deep struct<`x.y`: int, m: map<string, array<map<int,string>>>>, "
+    kind += "kept boolean, spans int, n_bytes string, row int, _rank int"
+    rows = [
+        (i, t, "en", f"v{i}", i, {"k": i} if i % 2 else None, (i, {"z": [{i: "w"}, None], "n": None}) if i % 3 else None, True, i, "b", i, i)
+        for i, t in enumerate([*texts, None])
+    ]
+    docs = spark.createDataFrame([*rows, rows[1], rows[1]], kind)
+    out = STAGES[name](docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    place = docs.columns.index("text")
+    rest = lambda r: tuple(v for i, v in enumerate(r) if i != place)
+    got = out.collect()
+    assert got and {repr(rest(tuple(r))) for r in got} <= {repr(rest(tuple(r))) for r in docs.collect()}
+    if name in ("keep_first", "keep_one"):
+        assert len({r.doc_id for r in got}) == len(got) == 7
+    if name == "cut_texts":
+        assert len(got) == docs.count()
