@@ -152,7 +152,7 @@ def _first_matches(pairs: DataFrame, paragraphs: DataFrame, limit: int, max_ship
 
         found = texts.mapInArrow(scan, schema)
     else:
-        found = rare_gram_matches(pairs, texts)
+        found = rare_gram_matches(pairs, texts, keep)
         every = texts.where("content IS NOT NULL").select("paragraph_id").orderBy("paragraph_id").limit(keep)
         blank = F.explode(F.array(F.lit(None).cast("string"), F.lit("")))  # in every text, so its first ids are the first
         found = found.unionByName(every.select(F.lit("").alias("a"), blank.alias("b"), "paragraph_id"))

@@ -4,6 +4,10 @@ A gram is a run of eight bytes, or a whole word of fewer, as one long.  Runs of
 is keyed by its rarest one and cannot occur where that is missing.  Texts give the keys they hold, the join gives
 candidates, and the texts themselves, shuffled once, decide.  Bitmaps of fixed size keep out runs that no word has; what
 they let through by chance finds no partner in the join.
+
+Only the first texts by id count for each word, so texts are taken in rounds of ascending ids, each many times larger than
+the one before.  A word that has enough texts is settled: later ids are all larger.  So a word in a third of all texts
+makes candidates in the first, small rounds alone.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.plans.staging import staged
@@ -22,23 +27,51 @@ GRAM = 8
 BITMAP_BITS = 26
 # Bytes of text looked at together.
 CHUNK = 1 << 20
+# Shares of all texts up to which the rounds but the last go; they are set by as many ids, any ids give the same rows.
+ROUNDS = (1 / 256, 1 / 16)
+SAMPLED_IDS = 4096
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier that spreads runs over the bitmap
 
 
-def rare_gram_matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` x ``texts(paragraph_id, content)`` -> (a, b, paragraph_id): texts holding word ``a`` (b null), for
-    each word of either column, and texts holding both words of a pair.
+def rare_gram_matches(pairs: DataFrame, texts: DataFrame, keep: int) -> DataFrame:
+    """``pairs(a, b)`` x ``texts(paragraph_id, content)`` -> (a, b, paragraph_id): the ``keep`` first texts that hold word
+    ``a`` (b null), for each word of either column, and those that hold both words of a pair.
 
-    The empty word is in every text, a null text holds nothing; both sides are taken as they are, case included.
+    The empty word alone is left out; with another word it counts as held.  A null text holds nothing; both sides are
+    taken as they are, case included.
     """
     words = pairs.select(F.explode(F.array("a", "b")).alias("word")).where("word IS NOT NULL AND word <> ''").distinct()
     grams = staged(words.mapInArrow(_of_words, "word string, gram long"))
     keyed = staged(_rarest(grams, _counts(texts, grams)))
     units = staged(_units(pairs, keyed))
+    found = None
+    for part in _rounds(texts):
+        if found is not None:
+            enough = found.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).count().where(F.col("count") >= keep)
+            units = staged(units.join(enough, (F.col("a") == F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")), "left_anti"))
+        first = staged(_verified(part, units, keep))
+        found = first if found is None else found.unionByName(first)
+    return found
+
+
+def _rounds(texts: DataFrame) -> list[DataFrame]:
+    """``texts`` cut at ids, ascending; null ids come first."""
+    some = texts.select("paragraph_id").where("paragraph_id IS NOT NULL").orderBy(F.xxhash64("paragraph_id")).limit(SAMPLED_IDS)
+    ids = sorted(r.paragraph_id for r in some.collect())
+    at, out, rest = F.col("paragraph_id"), [], F.lit(True)
+    for cut in [ids[int(len(ids) * share)] for share in ROUNDS if ids]:
+        below = at.isNull() | (at < F.lit(cut))
+        out.append(texts.where(rest & below))
+        rest = ~below
+    return [*out, texts.where(rest)]
+
+
+def _verified(texts: DataFrame, units: DataFrame, keep: int) -> DataFrame:
     candidates = _held(texts, units).join(units, "gram").select("paragraph_id", "a", "b")
     holds = lambda word: F.col("content").contains(F.col(word))
     found = candidates.join(texts.where("content IS NOT NULL"), "paragraph_id").where(holds("a") & F.coalesce(holds("b"), F.lit(True)))
-    return found.select("a", "b", "paragraph_id")
+    first = F.row_number().over(W.partitionBy("a", "b").orderBy("paragraph_id"))
+    return found.select("a", "b", "paragraph_id").withColumn("_r", first).where(F.col("_r") <= keep).drop("_r")
 
 
 def _units(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -77,9 +110,10 @@ def _held(texts: DataFrame, units: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, runs in _runs(batch.column(1), lengths):
                 known = _known(runs, bitmap.value)
-                pairs = np.unique(np.stack([rows[known], runs[known]], axis=1), axis=0)
-                ids = batch.column(0).take(pa.array(pairs[:, 0]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[:, 1])], ["paragraph_id", "gram"])
+                some, number = np.unique(runs[known], return_inverse=True)
+                row, number = np.divmod(np.unique(rows[known] * max(1, len(some)) + number), max(1, len(some)))
+                ids = batch.column(0).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(some[number])], ["paragraph_id", "gram"])
 
     kind = texts.schema["paragraph_id"].dataType.simpleString()
     # a text of several chunks may give a key more than once
