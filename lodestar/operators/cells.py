@@ -5,8 +5,9 @@ least and largest angles.  By the triangle inequality of angles, a query at angl
 ``max(0, a - largest, least - a)`` away from every vector of the block, so a block whose best possible cosine is below the
 k-th best score found so far holds no answer.  The pivots only decide how much is skipped, never what is found.
 
-Queries travel as rows of a table: each is repeated for the blocks that it visits, and meets the vectors of a block in
-one sorted stream.  A task holds one block and a few thousand queries, however many visit it.
+Queries travel as rows of a table, once, in groups of neighbours of bounded bytes.  The blocks that a group visits
+stream past it in one sorted stream, and each query meets those of its own list.  A task holds one group with its
+winners so far, so no more than ``k`` rows of a query leave it, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ FIRST_SHARE = 16
 # Far above the noise of the angles, which is about 1e-8.
 SLACK = 1e-6
 PLANNED_AT_ONCE = 200
+# Bytes of a group of queries with its winners, and winners that are cut at once.
+GROUP_BYTES = 256 << 20
+HELD_BYTES = 64
+CUT_AT_ONCE = 250_000
 ASKED_AT_ONCE = 2_000
 MAX_TASKS = 20_000
 
@@ -80,11 +85,12 @@ class Directory:
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int, schema: str, block_rows: int | None = None) -> DataFrame:
-    """At least the ``k`` best vectors of every query, unranked: the columns of ``schema``, which ends in the score.
+    """The ``k`` best vectors of every query, unranked: the columns of ``schema``, which ends in the score.
 
     ``queries(query_id, embedding)`` and ``vectors(embedding, chunk_id, ...)``, vectors of one type.  Rows without a
-    vector are left out.  Nothing but pivots and the directory of blocks, both bounded, is in the driver.  Vectors are
-    stored once beside their cell and shuffled twice; queries are shuffled once for each block that they visit.
+    vector are left out.  Nothing but pivots and directories of blocks and groups, all bounded, is in the driver.  Vectors
+    are stored once beside their cell and shuffled once for each group of queries that visits them, first for the scores
+    to beat and then for the answers; queries are shuffled twice.
     """
     spark = vectors.sparkSession
     vectors = vectors.filter(F.col("embedding").isNotNull())
@@ -95,8 +101,12 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, schema: str, block_ro
     block_rows = block_rows or max(1, min(BLOCK_BYTES // (8 * max(width, 1)), -(-n // tasks)))
     placed, directory = build(vectors, n, width, block_rows)
     planned = first_visits(queries.filter(F.col("embedding").isNotNull()), directory, max(k, n // FIRST_SHARE))
-    near = staged(_meet(placed, planned.withColumn("floor", F.lit(float("-inf"))), directory, k, schema))
-    return near.unionByName(_meet(placed, later_visits(planned, near, directory, k), directory, k, schema))
+    started = planned.withColumn("floor", F.lit(float("-inf")))
+    # Of the first visits only the k-th scores are kept, one a query: the second round meets these blocks again.
+    kth = staged(_meet(placed, started, directory, k, schema, last=True).select("query_id", "score"))
+    later = later_visits(planned, kth, directory, 1)
+    whole = staged(later.select("query_id", "embedding", "floor", F.concat("seen", "blocks").alias("blocks")))
+    return _meet(placed, whole, directory, k, schema)
 
 
 def build(vectors: DataFrame, n: int, width: int, block_rows: int) -> tuple[DataFrame, Directory]:
@@ -163,7 +173,8 @@ def first_visits(queries: DataFrame, directory: Directory, least_rows: int) -> D
 
 
 def later_visits(planned: DataFrame, near: DataFrame, directory: Directory, k: int) -> DataFrame:
-    """Queries with the score to beat, ``floor``, and the further ``blocks`` that can hold such a score."""
+    """Queries with the score to beat, ``floor``, the k-th best of ``near``, and the further ``blocks`` that can hold such a
+    score, beside those ``seen``."""
     place = W.partitionBy("query_id").orderBy(F.desc("score"))
     ranked = near.select("query_id", "score").withColumn("place", F.row_number().over(place))
     floors = ranked.filter(F.col("place") == k).select("query_id", F.col("score").alias("floor"))
@@ -178,52 +189,104 @@ def later_visits(planned: DataFrame, near: DataFrame, directory: Directory, k: i
             seen = part.column("blocks")
             asking = np.repeat(np.arange(len(rows)), seen.value_lengths().to_numpy())
             mask[asking, np.searchsorted(d.first, seen.flatten().to_numpy(), "right") - 1] = False
-            columns = [part.column("query_id"), part.column("embedding"), d.visited(mask), part.column("floor")]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "blocks", "floor"])
+            columns = [part.column("query_id"), part.column("embedding"), seen, d.visited(mask), part.column("floor")]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "seen", "blocks", "floor"])
 
     kind = planned.schema["query_id"].dataType.simpleString()
     vector = planned.schema["embedding"].dataType.simpleString()
     columns = asked.select("query_id", "embedding", "blocks", "floor")
-    return columns.mapInArrow(plan, f"query_id {kind}, embedding {vector}, blocks array<int>, floor double")
-
-
-def _meet(placed: DataFrame, asked: DataFrame, directory: Directory, k: int, schema: str) -> DataFrame:
-    """The best vectors of each block for each query that visits it, at or above its floor."""
-    visits = asked.select("query_id", "embedding", "floor", F.explode("blocks").alias("block"), F.lit(True).alias("asks"))
-    both = placed.withColumn("asks", F.lit(False)).unionByName(visits, allowMissingColumns=True)
+    made = f"query_id {kind}, embedding {vector}, seen array<int>, blocks array<int>, floor double"
+    return columns.mapInArrow(plan, made)
+
+
+def _grouped(asked: DataFrame, directory: Directory, k: int, width: int) -> tuple[DataFrame, int]:
+    """Queries with their ``group``, and how many there are: neighbours by the first block of their list, so many that a
+    group with its winners has bounded bytes."""
+    home = F.get("blocks", F.lit(0))
+    counted = sorted(tuple(r) for r in asked.groupBy(home.alias("home")).agg(F.count("*").alias("rows")).collect())
+    tasks = 2 * asked.sparkSession.sparkContext.defaultParallelism
+    bounded = GROUP_BYTES // (8 * max(width, 1) + HELD_BYTES * k + directory.blocks)
+    most = max(1, min(bounded, -(-sum(rows for _, rows in counted) // tasks)))
+    where, first, held = [], 0, 0
+    for block, rows in counted:
+        if held and held + rows > most:
+            first, held = first + 1, 0
+        parts = -(-rows // most)
+        where.append((block, first, parts))
+        first, held = (first, held + rows) if parts == 1 else (first + parts, 0)
+    spread = asked.sparkSession.createDataFrame(where, "home int, first int, parts int")
+    group = (F.col("first") + F.pmod(F.xxhash64("query_id", "embedding"), F.col("parts"))).cast("int")
+    dealt = asked.withColumn("home", home).join(F.broadcast(spread), "home").withColumn("group", group)
+    return dealt.select("group", "query_id", "embedding", "floor", "blocks"), first + 1
+
+
+def _meet(placed: DataFrame, asked: DataFrame, directory: Directory, k: int, schema: str, last: bool = False) -> DataFrame:
+    """The best ``k`` vectors of each query in the blocks of its list, at or above its floor; or just the ``last`` of them,
+    which a query with fewer does not have."""
+    width = directory.pivots.shape[1]
+    dealt, groups = _grouped(asked, directory, k, width)
+    needs = dealt.select("group", F.explode("blocks").alias("block")).distinct()
+    needs = needs.groupBy("block").agg(F.collect_list("group").alias("groups"))
+    streams = placed.join(F.broadcast(needs), "block").withColumn("group", F.explode("groups")).drop("groups")
     tags = [c for c in placed.columns if c not in ("embedding", "block")]
-    tasks = min(directory.blocks, MAX_TASKS)
-    # Blocks are dealt by their number, since hashes of so few put several into one task.
-    dealt = both.select("block", "asks", "query_id", "floor", "embedding", *tags).repartitionById(tasks, F.col("block") % tasks)
-    # Vectors of a block come before the queries.
-    stream = dealt.sortWithinPartitions("block", "asks")
+    # Queries of a group come before the vectors, which come by block.
+    both = dealt.withColumn("block", F.lit(-1)).unionByName(streams, allowMissingColumns=True)
+    columns = ["group", "block", "query_id", "floor", "blocks", "embedding", *tags]
+    tasks = min(groups, MAX_TASKS)
+    # Groups are dealt by their number, since hashes of so few put several into one task.
+    parts = both.select(*columns).repartitionById(tasks, F.col("group") % tasks)
+    stream = parts.sortWithinPartitions("group", "block")
+    n_blocks = directory.blocks
+    rows_at_once = max(1, min(ASKED_AT_ONCE, CUT_AT_ONCE // k))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
+        current, held, fields = None, [], []
         for batch in batches:
+            group = batch.column("group").to_numpy()
             block = batch.column("block").to_numpy()
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            key = block.astype(np.int64) * 2 + asks
-            edges = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
             fields = [batch.schema.field(c) for c in tags]
+            changes = np.flatnonzero((np.diff(group) != 0) | (np.diff(block) != 0)) + 1
+            edges = [0, *changes, len(group)]
             for at, end in zip(edges, edges[1:]):
-                if block[at] != current:
-                    current, held = block[at], []
+                if group[at] != current:
+                    yield from answers(held, fields)
+                    current, held = group[at], []
                 part = batch.slice(at, end - at)
-                if not asks[at]:
-                    held.append(_unit_rows(part.column("embedding"), [part.column(c) for c in tags]))
+                if block[at] < 0:
+                    held.extend(_Asking(few, k, n_blocks) for few in _slices([part], rows_at_once))
                     continue
-                for few in _slices([part], ASKED_AT_ONCE):
-                    best = _BestK(few.column("floor").to_numpy(), k)
-                    rows, _ = _unit_rows(few.column("embedding"), [])
-                    for vectors, columns in held:
-                        best.offer_all(rows, vectors, columns)
-                    if best.parts:
-                        yield from best.table(few.column("query_id"), fields).to_batches(max_chunksize=100_000)
+                vectors, kept = _unit_rows(part.column("embedding"), [part.column(c) for c in tags])
+                for some in held:
+                    some.offer(vectors, kept, block[at])
+        yield from answers(held, fields)
+
+    def answers(held: list[_Asking], fields: list[pa.Field]) -> Iterator[pa.RecordBatch]:
+        while held:
+            some = held.pop(0)
+            if some.best.parts:
+                found = some.best.table(some.ids, fields, last)
+                yield from found.to_batches(max_chunksize=100_000)
 
     return stream.mapInArrow(scan, schema)
 
 
+class _Asking:
+    """Some queries of a group with their blocks and winners."""
+
+    def __init__(self, part: pa.RecordBatch, k: int, n_blocks: int):
+        self.rows, _ = _unit_rows(part.column("embedding"), [])
+        self.ids = part.column("query_id")
+        self.best = _BestK(part.column("floor").to_numpy(), k)
+        blocks = part.column("blocks")
+        self.visits = np.zeros((n_blocks, len(self.rows)), bool)
+        asking = np.repeat(np.arange(len(self.rows)), blocks.value_lengths().to_numpy())
+        self.visits[blocks.flatten().to_numpy(), asking] = True
+
+    def offer(self, vectors: np.ndarray, tags: list[np.ndarray], block: int) -> None:
+        here = self.visits[block]
+        self.best.offer_all(self.rows, vectors, tags, None if here.all() else np.flatnonzero(here))
+
+
 def _slices(batches, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

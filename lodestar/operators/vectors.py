@@ -11,14 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import normalize as _normalize
-# Bytes of queries and winners that a task holds at most; more queries are met cell by cell.
-MAX_SHIPPED_BYTES = 256 << 20
-WINNER_BYTES = 40
+# Bytes of queries and winners that a task holds at most; more queries are met cell by cell.  A winner is held twice
+# until the next cut, and copied by it.
+MAX_SHIPPED_BYTES = 32 << 20
+WINNER_BYTES = 100
 # Tables of more partitions than this are sampled first for the scores to beat.
 SAMPLED_FROM = 16
 SAMPLE_SHARE = 16
 # Similarities held at once inside a task (8 bytes each).
-TILE = 4_000_000
+TILE = 1_000_000
 # Scores are compared after rounding to ten digits, far above the noise of sums and far below what single precision
 # tells apart, so exact copies tie; six digits are shown.
 SCORE_DIGITS = 10
@@ -147,23 +148,34 @@ class _BestK:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
-    def offer_all(self, q_rows: np.ndarray, v_rows: np.ndarray, tags: list[np.ndarray]) -> None:
-        if not len(q_rows) or not len(v_rows):
+    def offer_all(
+        self, q_rows: np.ndarray, v_rows: np.ndarray, tags: list[np.ndarray], only: np.ndarray | None = None
+    ) -> None:
+        """Offer vectors to all queries, or to those numbered in ``only``."""
+        asked = q_rows if only is None else q_rows[only]
+        if not len(asked) or not len(v_rows):
             return
-        width = max(1, TILE // len(q_rows))
+        width = max(1, TILE // len(asked))
         for at in range(0, len(v_rows), width):
-            scores = np.round(q_rows @ v_rows[at : at + width].T, SCORE_DIGITS)
-            self._offer(scores, [t[at : at + width] for t in tags])
-
-    def _offer(self, scores: np.ndarray, tags: list[np.ndarray]) -> None:
-        floor = self.floor
-        if scores.shape[1] > self.k:
+            self._offer(asked @ v_rows[at : at + width].T, [t[at : at + width] for t in tags], only)
+
+    def _offer(self, scores: np.ndarray, tags: list[np.ndarray], only: np.ndarray | None) -> None:
+        floor = self.floor if only is None else self.floor[only]
+        # Only what may count is rounded: rounding moves a score by less than one of the last digit.
+        least = floor - 10.0**-SCORE_DIGITS
+        there = scores >= least[:, None]
+        if scores.shape[1] > self.k and np.count_nonzero(there) > self.k * len(scores):
             cut = scores.shape[1] - self.k
-            floor = np.maximum(floor, np.partition(scores, cut, axis=1)[:, cut])
-        qi, vi = np.nonzero(scores >= floor[:, None])
-        self.parts.append((qi, scores[qi, vi], *(t[vi] for t in tags)))
+            kth = np.partition(scores, cut, axis=1)[:, cut]
+            there = scores >= np.maximum(least, kth - 10.0**-SCORE_DIGITS)[:, None]
+        qi, vi = np.divmod(np.flatnonzero(there), scores.shape[1])
+        score = np.round(scores[qi, vi], SCORE_DIGITS)
+        there = score >= floor[qi]
+        qi, vi, score = qi[there], vi[there], score[there]
+        qi = (qi if only is None else only[qi]).astype(np.int32)
+        self.parts.append((qi, score, *(t[vi] for t in tags)))
         self.held += len(qi)
-        if self.held > self.k * len(self.floor) + TILE:
+        if self.held > 2 * self.k * len(self.floor):
             self._compact()
 
     def _compact(self) -> tuple[np.ndarray, ...]:
@@ -178,8 +190,12 @@ class _BestK:
         self.held = len(order)
         return self.parts[0]
 
-    def table(self, q_ids: pa.Array, fields: list[pa.Field]) -> pa.Table:
+    def table(self, q_ids: pa.Array, fields: list[pa.Field], last: bool = False) -> pa.Table:
+        """The winners; or the ``last`` of each query that has ``k``."""
         qi, score, *tags = self._compact()
+        if last:
+            ends = np.flatnonzero(np.arange(len(qi)) - np.searchsorted(qi, qi) == self.k - 1)
+            qi, score, *tags = (c[ends] for c in (qi, score, *tags))
         columns = {"query_id": q_ids.take(pa.array(qi))}
         columns.update((f.name, pa.array(tag, f.type)) for f, tag in zip(fields, tags))
         return pa.table({**columns, "score": pa.array(score)})

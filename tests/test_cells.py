@@ -115,3 +115,34 @@ def test_both_ways_agree_at_the_border(spark, extra):
     asked = base[: 10 + extra]
     got = vectors.knn(table(spark, asked, "query_id"), table(spark, base, "chunk_id"), 6, max_shipped=10).collect()
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in got} == brute(asked, base, 6)
+
+
+@pytest.mark.parametrize("block_rows", [4, 40])
+def test_no_more_than_k_rows_of_a_query_leave_the_search(spark, block_rows):
+    base = np.random.default_rng(9).normal(size=(160, 8))
+    found = cells.search(
+        table(spark, base, "query_id"), table(spark, base, "chunk_id"), 7, "query_id long, chunk_id long, score double", block_rows
+    )
+    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {7}
+
+
+@pytest.mark.parametrize("bytes_", [1, 10_000])
+def test_groups_of_few_queries_give_the_exact_answer(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(cells, "GROUP_BYTES", bytes_)
+    monkeypatch.setattr(cells, "ASKED_AT_ONCE", 3)
+    base = clustered(10, clusters=4, each=20)
+    got = vectors.knn(table(spark, base, "query_id"), table(spark, base, "chunk_id"), 6, max_shipped=1).collect()
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in got} == brute(base, base, 6)
+
+
+def test_held_winners_are_bounded_by_the_queries():
+    rng = np.random.default_rng(11)
+    asked, best, seen = rng.normal(size=(4, 5)), vectors._BestK(np.full(4, -np.inf), 3), []
+    for at in range(0, 5_000, 100):
+        seen.append(rng.normal(size=(100, 5)))
+        best.offer_all(asked, seen[-1], [np.arange(at, at + 100)])
+        assert best.held <= 2 * 3 * 4
+    qi, score, ids = best._compact()
+    every = np.round(asked @ np.concatenate(seen).T, vectors.SCORE_DIGITS)
+    for q in range(4):
+        assert ids[qi == q].tolist() == np.lexsort((np.arange(5_000), -every[q]))[:3].tolist()
