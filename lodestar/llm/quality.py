@@ -104,21 +104,18 @@ def references(docs: DataFrame) -> DataFrame:
     words, ``class_share`` the shares of ``CLASSES``.
     """
     prepared = _prepared(docs)
-    # the row with the empty word carries the sums of its document
-    exploded = prepared.select("lang", "n_words", *CLASSES, F.explode(F.concat(F.array(F.lit("")), "_short")).alias("word"))
-    whole = F.col("word") == ""
-    grouped = exploded.groupBy("lang", "word").agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(F.when(whole, F.col(c))).alias(c) for c in ("n_words", *CLASSES))
-    )
+    # two scans, each with only what it needs: words of rows, and sums of whole documents
+    # the inner form of explode would work the words out twice, see ``explode_rows``
+    words = prepared.select("lang", F.explode_outer("_short").alias("word")).where(F.col("word").isNotNull())
+    grouped = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    totals = prepared.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("n_words", *CLASSES)))
     common = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = (
-        grouped.where(~whole)
-        .withColumn("_rank", F.row_number().over(common))
+        grouped.withColumn("_rank", F.row_number().over(common))
         .where(F.col("_rank") <= COMMON_WORDS)
         .groupBy("lang")
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "word", "n"))).alias("top"))
     )
-    totals = grouped.where(whole).drop("n", "word")
     chars = sum((F.col(c) for c in CLASSES), F.lit(0))
     known = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     with_words = totals.join(top, "lang", "left").withColumn("top", F.coalesce("top", F.array()))
@@ -159,7 +156,9 @@ def quality_verdicts(
     found = F.transform("_short", lambda w: F.array_position("words", w))
     rows = rows.withColumn("_found", F.filter(found, lambda i: i > 0)).withColumn(
         "_counts",
-        F.transform("words", lambda _, k: F.size(F.filter("_found", lambda i: i == k + 1)).cast("long")),
+        F.transform(
+            "words", lambda _, k: (F.size("_found") - F.size(F.array_remove("_found", (k + 1).cast("long")))).cast("long")
+        ),
     )
     word_share = F.transform(
         F.concat("_counts", F.array(F.col("n_words") - F.size("_found"))), lambda n: n / F.greatest("n_words", F.lit(1))

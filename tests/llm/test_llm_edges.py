@@ -303,3 +303,12 @@ def test_stages_carry_columns_of_any_name_and_maps(spark, name):
         assert len({r.doc_id for r in got}) == len(got) == 7
     if name == "cut_texts":
         assert len(got) == docs.count()
+
+
+def test_the_reference_scans_make_rows_of_words_only_once(spark):
+    """Sums of documents come from a scan of their own, without a row for every short word."""
+    docs = spark.createDataFrame([(1, "en", "The cat, a DOG"), (2, "en", "the 7 dogs"), (3, None, None)], "doc_id long, lang string, text string")
+    found = quality.references(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    got = {r.lang: r for r in found.collect()}
+    assert got["en"].words[0] == "the" and got["en"].word_share[0] == 2 / 7 and got[""].words == []
