@@ -71,10 +71,14 @@ def type_declarations(files: DataFrame) -> DataFrame:
     ``files(source_name, text)`` -> (source_name, pos, signature, content, parsed).  A file
     whose brackets do not match yields what was complete, with ``parsed`` false, and one row
     without a signature that marks it as broken.  A ``path`` comes along.
+
+    Files are dealt to tasks by what they are: a table of very many small files may be one split, and what is extracted
+    from it would be in one task.
     """
     package = F.regexp_extract(F.coalesce("text", F.lit("")), PACKAGE, 1).alias("package")
     where = ["path"] if "path" in files.columns else []
-    named = files.select("source_name", "text", package, *where)
+    dealt = files.repartition(F.xxhash64("source_name", "text", *where))
+    named = dealt.select("source_name", "text", package, *where)
     schema = "source_name string, pos int, signature string, content string, parsed boolean"
     schema += ", path string" if where else ""
 

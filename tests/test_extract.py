@@ -208,3 +208,12 @@ def test_wide_token_windows(spark):
     df = spark.createDataFrame([("s", text), ("b", " \n"), ("n", None)], "source_id string, content string")
     rows = sorted((r.source_id, r.chunk_no, len(r.content.split())) for r in chunking.split_tokens(df, 1500).collect())
     assert rows == [("s", 0, 1500), ("s", 1, 1500), ("s", 2, 1)]
+
+
+def test_many_small_files_of_one_split_are_dealt_to_tasks(spark):
+    digests = F.concat(*(F.sha2(F.concat_ws("-", F.col("id"), F.lit(i)), 512) for i in range(16)))
+    text = F.concat(F.lit("/* "), digests, F.lit(" */ class A { enum B {} }"))
+    files = spark.range(4_000).coalesce(1).select(F.concat(F.lit("f"), "id").alias("source_name"), text.alias("text"))
+    rows = extract.type_declarations(files).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in rows) == 8_000
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 8_000
