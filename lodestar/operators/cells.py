@@ -67,17 +67,25 @@ class Directory:
         # vectors of length zero (cell -1) have a cosine of 0 with everything and no angle
         return np.where(self.cell < 0, 1.0, np.cos(away))
 
-    def nearest(self, rows: np.ndarray, least_rows: int) -> np.ndarray:
-        """The runs that a query visits first, as a mask."""
-        order = np.argsort(-self.bounds(rows), axis=1, kind="stable")
+    def nearest(self, rows: np.ndarray, least_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """The runs that a query visits first, as a mask, and its home, the run that can be nearest.
+
+        Queries of one home visit the same runs, those nearest to its pivot, so that a group asks for few blocks.
+        """
+        home, of = np.unique(np.where(self.cell < 0, -2.0, self.bounds(rows)).argmax(axis=1), return_inverse=True)
+        reach = self.bounds(self.pivots[self.cell[home]])
+        reach[np.arange(len(home)), home] = np.inf
+        order = np.argsort(-reach, axis=1, kind="stable")
         size = self.rows[order]
         mask = np.zeros(order.shape, bool)
         np.put_along_axis(mask, order, np.cumsum(size, axis=1) - size < least_rows, axis=1)
-        return mask
+        return mask[of], home[of]
 
-    def visited(self, mask: np.ndarray) -> pa.ListArray:
-        """The blocks of the marked runs of each query."""
+    def visited(self, mask: np.ndarray, home: np.ndarray | None = None) -> pa.ListArray:
+        """The blocks of the marked runs of each query, those of its ``home`` first."""
         at, run = np.nonzero(mask)
+        if home is not None:
+            run = run[np.lexsort((run, run != home[at], at))]
         parts = self.parts[run]
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         each = np.bincount(at, weights=parts, minlength=len(mask)).astype(np.int64)
@@ -165,7 +173,7 @@ def first_visits(queries: DataFrame, directory: Directory, least_rows: int) -> D
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, PLANNED_AT_ONCE):
             rows, _ = _unit_rows(part.column("embedding"), [])
-            blocks = shipped.value.visited(shipped.value.nearest(rows, least_rows))
+            blocks = shipped.value.visited(*shipped.value.nearest(rows, least_rows))
             yield pa.RecordBatch.from_arrays([*part.columns, blocks], names=[*part.schema.names, "blocks"])
 
     kind = queries.schema["query_id"].dataType.simpleString()
@@ -202,23 +210,23 @@ def later_visits(planned: DataFrame, near: DataFrame, directory: Directory, k: i
 
 def _grouped(asked: DataFrame, directory: Directory, k: int, width: int) -> tuple[DataFrame, int]:
     """Queries with their ``group``, and how many there are: neighbours by the first block of their list, so many that a
-    group with its winners has bounded bytes."""
+    group with its winners has bounded bytes.  Every group meets nearly all vectors where nothing can be skipped, so there
+    are no more than that and one for each core."""
     home = F.get("blocks", F.lit(0))
     counted = sorted(tuple(r) for r in asked.groupBy(home.alias("home")).agg(F.count("*").alias("rows")).collect())
-    tasks = 2 * asked.sparkSession.sparkContext.defaultParallelism
+    total = sum(rows for _, rows in counted)
     bounded = GROUP_BYTES // (8 * max(width, 1) + HELD_BYTES * k + directory.blocks)
-    most = max(1, min(bounded, -(-sum(rows for _, rows in counted) // tasks)))
-    where, first, held = [], 0, 0
+    most = max(1, min(bounded, -(-total // asked.sparkSession.sparkContext.defaultParallelism)))
+    # Queries stand in the order of their homes, inside a home at a place by hash, and are cut into groups by place.
+    where, before = [], 0
     for block, rows in counted:
-        if held and held + rows > most:
-            first, held = first + 1, 0
-        parts = -(-rows // most)
-        where.append((block, first, parts))
-        first, held = (first, held + rows) if parts == 1 else (first + parts, 0)
-    spread = asked.sparkSession.createDataFrame(where, "home int, first int, parts int")
-    group = (F.col("first") + F.pmod(F.xxhash64("query_id", "embedding"), F.col("parts"))).cast("int")
-    dealt = asked.withColumn("home", home).join(F.broadcast(spread), "home").withColumn("group", group)
-    return dealt.select("group", "query_id", "embedding", "floor", "blocks"), first + 1
+        where.append((block, before, rows))
+        before += rows
+    spread = asked.sparkSession.createDataFrame(where, "home int, before long, rows long")
+    place = F.col("before") + F.pmod(F.xxhash64("query_id", "embedding"), F.col("rows"))
+    dealt = asked.withColumn("home", home).join(F.broadcast(spread), "home")
+    dealt = dealt.withColumn("group", F.floor(place / most).cast("int"))
+    return dealt.select("group", "query_id", "embedding", "floor", "blocks"), max(1, -(-total // most))
 
 
 def _meet(placed: DataFrame, asked: DataFrame, directory: Directory, k: int, schema: str, last: bool = False) -> DataFrame:

@@ -11,6 +11,8 @@ QUERY_CHARS = 8000  # longest query text the embedding model is given
 FIXED_EXTRA = 20  # chunks fetched beyond k by the fixed cut
 ADAPTIVE_FETCH = 500  # chunks fetched by the adaptive cut
 ADAPTIVE_BUFFER = 5
+# Chunk tables of at most so many rows travel to the hits, which outnumber them by far and stay where they are.
+SHIPPED_CHUNKS = 1_000_000
 HIGH_CONFIDENCE = 0.6
 LOW_CONFIDENCE = 0.3
 
@@ -27,8 +29,12 @@ def truncate_query(queries: DataFrame, query: str = "query", limit: int = QUERY_
 
 
 def attach_sources(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Give every hit its source; hits on unknown chunks vanish."""
-    return hits.join(chunks.select("chunk_id", "source_id"), "chunk_id")
+    """Give every hit its source; hits on unknown chunks vanish.
+
+    ``chunks`` should be a stored table, since it is counted first.
+    """
+    sources = chunks.select("chunk_id", "source_id")
+    return hits.join(F.broadcast(sources) if sources.count() <= SHIPPED_CHUNKS else sources, "chunk_id")
 
 
 def rollup(hits: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:

@@ -15,6 +15,8 @@ from lodestar.functions.vectors import normalize as _normalize
 # until the next cut, and copied by it.
 MAX_SHIPPED_BYTES = 32 << 20
 WINNER_BYTES = 100
+# Hits that a task ranks, rolls up and cuts; they take some 340 bytes each while they are sorted, few enough not to spill.
+HITS_PER_TASK = 500_000
 # Tables of more partitions than this are sampled first for the scores to beat.
 SAMPLED_FROM = 16
 SAMPLE_SHARE = 16
@@ -67,6 +69,8 @@ def knn(
         alike = queries.schema["embedding"].dataType == v.schema["embedding"].dataType
         asked = queries.select("query_id", "embedding") if alike else q
         found = cells.search(asked, v if alike else v.withColumn("embedding", F.col("embedding").cast("array<double>")), k, schema)
+        # What follows by query stays in these partitions, whose number grows with the hits.
+        found = found.repartition(-(-n * k // HITS_PER_TASK), "query_id")
     else:
         found = _scan(q.toArrow(), v, k, schema, v.rdd.getNumPartitions() > sampled_from)
     return _best(found, k).withColumn("score", F.round("score", SHOWN_DIGITS))

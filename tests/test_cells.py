@@ -146,3 +146,29 @@ def test_held_winners_are_bounded_by_the_queries():
     every = np.round(asked @ np.concatenate(seen).T, vectors.SCORE_DIGITS)
     for q in range(4):
         assert ids[qi == q].tolist() == np.lexsort((np.arange(5_000), -every[q]))[:3].tolist()
+
+
+def test_groups_are_no_more_than_cores_where_they_are_small(spark):
+    base = np.random.default_rng(12).normal(size=(400, 8))
+    placed, directory = cells.build(table(spark, base, "chunk_id"), len(base), 8, 20)
+    planned = cells.first_visits(table(spark, base, "query_id"), directory, 50).withColumn("floor", F.lit(0.0))
+    dealt, groups = cells._grouped(planned, directory, 5, 8)
+    sizes = {r["group"]: r["count"] for r in dealt.groupBy("group").count().collect()}
+    assert groups <= spark.sparkContext.defaultParallelism
+    assert sum(sizes.values()) == 400 and set(sizes) <= set(range(groups))
+
+
+def test_queries_of_one_home_first_visit_the_same_blocks(spark):
+    base = np.random.default_rng(13).normal(size=(400, 8))
+    _, directory = cells.build(table(spark, base, "chunk_id"), len(base), 8, 20)
+    rows = cells.first_visits(table(spark, base, "query_id"), directory, 50).select("blocks").collect()
+    # Before, a query's own angles decided, so that neighbours asked for different blocks.
+    assert len({r.blocks[0] for r in rows}) == len({tuple(r.blocks) for r in rows})
+
+
+def test_partitions_of_hits_grow_with_the_hits(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HITS_PER_TASK", 50)
+    base = clustered(14, clusters=4, each=20)
+    got = vectors.knn(table(spark, base, "query_id"), table(spark, base, "chunk_id"), 6, max_shipped=1)
+    assert got.groupBy("query_id").agg(F.max("rank")).rdd.getNumPartitions() == -(-80 * 6 // 50)
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in got.collect()} == brute(base, base, 6)

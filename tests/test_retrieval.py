@@ -180,3 +180,20 @@ def test_search_with_missing_sources(spark, sampled_from):
         asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
         found = vectors.knn(asked, table, 4, sampled_from=sampled_from).orderBy("rank").collect()
         assert [(r.chunk_id, r.source_id) for r in found] == [r[:2] for r in some[:4]]
+
+
+def test_chunk_tables_travel_to_the_hits(spark, monkeypatch):
+    hits = spark.range(200).select((F.col("id") % 9).alias("query_id"), (F.col("id") % 50).alias("chunk_id"), F.lit(0.5).alias("score"))
+    chunks = spark.range(40).select(F.col("id").alias("chunk_id"), F.floor(F.col("id") / 4).alias("source_id"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for most, join in ((40, "BroadcastHashJoin"), (39, "SortMergeJoin")):
+            monkeypatch.setattr(retrieval, "SHIPPED_CHUNKS", most)
+            rows = retrieval.attach_sources(hits.repartition(3, "query_id"), chunks)
+            assert join in rows._jdf.queryExecution().executedPlan().toString()
+            found.append(sorted(map(tuple, rows.select("query_id", "chunk_id", "source_id").collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found[0] == found[1] == sorted((i % 9, i % 50, i % 50 // 4) for i in range(200) if i % 50 < 40)
