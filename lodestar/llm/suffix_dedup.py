@@ -5,9 +5,11 @@ Removed is each byte covered by a string of ``WINDOW`` bytes that also starts in
 Comparing all suffixes of all shards would move the corpus many times over, so shards first agree on where copies can
 be.  Documents are dealt into shards of bounded size.  A window's minimizer, the smallest hash of the ``GRAM``-byte
 grams inside it, depends on its bytes alone, so equal windows have equal minimizers; they are about one in eighteen
-positions.  Each shard sends its distinct minimizers, as sorted numbers in a few rows, to buckets by value; a bucket
-answers which of them occur in several documents.  Only runs of windows with such a minimizer go on: each shard sends
-its distinct runs, with the smallest document that has them, to the bucket of their minimizer.
+positions.  So short a gram is common in a large corpus.  What a window is known by is therefore its key: the hash of its
+minimizer with the bytes beside it, twice as many in all, before it or after it, whichever side the window has.  Each
+shard sends its distinct keys, as packed numbers in a few rows, to buckets by value; a bucket answers which of them
+occur in several documents.  Only runs of windows with such a key go on: each shard sends its distinct runs, with the
+smallest document that has them, to the bucket of their minimizer.
 
 A bucket's runs are the shards of the suffix sort: blocks of bounded size get a suffix array each by Larsson-Sadakane
 refinement and common prefixes with the neighbour in Kasai's order, in numpy.  Windows that agree share the smallest
@@ -40,7 +42,7 @@ SHARD_BYTES = (8 << 20, 128 << 20)
 LEAST_BUCKETS = 256
 BUCKET_BYTES = 256 << 20
 #: Bytes that are hashed together, and bytes of a block of the suffix sort.
-STEP_BYTES = 256 << 10
+STEP_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 
 _U64 = np.uint64
@@ -50,7 +52,7 @@ _U64 = np.uint64
 
 
 class Shard:
-    """The texts of a shard in the order of their ids, and their runs of windows with equal minimizers."""
+    """The texts of a shard in the order of their ids, and their runs of windows with equal minimizers and keys."""
 
     def __init__(self, table: pa.Table, window: int):
         self.window = window
@@ -62,15 +64,23 @@ class Shard:
         self.ids = ids[self.rows]
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.data = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in order]) if order else data
-        # runs: minimizer, row, first window, number of windows
-        self.value, self.first, self.count = _runs(self.data, self.offsets, window)
+        # runs: minimizer, key, row, first window, number of windows
+        self.value, self.key, self.first, self.count = _runs(self.data, self.offsets, window)
         self.row = np.searchsorted(self.offsets, self.first, "right") - 1
 
     def take(self, chosen: np.ndarray) -> None:
-        self.value, self.first, self.count, self.row = (
-            x[chosen] for x in (self.value, self.first, self.count, self.row)
+        self.value, self.key, self.first, self.count, self.row = (
+            x[chosen] for x in (self.value, self.key, self.first, self.count, self.row)
         )
 
+    def join(self) -> None:
+        """Make one run of neighbours in a text with the same minimizer, whatever their keys."""
+        head = ~_goes_on(self.row, self.first, self.count, self.value)
+        at = np.flatnonzero(head)
+        count = np.add.reduceat(self.count, at) if len(at) else self.count
+        self.take(at)
+        self.count = count
+
 
 def _eight(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, as a number in their order."""
@@ -78,24 +88,34 @@ def _eight(data: np.ndarray) -> np.ndarray:
     return view.astype(_U64)
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of neighbouring windows of one text with the same minimizer."""
+def _goes_on(row: np.ndarray, first: np.ndarray, count: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """Whether a run follows its predecessor in the same text without a gap and is equal to it in ``same``."""
+    out = np.zeros(len(first), bool)
+    out[1:] = (row[1:] == row[:-1]) & (first[:-1] + count[:-1] == first[1:])
+    for x in same:
+        out[1:] &= x[1:] == x[:-1]
+    return out
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of neighbouring windows of one text with the same minimizer and key: minimizer, key, first window,
+    number of windows."""
     span = window - GRAM + 1
-    values, firsts, counts = [], [], []
+    half = span // 2  # a window has so many bytes before its minimizer, or else so many after it
+    place = _U64(64 - HASH_BITS)
+    values, keys, firsts, counts = [], [], [], []
     lengths = np.diff(offsets)
     for start in range(0, max(len(data) - window + 1, 0), STEP_BYTES):
         piece = data[start : start + STEP_BYTES + window - 1]
         n = len(piece) - window + 1
         word = _eight(piece)
-        gram = mix(word[: len(word) - GRAM + 8] * _U64(0x9E3779B97F4A7C15) + word[GRAM - 8 :]) >> _U64(64 - HASH_BITS)
-        del word
-        padded = np.full(-(-len(gram) // span) * span + span, _U64(2**64 - 1))
-        padded[: len(gram)] = gram
-        blocks = padded.reshape(-1, span)
-        low = np.minimum(
-            np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()[:n],
-            np.minimum.accumulate(blocks, axis=1).ravel()[span - 1 : span - 1 + n],
-        )
+        gram = mix(word[: len(word) - GRAM + 8] * _U64(0x9E3779B97F4A7C15) + word[GRAM - 8 :]) >> place
+        gram = (gram << place) | np.arange(len(gram), dtype=_U64)  # of equal hashes the first
+        low, width = gram, 1
+        while 2 * width <= span:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[:n], low[span - width : span - width + n])
         # windows that lie inside one text
         a, b = np.searchsorted(offsets, [start, start + n], "right")
         inside = np.zeros(n + 1, np.int32)
@@ -111,21 +131,32 @@ def _runs(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarra
         new[begins] = inside[begins]
         at = np.flatnonzero(new)
         total = np.concatenate([[0], np.cumsum(inside)])
-        # a run ends where the next begins or its text has no more windows
-        ends = np.append(at[1:], n)
-        values.append(low[at])
-        firsts.append(at + start)
-        counts.append(total[ends] - total[at])
+        # a run ends where the next begins or its text has no more windows, and turns where its windows change sides
+        last = at + np.diff(total[np.append(at, n)])
+        turn = (low[at] & _U64((1 << (64 - HASH_BITS)) - 1)).astype(np.int64) - half + 1
+        at = np.sort(np.concatenate([at, turn[(turn > at) & (turn < last)]]))
+        count = np.diff(total[np.append(at, n)])
+        where = (low[at] & _U64((1 << (64 - HASH_BITS)) - 1)).astype(np.int64)
+        where -= np.where(where - at >= half, half, 0)
+        key = np.zeros(len(at), _U64)
+        for k in [*range(0, GRAM + half - 8, 8), GRAM + half - 8]:
+            key = mix((key + word[where + k]) * _U64(0x9E3779B97F4A7C15))
+        key >>= place
+        value = low[at] >> place
+        row = np.searchsorted(offsets, at + start, "right")
+        head = np.flatnonzero(~_goes_on(row, at, count, value, key))  # a minimizer may stand in a window several times
+        values.append(value[head])
+        keys.append(key[head])
+        firsts.append(at[head] + start)
+        counts.append(np.add.reduceat(count, head) if len(head) else count)
     if not values:
-        return np.zeros(0, _U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    value, first, count = map(np.concatenate, (values, firsts, counts))
-    value = mix(value) >> _U64(64 - HASH_BITS)  # smallest hashes are small: scrambled, they fill the buckets evenly
+        return np.zeros(0, _U64), np.zeros(0, _U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value, key, first, count = map(np.concatenate, (values, keys, firsts, counts))
+    value = mix(value) >> place  # smallest hashes are small: scrambled, they fill the buckets evenly
     # join what the step borders have cut
-    row = np.searchsorted(offsets, first, "right") - 1
-    same = np.zeros(len(value), bool)
-    same[1:] = (value[1:] == value[:-1]) & (row[1:] == row[:-1]) & (first[:-1] + count[:-1] == first[1:])
-    head = np.flatnonzero(~same)
-    return value[head], first[head], np.add.reduceat(count, head) if len(head) else count
+    row = np.searchsorted(offsets, first, "right")
+    head = np.flatnonzero(~_goes_on(row, first, count, value, key))
+    return value[head], key[head], first[head], np.add.reduceat(count, head) if len(head) else count
 
 
 def _buckets(value: np.ndarray, n: int) -> np.ndarray:
@@ -146,23 +177,43 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(bucket[a]), slice(a, b)
 
 
-# ---- step 1 and 2: minimizers that several documents have
+def _squeezed(data: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _packed_hashes(hashes: np.ndarray) -> bytes:
+    """Ascending hashes of a bucket, counted from its floor, as their differences: all first bytes, all second ones, ..."""
+    steps = np.diff(hashes, prepend=hashes.dtype.type(0)).astype("<u4")
+    return _squeezed(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked_hashes(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(_unsqueezed(data), np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view("<u4").ravel(), dtype="<u4")
+
+
+# ---- step 1 and 2: keys that several documents have
 
 
 def _announce(table: pa.Table, window: int, buckets: int) -> pa.Table:
-    """Distinct minimizers of a shard, by bucket: their distance from its floor, and whether several ids have them."""
+    """Distinct keys of a shard, by bucket: their distance from its floor, and whether several ids have them."""
     shard = Shard(table, window)
     owner = shard.ids[shard.row]
-    order = np.lexsort((owner, shard.value))
-    value, owner = shard.value[order], owner[order]
-    head = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(value)) - 1
+    order = np.argsort(shard.key, kind="stable")  # owners ascend with the rows
+    key, owner = shard.key[order], owner[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    tail = np.append(head[1:], len(key)) - 1
     several = owner[head] != owner[tail] if len(head) else np.zeros(0, bool)
-    value = value[head]
+    key = key[head]
     number = table.column("shard")[0].as_py() if table.num_rows else 0
     out = [
-        (b, number, (value[s] - _U64(_floor(b, buckets))).astype("<u4").tobytes(), np.packbits(several[s]).tobytes())
-        for b, s in _parts(_buckets(value, buckets))
+        (b, number, _packed_hashes(key[s] - _U64(_floor(b, buckets))), np.packbits(several[s]).tobytes())
+        for b, s in _parts(_buckets(key, buckets))
     ]
     return _table(out, ["bucket", "shard", "hashes", "several"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
@@ -173,8 +224,8 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _agree(table: pa.Table) -> pa.Table:
-    """What each shard has of the minimizers that occur in several documents."""
-    lists = [np.frombuffer(x, "<u4") for x in table.column("hashes").to_pylist()]
+    """What each shard has of the keys that occur in several documents."""
+    lists = [_unpacked_hashes(x) for x in table.column("hashes").to_pylist()]
     flags = [
         np.unpackbits(np.frombuffer(x, np.uint8))[: len(h)].astype(bool)
         for x, h in zip(table.column("several").to_pylist(), lists, strict=True)
@@ -185,7 +236,7 @@ def _agree(table: pa.Table) -> pa.Table:
     mine = np.split(shared[first], np.cumsum([len(x) for x in lists])[:-1])
     bucket = table.column("bucket")[0].as_py()
     out = [
-        (number, bucket, h[keep].tobytes(), 0)
+        (number, bucket, _packed_hashes(h[keep]), 0)
         for number, h, keep in zip(table.column("shard").to_pylist(), lists, mine, strict=True)
         if keep.any()
     ]
@@ -196,15 +247,16 @@ def _agree(table: pa.Table) -> pa.Table:
 
 
 def _suspects(shard: Shard, answers: pa.Table, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Keep a shard's runs with shared minimizers; their distinct strings in bucket order, each one's bucket and
-    smallest document, and the string of each run."""
+    """Keep a shard's runs with shared keys, joined where they meet in a minimizer; their distinct strings in bucket
+    order, each one's bucket and smallest document, and the string of each run."""
     known = [
-        np.frombuffer(p, "<u4").astype(_U64) + _U64(_floor(b, buckets))
+        _unpacked_hashes(p).astype(_U64) + _U64(_floor(b, buckets))
         for b, p in sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True))
     ]
     shared = np.concatenate(known) if known else np.zeros(0, _U64)
-    place = np.minimum(np.searchsorted(shared, shard.value), max(len(shared) - 1, 0))
-    shard.take(np.flatnonzero(shared[place] == shard.value) if len(shared) else np.zeros(0, np.int64))
+    place = np.minimum(np.searchsorted(shared, shard.key), max(len(shared) - 1, 0))
+    shard.take(np.flatnonzero(shared[place] == shard.key) if len(shared) else np.zeros(0, np.int64))
+    shard.join()
     order = np.argsort(shard.value, kind="stable")
     shard.take(order)
     whole, ends = shard.data.tobytes(), shard.first + shard.count + shard.window - 1
@@ -230,8 +282,8 @@ def _send(table: pa.Table, answers: pa.Table, window: int, buckets: int) -> pa.T
     data, begins = as_bytes(strings)
     number = table.column("shard")[0].as_py()
     out = [
-        (b, number, data[begins[s.start] : begins[s.stop]].tobytes(),
-         np.diff(begins[s.start : s.stop + 1]).astype("<u4").tobytes(), lowest[s].astype("<i8").tobytes())
+        (b, number, _squeezed(data[begins[s.start] : begins[s.stop]].tobytes()),
+         _squeezed(np.diff(begins[s.start : s.stop + 1]).astype("<u4").tobytes()), _squeezed(lowest[s].astype("<i8").tobytes()))
         for b, s in _parts(bucket)
     ]
     return _table(out, names, types)
@@ -312,7 +364,8 @@ def _smallest_owner(data: np.ndarray, begins: np.ndarray, lowest: np.ndarray, wi
 
     Strings go to blocks in the order of their minimizers, so only blocks that meet in a minimizer can share windows.
     """
-    value = _runs(data, begins, window)[0]  # each string is one run
+    value, _, first, _ = _runs(data, begins, window)
+    value = value[np.searchsorted(first, begins[:-1])]  # the windows of a string have one minimizer
     order = np.argsort(value, kind="stable")
     size = np.diff(begins)[order]
     value, lowest = value[order], lowest[order]
@@ -344,10 +397,10 @@ def _smallest_owner(data: np.ndarray, begins: np.ndarray, lowest: np.ndarray, wi
 def _judge(table: pa.Table, window: int, block_bytes: int) -> pa.Table:
     """For each shard of a bucket, a bit for every window of its strings: some smaller document has it too."""
     names, types = ["shard", "bucket", "payload", "kind"], [pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-    sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("sizes").to_pylist()]
+    sizes = [np.frombuffer(_unsqueezed(x), "<u4").astype(np.int64) for x in table.column("sizes").to_pylist()]
     size = np.concatenate(sizes)
-    lowest = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("lowest").to_pylist()])
-    data = np.frombuffer(b"".join(table.column("strings").to_pylist()), np.uint8)
+    lowest = np.concatenate([np.frombuffer(_unsqueezed(x), "<i8") for x in table.column("lowest").to_pylist()])
+    data = np.frombuffer(b"".join(map(_unsqueezed, table.column("strings").to_pylist())), np.uint8)
     coded = binary_array(data, np.concatenate([[0], np.cumsum(size)])).dictionary_encode()
     index = coded.indices.to_numpy()
     low = np.full(len(coded.dictionary), np.iinfo(np.int64).max)

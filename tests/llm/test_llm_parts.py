@@ -193,6 +193,28 @@ def test_passage_removal(seed, monkeypatch):
     assert _local(docs, rnd.choice([1, 2, 3]), rnd.choice([200, 1000, 1 << 22])) == right
 
 
+def test_passages_of_common_words_are_not_sent(monkeypatch):
+    """Grams of sixteen bytes that many documents have don't make their text travel; repeated windows do."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefgh", k=17)) for _ in range(200)]  # every gram is common, two words in a row are rare
+    docs = [(i, " ".join(rnd.choices(words, k=40))) for i in range(60)]
+    docs += [(60, "x" * 30 + docs[3][1][100:160]), (61, "y" * 30 + docs[9][1][50:99])]
+    sent = []
+    send = suffix_dedup._send
+    monkeypatch.setattr(suffix_dedup, "_send", lambda *a: sent.append(send(*a)) or sent[-1])
+    out = _local(docs, 3, 1 << 20)
+    assert out == [r[1:] for r in brute.repeats(docs)]
+    assert out[60][1] >= 60
+    sizes = [s for t in sent for x in t.column("sizes").to_pylist() for s in np.frombuffer(suffix_dedup._unsqueezed(x), "<u4")]
+    assert sum(sizes) < 0.4 * sum(len(t) for _, t in docs)
+
+
+def test_hashes_of_a_bucket_are_packed():
+    for hashes in ([], [0], [2**32 - 1], [0, 1, 255, 256, 2**24, 2**32 - 1]):
+        numbers = np.array(hashes, np.uint64)
+        assert suffix_dedup._unpacked_hashes(suffix_dedup._packed_hashes(numbers)).tolist() == hashes
+
+
 def test_suffix_array_order():
     rnd = random.Random(9)
     for n in (1, 7, 8, 9, 200, 3000):
